@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, media, urls
+from . import common, langid, media, pii, simhash, urls
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_texts(common.documents(spark, sf_dir)))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     days = F.pmod(F.col("page_id") * urls.STRIDE, F.lit(urls.DAYS)).cast("int")
@@ -30,8 +34,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(common.id_bucket(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(common.documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media_columns": op2_media_columns, "op4_url_filters": op4_url_filters, "op5_language_id": op5_language_id}
+    return {f.__name__: f for f in (op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op9_pii)}
 
 
 OP4_SQL = f"""

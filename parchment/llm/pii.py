@@ -33,7 +33,6 @@ KINDS = ("email", "ip", "card", "phone")
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 BLOCK = 256
-SPAN = "struct<start:int,stop:int,value:string>"
 
 
 def _let(value: Column, body) -> Column:
@@ -88,6 +87,14 @@ def _key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text))
 
 
+def _tagged(spans: str, kind: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), *[s[c].alias(c) for c in ("start", "stop", "value", "left", "right")]))
+
+
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def spot(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, tokens): the seeds of each kind in listed order, and the other identifier-like tokens.
 
@@ -103,8 +110,7 @@ def spot(docs: DataFrame) -> DataFrame:
     df = df.withColumn("ip", F.filter("ip", lambda s: _small_parts(s["value"])))
     df = df.withColumn("card", F.filter("card", lambda s: _luhn(s["value"])))
     df = df.withColumn("phone", F.filter("phone", lambda s: F.length(_digits(s["value"])).between(9, 15)))
-    tagged = [F.transform(k, lambda s, n=n: F.struct(F.lit(n).alias("kind"), *[s[c].alias(c) for c in ("start", "stop", "value", "left", "right")])) for n, k in enumerate(KINDS)]
-    df = df.withColumn("base", F.concat(*tagged))
+    df = df.withColumn("base", F.concat(*[_tagged(k, n) for n, k in enumerate(KINDS)]))
     # surrounding punctuation belongs to the context, and tokens that touch a seed are no candidates
     head = lambda s: F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^A-Za-z0-9]+", ""))
     trimmed = F.transform(
@@ -193,7 +199,7 @@ def written(spans: str) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    counts = [_count("base", n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, media, pii, simhash, urls
+from . import common, decontaminate, langid, media, packing, pii, simhash, urls
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,23 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(common.documents(spark, sf_dir)))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir), *tokenizer())
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenizer() -> tuple[str, str]:
+    """The vocabulary file of byte_bpe_50k, and how it splits texts; the package is on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op9_pii)}
+    return {f.__name__: f for f in (op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op8_packing, op9_pii, op10_decontamination)}
 
 
 OP4_SQL = f"""

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, media, packing, pii, simhash, urls
+from . import common, decontaminate, langid, media, packing, pii, simhash, suffixes, urls
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(common.documents(spark, sf_dir))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op8_packing, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op8_packing, op9_pii, op10_decontamination)}
 
 
 OP4_SQL = f"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, media, packing, pii, simhash, suffixes, urls
+from . import common, decontaminate, langid, media, packing, pii, quality, simhash, suffixes, toxicity, urls
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(common.documents(spark, sf_dir)))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.documents(spark, sf_dir), common.labels(spark, sf_dir)
+    return _scored(quality.score(docs, quality.train(docs, _learnable(labels))))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.documents(spark, sf_dir), common.labels(spark, sf_dir)
+    return _scored(toxicity.score(docs, toxicity.train(docs, _learnable(labels))))
+
+
+def _learnable(labels: DataFrame) -> DataFrame:
+    return labels.where(common.id_bucket(F.col("doc_id"), 4) != 2)
+
+
+def _scored(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.coalesce(common.id_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), *tokenizer())
 
@@ -58,7 +76,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op8_packing, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op6_quality_classifier, op7_toxicity, op8_packing, op9_pii, op10_decontamination)}
 
 
 OP4_SQL = f"""

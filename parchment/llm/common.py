@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or a temporary one where the session names none, as in local tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or tempfile.mkdtemp(prefix="parchment-shared-")
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """`df`, written as Parquet and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def filtered(df: DataFrame, keep, column: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, whose values of `column` `keep` (a function of a list) marks true."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def id_bucket(column: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; null ids fall in no bucket."""
     return F.crc32(column.cast("string")) % F.lit(modulus)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 CHARS_AN_EDIT = 16
 OTHER = re.compile(r"[\W_]+")
 
@@ -155,14 +157,14 @@ def hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text:
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def _clean(batches: Iterator[pa.RecordBatch], shared, chars_an_edit: int, at: int) -> Iterator[pa.RecordBatch]:
-    index = _index(shared, chars_an_edit)
-    for b in batches:
-        yield b.filter(pa.array([not index.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
-
-
 def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", min_chars: int = 20, chars_an_edit: int = CHARS_AN_EDIT, block_chars: int = 4_000_000) -> DataFrame:
     """The documents that hold no item, with their columns."""
     for block in _blocks(items, item_id, item_text, min_chars, block_chars):
-        docs = docs.mapInArrow(partial(_clean, shared=docs.sparkSession.sparkContext.broadcast(block), chars_an_edit=chars_an_edit, at=docs.columns.index("text")), docs.schema)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = common.filtered(docs, partial(_free, shared=shared, chars_an_edit=chars_an_edit))
     return docs
+
+
+def _free(texts: list[str | None], shared, chars_an_edit: int) -> list[bool]:
+    index = _index(shared, chars_an_edit)
+    return [not index.search(t) for t in texts]

@@ -161,3 +161,13 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(common.id_bucket(F.col("doc_id"), 3) == 1, F.lit(False)))
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is known with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        return [lang != UNKNOWN and score >= least for lang, score in map(shared.value.predict, texts)]
+
+    return common.filtered(docs, keep)

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, graph
 
@@ -140,12 +141,40 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return keyed.alias("x").join(keyed.alias("y"), F.expr(condition)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
-    printed = common.checkpoint(fingerprints(docs))
+def _rooted(printed: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of (doc_id, fp)."""
     distinct = common.checkpoint(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = graph.components(links(distinct, max_bits).select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    group = rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    printed = common.checkpoint(fingerprints(docs))
+    group = _rooted(printed, max_bits).select("fp", "component_id")
     return printed.join(group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component, all columns: the one of the least doc_id, nulls last; of repeated rows any one."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "_fp"])
+
+    # a null id ranks after all others, by its text
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    ranked = docs.withColumn("_rank", rank)
+    printed = common.checkpoint(fingerprints(ranked.select(F.col("_rank").alias("doc_id"), "text")))
+    pairs = printed.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(_rooted(printed, max_bits), "fp")
+    chosen = pairs.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("fp", "doc_id", "n")).alias("c"))
+    pairs = common.checkpoint(pairs.join(chosen, "root", "left").select(F.col("doc_id").alias("_rank"), F.col("fp").alias("_fp"), "n", (F.col("c.fp").isNotNull() & (F.col("c.fp") == F.col("fp")) & (F.col("c.doc_id") == F.col("doc_id"))).alias("stays")))
+    marked = ranked.mapInArrow(run, T.StructType([*ranked.schema.fields, T.StructField("_fp", T.LongType())]))
+    kept = marked.join(pairs.where("not stays").select("_rank", "_fp"), ["_rank", "_fp"], "left_anti")
+    twice = pairs.where("stays and n > 1").select("_rank", "_fp")
+    if twice.take(1):
+        kept = kept.join(twice, ["_rank", "_fp"], "left_anti").unionByName(kept.join(twice, ["_rank", "_fp"], "left_semi").dropDuplicates(["_rank", "_fp"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,15 +1,617 @@
-"""Registry of the engine's own queries and their SQL twins."""
+"""Registry of the engine's own queries and their SQL twins.
+
+Rules are chosen for the tables at hand; Chinese texts come from small fixtures. Every query runs
+over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import completeness as C
+from .operators import detect as D
+from .operators import evaluate as E
+from .operators import incremental, report, scoring, segment, similarity
+from .plans.rubric import Completeness, Detection, Dimension, Scale, Section, Similarity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def lit(x) -> str:
+    """A value as an SQL literal."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).upper()
+    if isinstance(x, (list, tuple)):
+        return "[" + ", ".join(map(lit, x)) + "]"
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+
+def values(name: str, schema: str, rows: list[tuple]) -> str:
+    columns = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    return f"{name}({', '.join(columns)}) AS (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)})"
+
+
+# Parts of the SQL twins
+W = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{W}+|{W}+\z', '', 'g')"
+
+
+def count(x: str, pattern: str, flags: str = "") -> str:
+    p = pattern.replace("'", "''")
+    return f"CAST(len(regexp_extract_all({x}, '{flags}{p}')) AS BIGINT)"
+
+
+FILLED = f"list_filter(string_split(t, chr(10)), lambda x: {strip('x')} <> '')"
+CLEAN = f"list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
+WORDS = f"({count('t', T.HAN)} + {count('t', '[a-zA-Z]+')})"
+DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+fix = lambda x, n: f"floor(({x}) * {10**n} + 0.5) / {10**n}"
+
+# Features
+
+
+@query(
+    f"""WITH {DOCS} SELECT doc_id, {WORDS} AS words, CAST(len({FILLED}) AS BIGINT) AS paragraphs, md5(array_to_string({CLEAN}, chr(10))) AS clean_md5,
+    coalesce(list_filter({FILLED}, lambda x: length(x) < 100 AND NOT regexp_matches(x, '(?i)^(?:{T.TITLE_LABEL})'))[1], '{T.NO_TITLE}') AS title FROM d"""
+)
+def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return docs(spark, sf_dir).select("doc_id", T.word_count(t).alias("words"), T.paragraph_count(t).alias("paragraphs"), F.md5(T.clean_text(t)).alias("clean_md5"), T.title(T.filled_lines(t)).alias("title"))
+
+
+NAMES = [("cs_se_class1_20210001_张三.docx",), ("20210002_李四.pdf",), ("王五_论文题目.doc",), ("赵六.docx",), ("a-12345-bob.docx",), ("/in/x_2021000333.pdf",), ("20210004_9_x.docx",), ("20210001_20210005_陈 七_孙八.docx",), ("1_2_3.pdf",), ("noext",), ("archive.tar.gz",)]
+
+
+@query(
+    f"""WITH {values('f', 'name', NAMES)}, s AS (SELECT name, regexp_extract(name, '([^/]*)/*$', 1) AS base FROM f),
+    p AS (SELECT name, coalesce(nullif(regexp_extract(base, '^(.+)\\.[^.]+$', 1), ''), base) AS stem FROM s),
+    q AS (SELECT name, stem, list_filter(regexp_split_to_array(stem, '(?:[_-]|{W})+'), lambda x: x <> '') AS parts FROM p),
+    r AS (SELECT *, list_filter(range(1, len(parts) + 1), lambda i: regexp_matches(parts[i], '^\\d+$') AND length(parts[i]) >= 6) AS ids,
+                 list_filter(range(1, len(parts) + 1), lambda i: NOT regexp_matches(parts[i], '^\\d+$') AND length(parts[i]) >= 2) AS names FROM q)
+    SELECT name, CASE WHEN len(ids) > 0 THEN parts[ids[len(ids)]] || '-' || coalesce(parts[list_filter(names, lambda i: i > ids[len(ids)])[1]], parts[len(parts)])
+                      ELSE coalesce(parts[names[1]], stem) END AS author FROM r"""
+)
+def author_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(NAMES, "name string").select("name", T.author_key(F.col("name")).alias("author"))
+
+
+REFERENCES = [(1, "[1] a\n[2] b [12]"), (2, "a\n\n  \nb\n"), (3, ""), (4, None), (5, "　\n[x]\nabc"), (6, "[1][2][3]")]
+
+
+@query(
+    f"""WITH {values('f', 'id, t', REFERENCES)} SELECT id, CASE WHEN coalesce(t, '') = '' THEN 0 WHEN len(regexp_extract_all(t, '\\[\\d+\\]')) > 0 THEN CAST(len(regexp_extract_all(t, '\\[\\d+\\]')) AS BIGINT)
+    ELSE CAST(len({FILLED}) AS BIGINT) END AS n FROM f"""
+)
+def reference_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(REFERENCES, "id long, t string").select("id", T.reference_count(F.col("t")).alias("n"))
+
+
+COMMENTS = [(1, "[第1章] good\n[第2章] bad\r\n[全文] fine"), (2, ""), (3, None), (4, "plain [x] text")]
+
+
+@query(f"""WITH {values('f', 'id, t', COMMENTS)} SELECT id, {strip("regexp_replace(replace(replace(t, chr(10), ' '), chr(13), ''), '(\\[[第全])', chr(10) || '\\1', 'g')")} AS comment FROM f""")
+def comment_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(COMMENTS, "id long, t string").select("id", T.comment(F.col("t")).alias("comment"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 3000 THEN left(text, 3000) || '...' ELSE text END) AS short_md5, least(length(text), 15000) AS kept FROM documents")
+def prompt_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.shortened(F.col("text"), 3000, "...")).alias("short_md5"), F.least(F.length("text").cast("long"), F.lit(15000)).alias("kept"))
+
+
+# Sections, with headings that the tables have
+HEADS = {"abstract": "The", "introduction": "Licensed", "body": "Of|And", "conclusion": "Released"}
+CASES = " ".join(f"WHEN regexp_matches(x, '(?i)^(?:{p})') THEN '{c}'" for c, p in HEADS.items())
+RUNS = f"""d AS (SELECT doc_id, {CLEAN} AS l FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    e AS (SELECT doc_id, i, l[i] AS x FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
+    h AS (SELECT doc_id, i, x, CASE {CASES} END AS c FROM e),
+    r AS (SELECT *, sum(CASE WHEN c IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+    g AS (SELECT doc_id, run, coalesce(max(c), 'header') AS cls, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE c IS NULL) AS content FROM r GROUP BY doc_id, run)"""
+
+
+@query(f"WITH {RUNS} SELECT doc_id, cls, length(content) AS length, md5(content) AS content_md5 FROM g WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, cls ORDER BY run DESC) = 1")
+def section_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment.sections(docs(spark, sf_dir), headings=HEADS)
+    return found.select("doc_id", "cls", F.length("content").cast("long").alias("length"), F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {RUNS} SELECT doc_id, CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (WHERE cls = 'body') AS BIGINT) AS bodies FROM g WHERE content IS NOT NULL GROUP BY doc_id")
+def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = docs(spark, sf_dir).select("doc_id", segment.runs(F.coalesce("text", F.lit("")), HEADS).alias("r"))
+    return cut.where(F.size("r") > 0).select("doc_id", F.size("r").cast("long").alias("runs"), F.size(F.filter("r", lambda x: x["cls"] == "body")).cast("long").alias("bodies"))
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, {strip("coalesce(text, '')")} AS x FROM conversations), h AS (SELECT *, CASE {CASES} END AS k FROM c)
+    SELECT conv_id, turn, coalesce(last_value(k IGNORE NULLS) OVER w, 'header') AS section,
+    md5(CASE WHEN x <> '' THEN left(x, 200) WHEN length(lead(x) OVER w) BETWEEN 1 AND 199 THEN lead(x) OVER w ELSE coalesce(last_value(k IGNORE NULLS) OVER w, 'header') END) AS caption_md5
+    FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
+)
+def carry_forward_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment.carried(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "text", HEADS)
+    return rows.select("conv_id", "turn", "section", F.md5("caption").alias("caption_md5"))
+
+
+# Completeness
+RULES = Completeness(
+    sections=(Section("license", ("licen[sc]e", "GNU"), 4), Section("secret", ('token = "', "@"), 5), Section("number", ("[0-9]{3}",), 3), Section("article", (" the ", " der ", " las? "), 8)),
+    sections_weight=40.0,
+    min_words=250,
+    words_weight=25.0,
+    min_references=2,
+    references_weight=5.0,
+    min_figures=1,
+    figures_weight=15.0,
+    min_paragraphs=4,
+    max_long_share=0.2,
+    format_weight=10.0,
+)
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the features that the rules read; marked lines stand in for figures, license lines for references."""
+    t = F.coalesce("text", F.lit(""))
+    return docs(spark, sf_dir).select(
+        "doc_id",
+        t.alias("text"),
+        T.word_count(t).alias("words"),
+        T.paragraph_count(t).alias("paragraphs"),
+        F.regexp_count(t, F.lit("(?i)licen[sc]e")).cast("long").alias("references"),
+        F.regexp_count(t, F.lit(r" \| ")).cast("long").alias("figures"),
+    )
+
+
+def _completeness_sql() -> str:
+    r = RULES
+    miss = [f"CASE WHEN NOT regexp_matches(t, '{'|'.join(f'(?:{p})' for p in s.patterns)}', 'i') THEN '{s.name}' END" for s in r.sections]
+    total = sum(s.weight for s in r.sections)
+    lost = " - ".join(f"CASE WHEN list_contains(missing, '{s.name}') THEN {r.sections_weight * (s.weight / total)!r} ELSE 0.0 END" for s in r.sections)
+    part = lambda c, least, w: f"CASE WHEN {c} >= {least} THEN {w}::DOUBLE ELSE {w}::DOUBLE * {c} / {least}::DOUBLE END"
+    long = "list_filter(string_split(t, chr(10)), lambda x: length(x) > 500)"
+    return f"""{DOCS}, f AS (SELECT doc_id, t, {WORDS} AS words, CAST(len({FILLED}) AS BIGINT) AS paragraphs, {count('t', 'licen[sc]e', '(?i)')} AS refs, {count('t', ' \\| ')} AS figures,
+        list_filter([{', '.join(miss)}], lambda x: x IS NOT NULL) AS missing FROM d),
+    c AS (SELECT *, greatest(0.0::DOUBLE, {r.sections_weight}::DOUBLE - {lost}) AS s_sections, {part('words', r.min_words, r.words_weight)} AS s_words, {part('refs', r.min_references, r.references_weight)} AS s_references,
+        {part('figures', r.min_figures, r.figures_weight)} AS s_figures,
+        greatest(0.0::DOUBLE, {r.format_weight}::DOUBLE - CASE WHEN paragraphs < {r.min_paragraphs} THEN {r.format_weight * 0.4}::DOUBLE ELSE 0.0::DOUBLE END
+            - CASE WHEN t <> '' AND len({long})::DOUBLE / len(string_split(t, chr(10)))::DOUBLE > {r.max_long_share}::DOUBLE THEN {r.format_weight * 0.4}::DOUBLE ELSE 0.0::DOUBLE END) AS s_format FROM f),
+    k AS (SELECT *, {fix(f"(s_sections + s_words + s_references + s_figures + s_format) * 100.0::DOUBLE / {r.total}::DOUBLE * (CASE WHEN len(missing) > 0 THEN greatest({r.penalty_floor}::DOUBLE, 1 - len(missing)::DOUBLE * {r.penalty}::DOUBLE) ELSE 1.0::DOUBLE END)", 1)} AS score FROM c)"""
+
+
+COMPLETE = _completeness_sql()
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.check(measured(spark, sf_dir), RULES)
+
+
+@query(f"WITH {COMPLETE} SELECT doc_id, s_sections, array_to_string(missing, ', ') AS missing FROM k")
+def completeness_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(spark, sf_dir).select("doc_id", "s_sections", F.array_join("missing", ", ").alias("missing"))
+
+
+@query(f"WITH {COMPLETE} SELECT doc_id, words, s_words FROM k")
+def completeness_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(spark, sf_dir).select("doc_id", "words", "s_words")
+
+
+@query(f'WITH {COMPLETE} SELECT doc_id, refs AS "references", s_references FROM k')
+def completeness_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(spark, sf_dir).select("doc_id", "references", "s_references")
+
+
+@query(f"WITH {COMPLETE} SELECT doc_id, figures, s_figures FROM k")
+def completeness_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(spark, sf_dir).select("doc_id", "figures", "s_figures")
+
+
+@query(f"WITH {COMPLETE} SELECT doc_id, paragraphs, s_format FROM k")
+def completeness_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(spark, sf_dir).select("doc_id", "paragraphs", "s_format")
+
+
+@query(f"WITH {COMPLETE} SELECT doc_id, score, score >= 60 AND len(missing) <= 2 AS is_complete, CAST(len(missing) AS BIGINT) AS n_missing FROM k")
+def completeness_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(spark, sf_dir).select("doc_id", "score", "is_complete", F.size("missing").cast("long").alias("n_missing"))
+
+
+@query(f"WITH {COMPLETE}, m AS (SELECT unnest(missing) AS section FROM k) SELECT section, count(*) AS documents FROM m GROUP BY section")
+def missing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(spark, sf_dir).select(F.explode("missing").alias("section")).groupBy("section").agg(F.count("*").alias("documents"))
+
+
+# Detection, with phrases that the tables have
+SIGNS = (r" of the ", r"the [a-z]+ and", r"und der", r"licensed under", r"de la", r"que [a-z]+, ", r"([0-9]+)\.([0-9]+)", r"token = ")
+FOUND = Detection(patterns=SIGNS)
+ALL = D.PHRASES + SIGNS
+
+
+def _hits(p: str) -> str:
+    return count("t", p, "(?i)")
+
+
+@query(f"WITH {DOCS}, n AS (SELECT doc_id, unnest([{', '.join(_hits(p) for p in ALL)}]) AS hits, unnest(range(0, {len(ALL)})) AS pattern_no FROM d) SELECT CAST(pattern_no AS BIGINT) AS pattern_no, CAST(sum(hits) AS BIGINT) AS hits, count(*) FILTER (WHERE hits > 0) AS documents FROM n GROUP BY pattern_no")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = docs(spark, sf_dir).select(F.posexplode(D.pattern_counts(F.coalesce("text", F.lit("")), ALL)).alias("pattern_no", "hits"))
+    return counts.groupBy(F.col("pattern_no").cast("long")).agg(F.sum("hits").cast("long").alias("hits"), F.count_if(F.col("hits") > 0).alias("documents"))
+
+
+@query(
+    f"""WITH {DOCS}, n AS (SELECT doc_id, t, unnest([{', '.join(f"regexp_extract_all(t, '(?i){p}')[1:3]" for p in SIGNS)}]) AS found, unnest(range(0, {len(SIGNS)})) AS pattern_no FROM d),
+    m AS (SELECT doc_id, t, pattern_no, unnest(found) AS hit, unnest(range(0, len(found))) AS match_no FROM n), s AS (SELECT *, instr(t, hit) AS pos FROM m)
+    SELECT doc_id, CAST(pattern_no AS BIGINT) AS pattern_no, CAST(match_no AS BIGINT) AS match_no, replace(substring(t, greatest(pos - 20, 1), pos + length(hit) + 20 - greatest(pos - 20, 1)), chr(10), ' ') AS context FROM s"""
+)
+def pattern_contexts_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.contexts(docs(spark, sf_dir), SIGNS).select("doc_id", F.col("pattern_no").cast("long"), F.col("match_no").cast("long"), "context")
+
+
+FORMATS = f"{count('t', chr(92) + 'n{3,}')} AS blank_runs, {count('t', D.MIXED)} AS mixed, {count('t', D.INVISIBLE)} AS invisible"
+ISSUES = "CAST((blank_runs > 10)::INT + (mixed > 5)::INT + (invisible > 0)::INT AS BIGINT)"
+
+
+@query(f"WITH {DOCS}, f AS (SELECT doc_id, {FORMATS} FROM d) SELECT *, {ISSUES} AS issues FROM f")
+def format_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = D.format_counts(F.coalesce("text", F.lit("")))
+    rows = docs(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in counts.items()])
+    return rows.withColumn("issues", D.format_issues({n: F.col(n) for n in counts}))
+
+
+LENGTHS = f"list_transform(list_filter(list_transform(regexp_split_to_array(t, '{D.ENDS}'), lambda x: {strip('x')}), lambda x: x <> ''), lambda x: length(x))"
+UNIFORM = "sentences > 5 AND sentences * squares - total * total < 50 * sentences * sentences AND total > 10 * sentences"
+
+
+@query(
+    f"""WITH {DOCS}, l AS (SELECT doc_id, {LENGTHS} AS l FROM d), s AS (SELECT doc_id, CAST(len(l) AS BIGINT) AS sentences, CAST(coalesce(list_sum(l), 0) AS BIGINT) AS total, CAST(coalesce(list_sum(list_transform(l, lambda x: x * x)), 0) AS BIGINT) AS squares FROM l)
+    SELECT *, {UNIFORM} AS uniform FROM s"""
+)
+def sentence_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in D.uniform(F.coalesce("text", F.lit(""))).items()])
+
+
+HAN_TEXTS = [(1, "本文提出一种方法。" * 40), (2, "各不相同的句子很多很多，" * 3 + "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 30), (3, "only ascii"), (4, ""), (5, "首先，我们需要明确问题。综上所述，值得注意的是结果。近年来，技术得到了广泛关注。")]
+CHUNKS = f"regexp_extract_all(t, '{D.CHUNK}')"
+
+
+@query(f"""WITH {values('f', 'id, t', HAN_TEXTS)}, c AS (SELECT id, CAST(len({CHUNKS}) AS BIGINT) AS chunks, CAST(len(list_distinct({CHUNKS})) AS BIGINT) AS distinct_chunks FROM f) SELECT *, chunks > 100 AND distinct_chunks * 10 < chunks * 3 AS repetitive FROM c""")
+def lexical_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(HAN_TEXTS, "id long, t string")
+    return rows.select("id", *[c.alias(n) for n, c in D.repetitive(F.col("t")).items()])
+
+
+@query(f"WITH {values('f', 'id, t', HAN_TEXTS)} SELECT id, {' + '.join(_hits(p) for p in D.PHRASES)} AS hits, {WORDS} AS words FROM f")
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(HAN_TEXTS, "id long, t string")
+    total = F.aggregate(D.pattern_counts(F.col("t"), D.PHRASES), F.lit(0), lambda a, x: a + x)
+    return rows.select("id", total.cast("long").alias("hits"), T.word_count(F.col("t")).alias("words"))
+
+
+RISK = f"""{DOCS}, n AS (SELECT doc_id, [{', '.join(_hits(p) for p in ALL)}] AS h, {LENGTHS} AS l, {FORMATS}, {CHUNKS} AS c FROM d),
+    u AS (SELECT doc_id, CAST(list_sum(h) AS BIGINT) AS hits, list_sum(list_transform(h, lambda x: least(x, 3))) AS top, {ISSUES} AS format_issues,
+          len(l) AS sentences, coalesce(list_sum(l), 0) AS total, coalesce(list_sum(list_transform(l, lambda x: x * x)), 0) AS squares, len(c) AS chunks, len(list_distinct(c)) AS dc FROM n),
+    v AS (SELECT *, CAST(top + ({UNIFORM})::INT + (chunks > 100 AND dc * 10 < chunks * 3)::INT AS BIGINT) AS segments FROM u),
+    w AS (SELECT *, least(CASE WHEN hits > 15 THEN 0.5::DOUBLE WHEN hits > 10 THEN 0.4::DOUBLE WHEN hits > 5 THEN 0.25::DOUBLE WHEN hits > 2 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + format_issues * 0.15::DOUBLE + 0.0::DOUBLE + least(segments * 0.08::DOUBLE, 0.4::DOUBLE), 1.0::DOUBLE) AS probability FROM v),
+    risk AS (SELECT doc_id, hits, format_issues, segments, {fix('probability', 4)} AS probability, probability >= 0.6::DOUBLE AS suspicious, CASE {' '.join(f"WHEN probability >= {p}::DOUBLE THEN '{n}'" for p, n in D.RISKS)} ELSE '{D.NO_RISK}' END AS risk FROM w)"""
+
+
+@query(f"WITH {RISK} SELECT * FROM risk")
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.detect(docs(spark, sf_dir), FOUND).withColumn("probability", T.fixed(F.col("probability"), 4))
+
+
+@query(f"WITH {RISK} SELECT risk, count(*) AS documents FROM risk GROUP BY risk")
+def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.detect(docs(spark, sf_dir), FOUND).groupBy("risk").agg(F.count("*").alias("documents"))
+
+
+IMAGES = [(1, 3, 3000, 1, False, 0.1, []), (1, 3, 3000, 2, True, 0.85, ["模糊", "分析失败", "x"]), (2, 5, 4000, 1, False, 0.9, ["模糊", "偏色", "x"]), (3, 25, 500, None, None, None, None), (4, 6, 800, None, None, None, None), (5, 0, 5000, None, None, None, None), (6, 2, 10, 1, True, 0.5, None)]
+
+
+@query(
+    f"""WITH {values('f', 'id, figures, words, image, likely, confidence, issues', IMAGES)}, e AS (SELECT id, figures, words, count(image) AS n, coalesce(sum((likely AND confidence > 0.5)::INT + coalesce(len(list_filter(issues[1:2], lambda x: x <> '{D.FAILED}')), 0)) FILTER (WHERE image IS NOT NULL), 0) AS seen FROM f GROUP BY id, figures, words)
+    SELECT id, CAST(CASE WHEN n > 0 THEN seen WHEN figures > 0 THEN (figures > 20)::INT + (words < 1000 AND figures > 5)::INT ELSE 0 END AS BIGINT) AS issues FROM e"""
+)
+def image_issue_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(IMAGES, "id long, figures long, words long, image long, likely boolean, confidence double, quality_issues array<string>")
+    held = rows.groupBy("id", "figures", "words").agg(F.collect_list(F.when(F.col("image").isNotNull(), F.struct("image", "likely", "confidence", "quality_issues"))).alias("images"))
+    return held.select("id", D.image_issues(F.col("images"), F.col("figures"), F.col("words")).alias("issues"))
+
+
+# Similarity
+TEMPLATED = [(1, "标题\n目录\n正文在此\n参考文献\n[1] x\n"), (2, "封面\n致谢\n第一章 附录\nbody"), (3, "Reference\nabc"), (4, "no template"), (5, "")]
+HEAD_WORDS = "|".join(similarity.TEMPLATE)
+STRIPPED = rf"regexp_replace(t, '(?i)(?:\A|\n)\s*(?:第.+(?:章|节)\s+)?(?:{HEAD_WORDS})\s*\n', chr(10), 'g')"
+
+
+@query(f"WITH {values('f', 'id, t', TEMPLATED)} SELECT id, {STRIPPED} AS stripped FROM f")
+def template_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(TEMPLATED, "id long, t string").select("id", similarity.without_template(F.col("t")).alias("stripped"))
+
+
+KEPT = rf"regexp_replace({STRIPPED}, '[^a-zA-Z0-9\x{{4E00}}-\x{{9FFF}}]', '', 'g')"
+TOKENS = rf"regexp_extract_all({STRIPPED}, '[a-zA-Z0-9]+|[\x{{4E00}}-\x{{9FFF}}]')"
+SETS = f"""{DOCS}, k AS (SELECT doc_id, {KEPT} AS k, {TOKENS} AS w FROM d),
+    cg AS (SELECT DISTINCT doc_id, substring(k, i, 8) AS g FROM k, unnest(range(1, length(k) - 6)) AS u(i)),
+    wg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ':') AS g FROM k, unnest(range(1, len(w) - 1)) AS u(i))"""
+
+
+@query(f"WITH {SETS}, c AS (SELECT doc_id, count(*) AS n FROM cg GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS grams FROM d LEFT JOIN c USING (doc_id)")
+def char_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = similarity.without_template(F.coalesce("text", F.lit("")))
+    return docs(spark, sf_dir).select("doc_id", F.size(similarity.char_grams(clean, 8)).cast("long").alias("grams"))
+
+
+@query(f"WITH {SETS}, c AS (SELECT doc_id, count(*) AS n FROM wg GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS grams FROM d LEFT JOIN c USING (doc_id)")
+def word_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = similarity.without_template(F.coalesce("text", F.lit("")))
+    return docs(spark, sf_dir).select("doc_id", F.size(similarity.word_grams(clean, 3)).cast("long").alias("grams"))
+
+
+PAIRS_AT = Similarity(hashes=16)
+SIGNED = f"""{SETS}, mh AS (SELECT doc_id, s, min(left(md5(s::VARCHAR || g), 16)) AS h FROM cg, unnest(range(0, 16)) AS u(s) GROUP BY doc_id, s),
+    sig AS (SELECT doc_id, s, coalesce(h, 'ffffffffffffffff') AS h FROM (SELECT doc_id, s FROM d, unnest(range(0, 16)) AS u(s)) LEFT JOIN mh USING (doc_id, s))"""
+
+
+@query(f"WITH {SIGNED} SELECT doc_id, string_agg(h, ',' ORDER BY s) AS signature FROM sig GROUP BY doc_id")
+def minhash_signature_k16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = similarity.without_template(F.coalesce("text", F.lit("")))
+    grams = docs(spark, sf_dir).select("doc_id", similarity.char_grams(clean, 8).alias("g"))
+    return grams.select("doc_id", F.array_join(similarity.signature(F.col("g"), 16), ",").alias("signature"))
+
+
+SIMILAR = f"""{SIGNED}, marks AS (SELECT doc_id, md5(coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM cg WHERE cg.doc_id = d.doc_id), '') || '#' || coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM wg WHERE wg.doc_id = d.doc_id), '')) AS m FROM d),
+    mem AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY m) AS class FROM marks), reps AS (SELECT DISTINCT class FROM mem),
+    cs AS (SELECT cg.* FROM cg JOIN reps ON doc_id = class), ws AS (SELECT wg.* FROM wg JOIN reps ON doc_id = class),
+    nc AS (SELECT class, count(g) AS n FROM reps LEFT JOIN cg ON doc_id = class GROUP BY class), nw AS (SELECT class, count(g) AS n FROM reps LEFT JOIN wg ON doc_id = class GROUP BY class),
+    sc AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM cs x JOIN cs y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    both0 AS (SELECT x.class AS a, y.class AS b, 0 AS n FROM nc x JOIN nc y ON x.n = 0 AND y.n = 0 AND x.class < y.class),
+    cand AS (SELECT * FROM sc UNION ALL SELECT * FROM both0),
+    sw AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM ws x JOIN ws y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    ms AS (SELECT a, b, count(*) FILTER (WHERE x.h = y.h)::DOUBLE / 16::DOUBLE AS m FROM cand JOIN sig x ON x.doc_id = a JOIN sig y ON y.doc_id = b AND x.s = y.s GROUP BY a, b),
+    scored AS (SELECT a, b, CASE WHEN ca.n = 0 OR cb.n = 0 THEN 0.0::DOUBLE ELSE cand.n::DOUBLE / (ca.n + cb.n - cand.n)::DOUBLE END AS c,
+               CASE WHEN wa.n = 0 OR wb.n = 0 THEN 0.0::DOUBLE ELSE coalesce(sw.n, 0)::DOUBLE / (wa.n + wb.n - coalesce(sw.n, 0))::DOUBLE END AS w, m
+               FROM cand LEFT JOIN sw USING (a, b) JOIN ms USING (a, b) JOIN nc ca ON ca.class = a JOIN nc cb ON cb.class = b JOIN nw wa ON wa.class = a JOIN nw wb ON wb.class = b),
+    pairs AS (SELECT a, b, {fix('(c + w + m) / 3::DOUBLE', 4)} AS similarity FROM scored)"""
+GRADE = f"CASE {' '.join(f'WHEN similarity >= {p}::DOUBLE THEN {lit(n)}' for p, n in similarity.GRADES)} ELSE '{similarity.NO_GRADE}' END"
+
+
+@query(f"WITH {SIMILAR} SELECT a, b, similarity, {GRADE} AS severity FROM pairs WHERE similarity >= 0.4::DOUBLE")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_pairs(docs(spark, sf_dir), PAIRS_AT)
+
+
+def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets, members = similarity.classes(docs(spark, sf_dir), PAIRS_AT)
+    pairs = similarity.compared(sets, PAIRS_AT).where(F.col("similarity") >= PAIRS_AT.suspect)
+    return similarity.rollup(members, pairs)
+
+
+ROLLED = f"""{SIMILAR}, sus AS (SELECT * FROM pairs WHERE similarity >= 0.4::DOUBLE), ways AS (SELECT a AS class, b AS other, similarity FROM sus UNION ALL SELECT b, a, similarity FROM sus),
+    best AS (SELECT class, count(*) AS links, max(similarity) AS highest, arg_min(other, struct_pack(s := -similarity, o := other)) AS partner FROM ways GROUP BY class),
+    rolled AS (SELECT doc_id, class, count(*) OVER (PARTITION BY class) AS copies, coalesce(highest, 0.0) AS highest, partner, coalesce(links, 0) AS links FROM mem LEFT JOIN best USING (class))"""
+
+
+@query(f"WITH {ROLLED} SELECT * FROM rolled")
+def similar_author_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rolled(spark, sf_dir)
+
+
+@query(f"WITH {ROLLED} SELECT count(*) AS documents, count(DISTINCT class) AS classes, count(*) FILTER (WHERE highest >= 0.4::DOUBLE) AS suspected, count(*) FILTER (WHERE copies > 1) AS copied FROM rolled")
+def similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rolled(spark, sf_dir).agg(F.count("*").alias("documents"), F.countDistinct("class").alias("classes"), F.count_if(F.col("highest") >= 0.4).alias("suspected"), F.count_if(F.col("copies") > 1).alias("copied"))
+
+
+@query()
+def common_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_docs = docs(spark, sf_dir)
+    return similarity.common_segments(similarity.similar_pairs(all_docs, PAIRS_AT), all_docs, PAIRS_AT)
+
+
+@query(
+    rf"""WITH {DOCS}, a AS (SELECT DISTINCT doc_id, substring(k, i, 24) AS g FROM (SELECT doc_id, regexp_replace(t, '[^a-zA-Z0-9\x{{4E00}}-\x{{9FFF}}]', '', 'g') AS k FROM d), unnest(range(1, length(k) - 22)) AS u(i)),
+    b AS (SELECT DISTINCT item_id, substring(k, i, 24) AS g FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9\x{{4E00}}-\x{{9FFF}}]', '', 'g') AS k FROM benchmark), unnest(range(1, length(k) - 22)) AS u(i))
+    SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY doc_id, item_id"""
+)
+def corpus_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.corpus_overlap(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", 24)
+
+
+# Evaluation
+DIMENSIONS = (Dimension("功能", 0.35), Dimension("代码", 0.25), Dimension("文档", 0.4))
+ANSWERS = [
+    (1, 'Here:\n```json\n{"dimension_scores": {"功能": 80, "代码": 72.5, "文档": 120}, "total_score": 3, "evaluation_basis": "b", "short_comment": "c", "core_problems": {"P1": ["y"], "P0": ["x", "z"]}}\n```\nend'),
+    (2, '{"dimension_scores": {"功能": 60}, "core_problems": ["p", "q"]}'),
+    (3, "功能：85 分\n代码: 70\n总分：77"),
+    (4, "no scores at all"),
+    (5, '`{"dimension_scores": {"文档": -5, "代码": 33.5}}`'),
+    (6, "broken {json 总得：12"),
+]
+
+
+def _eval_sql() -> str:
+    body = r"CASE WHEN regexp_matches(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```') THEN regexp_extract(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```', 1) ELSE r END"
+    j = rf"regexp_replace({strip(body)}, '\A`+|`+\z', '', 'g')"
+    half = lambda x: f"CASE WHEN {x} - floor({x}) = 0.5 THEN 2 * floor(({x} + 1) / 2) ELSE round({x}) END"
+    bound = lambda x: f"least(100.0::DOUBLE, greatest(0.0::DOUBLE, {half(x)}))"
+    score = lambda d: bound(f"coalesce(TRY_CAST(json_extract_string(j, '$.dimension_scores.\"{d.name}\"') AS DOUBLE), 0.0::DOUBLE)")
+    said = lambda d: bound(f"TRY_CAST(nullif(regexp_extract(r, '{d.name}[：:]\\s*(\\d+)', 1), '') AS DOUBLE)")
+    columns = ", ".join(f"CASE WHEN ok THEN {score(d)} WHEN regexp_matches(r, '{d.name}[：:]\\s*(\\d+)') THEN {said(d)} END AS s{n}" for n, d in enumerate(DIMENSIONS))
+    total = " + ".join(f"s{n} * {d.weight}::DOUBLE" for n, d in enumerate(DIMENSIONS))
+    return f"""{values('f', 'id, r', ANSWERS)}, g AS (SELECT id, r, {j} AS js FROM f), h AS (SELECT id, r, CASE WHEN json_valid(js) THEN js END AS j, json_valid(js) AS ok FROM g),
+    s AS (SELECT *, {columns} FROM h), e AS (SELECT *, CASE WHEN ok THEN {bound(f'({total})')} ELSE coalesce({bound("TRY_CAST(nullif(regexp_extract(r, '" + E.TOTAL + "', 1), '') AS DOUBLE)")}, 0.0::DOUBLE) END AS total FROM s)"""
+
+
+EVAL = _eval_sql()
+
+
+def _parsed(spark: SparkSession) -> DataFrame:
+    return E.parse_evaluation(spark.createDataFrame(ANSWERS, "id long, response string"), DIMENSIONS)
+
+
+@query(f"WITH {EVAL} SELECT id, ok AS parsed, s0, s1, s2, total, CASE WHEN ok THEN coalesce(json_extract_string(j, '$.short_comment'), '{E.NO_COMMENT}') ELSE '{E.UNPARSED}' END AS comment FROM e")
+def eval_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = [F.try_element_at("scores", F.lit(d.name)).alias(f"s{n}") for n, d in enumerate(DIMENSIONS)]
+    return _parsed(spark).select("id", "parsed", *scores, "total", "comment")
+
+
+@query("SELECT * FROM (VALUES (1, '[P0]x,[P0]z,[P1]y'), (2, 'p,q'), (3, ''), (4, ''), (5, ''), (6, '')) t(id, problems)")
+def eval_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark).select("id", F.array_join("problems", ",").alias("problems"))
+
+
+WEIGHTS = [(1, [0.5, 0.3, 0.2]), (2, [3.0, 1.0, 1.0]), (3, [0.9, 0.05, 0.05]), (4, [1.0]), (5, [0.2, 0.2, 0.2, 0.2]), (6, [0.0, 0.0])]
+
+
+@query(
+    f"""WITH {values('f', 'id, raw', WEIGHTS)}, w AS (SELECT id, list_transform(raw, lambda x: x::DOUBLE) AS w, list_sum(list_transform(raw, lambda x: x::DOUBLE)) AS s FROM f), q AS (SELECT id, w, s, CASE WHEN s = 0 THEN w ELSE list_transform(w, lambda x: {fix('x / s', 2)}) END AS q FROM w),
+    z AS (SELECT id, CASE WHEN s = 0 OR abs(s - 1.0::DOUBLE) <= 0.01 THEN w ELSE list_append(q[1:len(q) - 1], {fix('1.0::DOUBLE - coalesce(list_sum(q[1:len(q) - 1]), 0.0::DOUBLE)', 2)}) END AS z FROM q)
+    SELECT id, ord, least(0.5::DOUBLE, greatest(0.05::DOUBLE, z[ord])) AS weight FROM z, unnest(range(1, len(z) + 1)) AS u(ord)"""
+)
+def rubric_weight_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(WEIGHTS, "id long, w array<double>").select("id", F.posexplode(E.normalised_weights(F.col("w"))).alias("ord", "weight"))
+    return rows.select("id", (F.col("ord") + 1).cast("long").alias("ord"), "weight")
+
+
+BATCHES = [("a", 1, '```json\n[{"image_index": 1, "description": "d1", "relevance": "高", "has_caption": true, "quality_issues": ["模糊"], "is_likely_aigc": true, "aigc_confidence": 0.8}, {"image_index": 9, "description": "d9"}]\n```'), ("a", 2, "not json"), ("b", 1, '{"image_index": 1, "relevance": "低"}')]
+PICTURES = [("a", 1, 1, "body", "c1"), ("a", 1, 2, "body", "c2"), ("a", 2, 3, "conclusion", "c3"), ("b", 1, 1, "header", "c4")]
+IMAGE_ROWS = [("a", 1, 1, "body", "c1", "d1", "高", True, "模糊", True, 0.8), ("a", 1, 2, "body", "c2", "分析失败", "未知", False, "分析失败", False, 0.0), ("a", 1, 9, "", "", "d9", "未知", False, "", False, 0.0), ("a", 2, 3, "conclusion", "c3", "分析失败", "未知", False, "分析失败", False, 0.0), ("b", 1, 1, "header", "c4", "", "低", False, "", False, 0.0)]
+
+
+@query(f"WITH {values('f', 'doc, batch, image_index, section, caption, description, relevance, has_caption, quality_issues, is_likely_aigc, aigc_confidence', IMAGE_ROWS)} SELECT * REPLACE (aigc_confidence::DOUBLE AS aigc_confidence) FROM f")
+def image_json_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = spark.createDataFrame(BATCHES, "doc string, batch long, response string")
+    images = spark.createDataFrame(PICTURES, "doc string, batch long, image_index int, section string, caption string")
+    return E.parse_images(answers, images).withColumns({"quality_issues": F.array_join("quality_issues", ","), "image_index": F.col("image_index").cast("long")})
+
+
+# Scores. Labels stand in for evaluations: quality for success, and a total from the text's length.
+TOTALS = "CAST(40 + (doc_id * 37) % 61 AS DOUBLE)"
+OUT = Scale(out_low=60, out_high=90, exponent=1.5)
+EVEN = lambda x: f"CASE WHEN {x} - floor({x}) = 0.5::DOUBLE THEN 2 * floor(({x} + 1) / 2) ELSE round({x}) END"
+
+
+def _evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = (F.lit(40) + (F.col("doc_id") * 37) % 61).cast("double")
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", total.alias("total"), (F.col("quality") == 1).alias("success"))
+
+
+INPUTS = [(1, 80.0, True, True, 70.0, 0.5, False, 0.0, False), (2, 80.0, True, True, 70.0, 0.75, True, 0.0, False), (3, 80.0, True, True, 70.0, 0.75, True, 0.5, True), (4, 64.4, False, None, None, 0.9, True, 0.9, True), (5, 80.0, True, False, 70.0, None, None, None, None), (6, None, True, True, 70.0, 0.1, False, 0.0, False), (7, 50.0, True, True, 50.0, None, None, None, None)]
+MIXED = "(completeness * 0.2::DOUBLE + total * 0.8::DOUBLE) * (CASE WHEN coalesce(suspicious, false) THEN 1 - probability * 0.8::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN coalesce(has_pair, false) THEN 1 - similarity * 0.3::DOUBLE ELSE 1.0::DOUBLE END)"
+BOUND = lambda x: f"(0.0::DOUBLE + pow(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({x} - 0.0) / 100.0::DOUBLE)), 1.0) * 100.0::DOUBLE)"
+FINAL = f"CASE WHEN completeness IS NOT NULL AND evaluated AND coalesce(success, false) THEN {EVEN(BOUND('mixed'))} WHEN completeness IS NOT NULL AND NOT evaluated THEN {EVEN(BOUND('completeness'))} ELSE 0.0::DOUBLE END"
+
+
+@query(
+    f"""WITH {values('f', 'id, completeness, evaluated, success, total, probability, suspicious, similarity, has_pair', INPUTS)}, c AS (SELECT id, completeness::DOUBLE AS completeness, evaluated, success, total::DOUBLE AS total, probability::DOUBLE AS probability, suspicious, similarity::DOUBLE AS similarity, has_pair FROM f),
+    m AS (SELECT *, {MIXED} AS mixed FROM c) SELECT id, {FINAL} AS final FROM m"""
+)
+def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(INPUTS, "id long, completeness double, evaluated boolean, success boolean, total double, probability double, suspicious boolean, similarity double, has_pair boolean")
+    return rows.select("id", scoring.final_score(*[F.col(c) for c in rows.columns[1:]]).alias("final"))
+
+
+@query(f"WITH e AS (SELECT doc_id, {TOTALS} AS total, pow(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({TOTALS} - 0) / 100.0::DOUBLE)), 1.5::DOUBLE) AS p FROM labels) SELECT doc_id, total, {EVEN('(60.0::DOUBLE + p * 30.0::DOUBLE)')} AS normalised FROM e")
+def post_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluations(spark, sf_dir).select("doc_id", "total", scoring.normalise(F.col("total"), OUT).alias("normalised"))
+
+
+@query("SELECT * FROM (VALUES (1, 77.0::DOUBLE), (2, 21.0::DOUBLE), (3, 0.0::DOUBLE)) t(id, total)")
+def weighted_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, {"功能": 80, "代码": 70, "文档": 79}), (2, {"功能": 60}), (3, {})], "id long, s map<string,int>")
+    return rows.select("id", scoring.weighted_total(F.col("s"), DIMENSIONS).alias("total"))
+
+
+REPORT = f"""{COMPLETE}, {RISK.replace(DOCS + ',', '', 1).replace(' n AS', ' nn AS', 1).replace('FROM n)', 'FROM nn)', 1)},
+    ev AS (SELECT doc_id, {TOTALS} AS total, quality = 1 AS success FROM labels),
+    rep AS (SELECT k.doc_id, k.score AS completeness, total, success, total IS NOT NULL AS evaluated, risk.probability, risk.suspicious, risk.risk, NULL::DOUBLE AS similarity, false AS has_pair FROM k LEFT JOIN ev USING (doc_id) LEFT JOIN risk USING (doc_id)),
+    mix AS (SELECT *, {MIXED} AS mixed FROM rep), fin AS (SELECT *, {FINAL} AS final FROM mix)"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_docs = docs(spark, sf_dir)
+    none = spark.createDataFrame([], "doc_id long, highest double, links long")
+    risks = D.detect(all_docs, FOUND).withColumn("probability", T.fixed(F.col("probability"), 4))
+    return report.joined(all_docs.select("doc_id"), checked(spark, sf_dir).select("doc_id", "score"), _evaluations(spark, sf_dir), risks, none)
+
+
+@query(f"WITH {REPORT} SELECT row_number() OVER (ORDER BY doc_id) AS ordinal, doc_id, completeness, total AS evaluation, risk, final FROM fin")
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.numbered(_report(spark, sf_dir), "doc_id").select("ordinal", "doc_id", "completeness", "evaluation", "risk", "final")
+
+
+@query(f"SELECT count(*) AS n, avg({TOTALS}) AS mean, max({TOTALS}) AS highest, min({TOTALS}) AS lowest FROM labels WHERE quality = 1")
+def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.statistics(_evaluations(spark, sf_dir).withColumnRenamed("total", "evaluation"))
+
+
+# Incremental
+@query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+def incremental_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.pending(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("doc_id", "source")
+
+
+@query(f"WITH c AS (SELECT doc_id, {TOTALS} AS total FROM labels), n AS (SELECT doc_id, 50.0::DOUBLE AS total FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, total FROM n UNION ALL SELECT doc_id, total FROM c ANTI JOIN n USING (doc_id)")
+def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = docs(spark, sf_dir).where("doc_id % 3 = 0").select("doc_id", F.lit(50.0).alias("total"))
+    return incremental.merged(_evaluations(spark, sf_dir).select("doc_id", "total"), new, "doc_id")
+
+
+FILES = [("20210001_张三.pdf",), ("20210001_张三.docx",), ("20210001_张三.doc",), ("李四.doc",), ("李四_b.pdf",), ("x.pdf",), ("x.txt",)]
+
+
+@query("SELECT * FROM (VALUES ('20210001_张三.docx', '20210001-张三'), ('李四.doc', '李四'), ('x.pdf', 'x')) t(name, author)")
+def dedupe_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import files
+
+    return files.best(spark.createDataFrame(FILES, "name string")).select("name", "author")
+
+
+RESTORE = [("a", "80", "高风险", "-40%", "35%"), ("b", "N/A", "正常", "0%", "0%"), ("c", "55.5", "低风险", "-90%", "x"), ("d", None, "中风险", None, None)]
+
+
+@query(
+    f"""WITH {values('f', 'author, completeness, risk, deduction, similarity', RESTORE)} SELECT author, coalesce(TRY_CAST(completeness AS DOUBLE), 0.0::DOUBLE) AS score,
+    least(coalesce(TRY_CAST(nullif(regexp_extract(deduction, '(\\d+)', 1), '') AS DOUBLE), 0.0::DOUBLE) / 80.0::DOUBLE, 1.0::DOUBLE) AS probability, risk NOT IN ('正常', '低风险') AS suspicious,
+    coalesce(TRY_CAST(nullif(regexp_extract(similarity, '(\\d+)', 1), '') AS DOUBLE), 0.0::DOUBLE) / 100.0::DOUBLE AS highest FROM f"""
+)
+def excel_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import store
+
+    return store.restored(spark.createDataFrame(RESTORE, "author string, completeness string, risk string, deduction string, similarity string"))
+
+
+@query("WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, n > 0 AS success, CASE WHEN n > 0 THEN CAST(least(100, 40 + n // 100) AS DOUBLE) ELSE 0.0::DOUBLE END AS total FROM d")
+def scorer_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import scorer
+
+    return scorer.evaluate(docs(spark, sf_dir), scorer.LengthScorer())

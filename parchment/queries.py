@@ -41,7 +41,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; dealt out if they come in fewer parts than there are cores, as one small file does."""
+    found, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
 def lit(x) -> str:
@@ -418,7 +420,7 @@ def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROLLED = f"""{SIMILAR}, sus AS (SELECT * FROM pairs WHERE similarity >= 0.4::DOUBLE), ways AS (SELECT a AS class, b AS other, similarity FROM sus UNION ALL SELECT b, a, similarity FROM sus),
     best AS (SELECT class, count(*) AS links, max(similarity) AS highest, arg_min(other, struct_pack(s := -similarity, o := other)) AS partner FROM ways GROUP BY class),
-    rolled AS (SELECT doc_id, class, count(*) OVER (PARTITION BY class) AS copies, coalesce(highest, 0.0) AS highest, partner, coalesce(links, 0) AS links FROM mem LEFT JOIN best USING (class))"""
+    rolled AS (SELECT doc_id, class, count(*) OVER (PARTITION BY class) AS copies, coalesce(highest, 0.0) AS highest, coalesce(partner, -1) AS partner, coalesce(links, 0) AS links FROM mem LEFT JOIN best USING (class))"""
 
 
 @query(f"WITH {ROLLED} SELECT * FROM rolled")

@@ -35,7 +35,7 @@ def restored(summary: DataFrame) -> DataFrame:
         "author",
         F.coalesce(F.expr("try_cast(completeness AS double)"), F.lit(0.0)).alias("score"),
         F.least(digits("deduction") / 80.0, F.lit(1.0)).alias("probability"),
-        ~F.col("risk").isin(*HARMLESS).alias("suspicious"),
+        (~F.col("risk").isin(*HARMLESS)).alias("suspicious"),
         (digits("similarity") / 100.0).alias("highest"),
     )
 

@@ -177,7 +177,7 @@ def choose(texts: list[str], targets: list[int], count: int) -> list[str]:
     ranked = []
     for p, n in docs.items():
         a, b = by[1][p], by[0][p]
-        if n < max(3, LEAST_SHARE * sum(targets)) or a <= 3 * share * (a + b):
+        if n < max(3, LEAST_SHARE * sum(targets)) or a * total[0] <= 3 * b * total[1]:  # three times the other rate, whatever the shares of the labels
             continue
         g = a * np.log(a / (share * (a + b))) + (b * np.log(b / ((1 - share) * (a + b))) if b else 0)
         if g >= LEAST_GAIN:

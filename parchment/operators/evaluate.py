@@ -90,3 +90,28 @@ def parse_images(answers: DataFrame, images: DataFrame, keys: tuple[str, ...] =
         it("is_likely_aigc", False).alias("is_likely_aigc"),
         it("aigc_confidence", 0.0).alias("aigc_confidence"),
     )
+
+
+def parse_rubric(answers: DataFrame, key: str = "id", response: str = "response") -> DataFrame:
+    """(key, parsed, names, weights, sections, sections_weight, min_words, min_figures) of generated rubrics.
+
+    A dimension or section given as mere text is its own name, with weight 0.2 or 0; weights are
+    normalised; absent settings get their defaults.
+    """
+    v = answers.withColumn("_j", F.try_parse_json(unfenced(F.col(response))))
+    get = lambda path, kind: F.try_variant_get("_j", path, kind)
+    each = lambda path: F.coalesce(get(path, "array<variant>"), F.array().cast("array<variant>"))
+    name = lambda x: F.coalesce(F.try_variant_get(x, "$.name", "string"), F.try_variant_get(x, "$", "string"))
+    is_text = lambda x: F.try_variant_get(x, "$.name", "string").isNull()
+    weight = lambda x: F.when(is_text(x), F.lit(0.2)).otherwise(F.coalesce(F.try_variant_get(x, "$.weight", "double"), F.lit(0.0)))
+    sections = F.when(F.size(each("$.completeness.sections")) > 0, F.transform(each("$.completeness.sections"), name)).otherwise(F.transform(each("$.sections"), name))
+    return v.select(
+        key,
+        F.col("_j").isNotNull().alias("parsed"),
+        F.transform(each("$.dimensions"), name).alias("names"),
+        normalised_weights(F.transform(each("$.dimensions"), weight)).alias("weights"),
+        sections.alias("sections"),
+        F.coalesce(get("$.completeness.sections_weight", "double"), F.lit(40.0)).alias("sections_weight"),
+        F.coalesce(get("$.completeness.word_count.min", "long"), get("$.min_word_count", "long"), F.lit(2000)).alias("min_words"),
+        F.coalesce(get("$.completeness.figures.min", "long"), F.lit(3)).alias("min_figures"),
+    )

@@ -15,7 +15,7 @@ from .functions import text as T
 from .operators import completeness as C
 from .operators import detect as D
 from .operators import evaluate as E
-from .operators import incremental, report, scoring, segment, similarity
+from .operators import incremental, prompts, report, scoring, segment, similarity
 from .plans.rubric import Completeness, Detection, Dimension, Scale, Section, Similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -617,3 +617,47 @@ def scorer_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import scorer
 
     return scorer.evaluate(docs(spark, sf_dir), scorer.LengthScorer())
+
+
+# What graders are asked, and what the report shows
+@query(
+    f"""WITH {DOCS}, f AS (SELECT doc_id, t, {WORDS} AS words, CAST(len({FILLED}) AS BIGINT) AS paragraphs, {count('t', ' [|] ')} AS figures, {count('t', '@')} AS likely FROM d)
+    SELECT doc_id, md5((CASE WHEN length(t) > {prompts.MOST} THEN left(t, {prompts.MOST}) || {lit(prompts.CUT)} ELSE t END)
+      || printf({lit(prompts.COUNTS)}, words, paragraphs, figures, 0) || (CASE WHEN figures = 0 THEN {lit(prompts.NO_IMAGES)} ELSE '' END)
+      || (CASE WHEN likely > 0 THEN printf({lit(prompts.LIKELY)}, likely) ELSE '' END)) AS prompt_md5 FROM f"""
+)
+def grading_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    figures, likely, none = F.regexp_count(t, F.lit(" [|] ")).cast("long"), F.regexp_count(t, F.lit("@")).cast("long"), F.lit(0).cast("long")
+    suffix = prompts.metadata(T.word_count(t), T.paragraph_count(t), figures, none, likely, none)
+    return docs(spark, sf_dir).select("doc_id", F.md5(prompts.asked(t, suffix)).alias("prompt_md5"))
+
+
+SHOWN = [(d, i, f"s{i % 3}", "c" * (20 * i)) for d in ("a", "b") for i in range(1, 8 if d == "a" else 4)]
+
+
+@query(
+    f"""WITH {values('f', 'doc, image_index, section, caption', SHOWN)}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY image_index) - 1) // 5 + 1 AS batch FROM f)
+    SELECT doc, batch, string_agg(printf({lit(prompts.IMAGE_LINE)}, image_index, section, CASE WHEN length(caption) > 120 THEN left(caption, 120) || '...' ELSE caption END), chr(10) ORDER BY image_index) AS listed FROM b GROUP BY doc, batch"""
+)
+def image_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.image_lists(prompts.batched(spark.createDataFrame(SHOWN, "doc string, image_index int, section string, caption string")))
+
+
+RUBRICS = [(1, '```json\n{"dimensions": [{"name": "a", "weight": 3}, {"name": "b", "weight": 1}], "completeness": {"sections": ["x", "y"], "word_count": {"min": 500}}}\n```'), (2, '{"dimensions": ["p", "q"], "sections": ["z"], "min_word_count": 900}'), (3, "not json")]
+
+
+@query("SELECT * FROM (VALUES (1, true, 'a,b', '0.5,0.25', 'x,y', 40.0::DOUBLE, 500, 3), (2, true, 'p,q', '0.5,0.5', 'z', 40.0::DOUBLE, 900, 3), (3, false, '', '', '', 40.0::DOUBLE, 2000, 3)) t(id, parsed, names, weights, sections, sections_weight, min_words, min_figures)")
+def rubric_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.parse_rubric(spark.createDataFrame(RUBRICS, "id long, response string"))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("names", "weights", "sections")})
+
+
+@query("SELECT * FROM (VALUES (1, '与2, 3相似度90%'), (2, '与1相似度75%'), (3, '与1相似度90%')) t(doc_id, warning)")
+def similarity_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.warnings(spark.createDataFrame([(1, 2, 0.75), (1, 3, 0.9)], "a long, b long, similarity double"))
+
+
+@query(f"WITH {EVAL} SELECT id, total, s0 AS \"功能\", s1 AS \"代码\", s2 AS \"文档\" FROM e")
+def dimension_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_dimension(_parsed(spark).select("id", "total", "scores"), DIMENSIONS)

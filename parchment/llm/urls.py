@@ -7,8 +7,9 @@ against the intervals whose pattern is its host or a parent domain of it. An act
 entry lifts the blocks of its own and of shorter patterns.
 
 Each capture joins one row of its host's timeline, so a hot host makes no more rows than it has
-captures, and adaptive execution may split it. A timeline holds the entries of one host's
-suffixes, which the list bounds, not the captures.
+captures. Timelines, of the hosts that the list knows, are there `SALTS` times and captures are
+dealt over them, so a hot host's captures go to as many tasks. A timeline holds the entries of
+one host's suffixes, which the list bounds, not the captures.
 
 Edge cases: a null or unparsable url has a null host, no entries and blocked false; a null fetch
 time matches nothing; entries with null pattern, day or action are no entries; of entries on the
@@ -21,6 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SALTS = 32
+
+
 def host_of(url: Column) -> Column:
     """The lower-case host without user, port, leading `www.` and trailing dot; null if there is none."""
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
@@ -37,7 +41,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """`captures` with host, n_active, active_lists (comma-joined, sorted) and blocked, as of `fetched`."""
-    seen = captures.withColumn("_host", host_of(F.col(url)))
+    seen = captures.withColumn("_host", host_of(F.col(url))).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in captures.dtypes if "map<" not in kind and kind != "variant"]), F.lit(SALTS)).cast("int"))
     labels = F.split("_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = seen.where("_host is not null").select("_host").distinct().withColumn("pattern", F.explode(suffixes))
@@ -45,12 +49,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
         hosts.join(intervals(entries), "pattern")
         .groupBy("_host")
         .agg(F.collect_list(F.struct("list_name", "kind", "start", "stop", F.length("pattern").alias("width"))).alias("_timeline"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     day = F.to_date(F.col(fetched))
     active = F.filter("_timeline", lambda e: (e["start"] <= day) & (e["stop"].isNull() | (day < e["stop"])))
     allowed = F.array_max(F.transform(F.filter("_active", lambda e: e["kind"] == "allow"), lambda e: e["width"]))
     return (
-        seen.join(timeline, "_host", "left")
+        seen.join(timeline, ["_host", "_salt"], "left")
         .withColumn("_active", F.coalesce(active, F.array().cast("array<struct<list_name:string,kind:string,start:date,stop:date,width:int>>")))
         .withColumn("_allowed", F.coalesce(allowed, F.lit(-1)))
         .select(

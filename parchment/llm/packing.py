@@ -146,7 +146,8 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, shard_d
     idf = np.log(1 + (count.docs - seen + 0.5) / (seen + 0.5)).astype(np.float32)
     mean = float(count.mean or 1)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    shards = max(1, -(-count.tails // shard_docs))
+    # whole windows are dealt with the tails; where very long documents make many, there are more shards
+    shards = max(1, -(-count.tails // shard_docs), -(-(count["all"] - count.tails) // (50 * shard_docs)))
 
     def shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row").reset_index(drop=True)

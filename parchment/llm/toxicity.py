@@ -26,7 +26,7 @@ columns are read.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -141,7 +141,8 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x = np.array([summary(m, n) for m, n in self.margins(texts)]).reshape(len(texts), 4)
+        parts = (self.margins(texts[i : i + 256]) for i in range(0, len(texts), 256))  # the words of some texts at a time
+        x = np.array([summary(m, n) for part in parts for m, n in part]).reshape(len(texts), 4)
         return 1 / (1 + np.exp(-np.clip(x @ self.top, -30, 30)))
 
 
@@ -162,22 +163,26 @@ def summary(margins: np.ndarray, words: int) -> list[float]:
 
 def choose(texts: list[str], targets: list[int], count: int) -> list[str]:
     """Word beginnings of 4 to 10 characters whose rates tell the labels apart most (G-squared), none a part of another's beginning."""
+    split = lambda t: SIGNS.sub("", plain(t)).split()  # noqa: E731  one text's words at a time
+    beginnings = lambda words: Counter(w[:n] for w in words for n in range(4, min(len(w), 10) + 1))
+    docs: Counter[str] = Counter()
+    for t, y in zip(texts, targets, strict=True):
+        if y:
+            docs.update(beginnings(split(t)).keys())
+    # only beginnings that can qualify are counted over all rows
+    least = max(3, LEAST_SHARE * sum(targets))
+    docs = Counter({p: n for p, n in docs.items() if n >= least})
     by = [Counter(), Counter()]
-    docs: dict[str, int] = defaultdict(int)
     total = [0, 0]
     for t, y in zip(texts, targets, strict=True):
-        words = SIGNS.sub("", plain(t)).split()
+        words = split(t)
         total[y] += len(words)
-        own = Counter(w[:n] for w in words for n in range(4, min(len(w), 10) + 1))
-        by[y].update({p: min(c, 5) for p, c in own.items()})
-        if y:
-            for p in own:
-                docs[p] += 1
+        by[y].update({p: min(c, 5) for p, c in beginnings(words).items() if p in docs})
     share = total[1] / max(sum(total), 1)
     ranked = []
-    for p, n in docs.items():
+    for p in docs:
         a, b = by[1][p], by[0][p]
-        if n < max(3, LEAST_SHARE * sum(targets)) or a * total[0] <= 3 * b * total[1]:  # three times the other rate, whatever the shares of the labels
+        if a * total[0] <= 3 * b * total[1]:  # three times the other rate, whatever the shares of the labels
             continue
         g = a * np.log(a / (share * (a + b))) + (b * np.log(b / ((1 - share) * (a + b))) if b else 0)
         if g >= LEAST_GAIN:
@@ -232,9 +237,14 @@ def fit(texts: list[str], targets: list[int], landmarks: int = 48, rounds: int =
     values, vectors = np.linalg.eigh(gram.reshape(m, m))
     nystrom = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
 
-    known = kernel.rows(sorted({w for t in texts for w in SIGNS.sub("", plain(t)).split()}))
+    known: dict[str, np.ndarray] = {}
+    seen: set[str] = set()
     rows, owner = [], []
     for i, t in enumerate(texts):
+        if i % 200 == 0:  # new words, some rows at a time
+            fresh = {w for one in texts[i : i + 200] for w in SIGNS.sub("", plain(one)).split()} - seen
+            known |= kernel.rows(sorted(fresh))
+            seen |= fresh
         for s in sentences(plain(t)):
             hit = [known[w] for w in words_of(s) if w in known]
             if hit:
@@ -253,8 +263,10 @@ def fit(texts: list[str], targets: list[int], landmarks: int = 48, rounds: int =
         np.maximum.at(best, owner, margin)
         positive = vouched & ((margin > 0) | (margin == best[owner]))
     model.direction, model.bias = nystrom @ direction, bias
-    summaries = np.array([summary(s, n) for s, n in model.margins(texts)])
+    del known, seen
+    summaries = np.array([summary(s, n) for i in range(0, len(texts), 256) for s, n in model.margins(texts[i : i + 256])])
     model.top = logistic(summaries, y)
+    del model.known, model.none
     return model
 
 

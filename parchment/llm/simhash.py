@@ -20,7 +20,7 @@ an empty table gives an empty table; only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate, combinations
 
@@ -64,12 +64,12 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, of: Callable[[str | None], int] = fingerprint) -> DataFrame:
     """(doc_id long, fp long): the fingerprint's 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([of(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -141,35 +141,44 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return keyed.alias("x").join(keyed.alias("y"), F.expr(condition)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
-def _rooted(printed: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, root, component_id) of the distinct fingerprints of (doc_id, fp)."""
+def _rooted(printed: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of (doc_id, fp); linked(fp, rep) gives their pairs."""
     distinct = common.checkpoint(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = graph.components(links(distinct, max_bits).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = graph.components(linked(distinct))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
+def _within(max_bits: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda distinct: links(distinct, max_bits).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     printed = common.checkpoint(fingerprints(docs))
-    group = _rooted(printed, max_bits).select("fp", "component_id")
+    group = _rooted(printed, _within(max_bits)).select("fp", "component_id")
     return printed.join(group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component, all columns: the one of the least doc_id, nulls last; of repeated rows any one."""
+    return one_of_each(docs, fingerprint, lambda _, distinct: _within(max_bits)(distinct))
+
+
+def one_of_each(docs: DataFrame, of: Callable[[str | None], int], linked: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """`representatives` for fingerprints `of` texts; linked(rows with _rank and text, distinct fp and rep) gives pairs (u, v)."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([of(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "_fp"])
 
     # a null id ranks after all others, by its text
     rank = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
     ranked = docs.withColumn("_rank", rank)
-    printed = common.checkpoint(fingerprints(ranked.select(F.col("_rank").alias("doc_id"), "text")))
-    pairs = printed.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(_rooted(printed, max_bits), "fp")
+    printed = common.checkpoint(fingerprints(ranked.select(F.col("_rank").alias("doc_id"), "text"), of))
+    pairs = printed.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(_rooted(printed, lambda distinct: linked(ranked.select("_rank", "text"), distinct)), "fp")
     chosen = pairs.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("fp", "doc_id", "n")).alias("c"))
     pairs = common.checkpoint(pairs.join(chosen, "root", "left").select(F.col("doc_id").alias("_rank"), F.col("fp").alias("_fp"), "n", (F.col("c.fp").isNotNull() & (F.col("c.fp") == F.col("fp")) & (F.col("c.doc_id") == F.col("doc_id"))).alias("stays")))
     marked = ranked.mapInArrow(run, T.StructType([*ranked.schema.fields, T.StructField("_fp", T.LongType())]))

@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, against the operators' own brute force."""
 
+import random
 import re
 
 import pytest
@@ -32,3 +33,40 @@ def test_stages(spark, small, tmp_path):
 
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).where("offset = 0").count() > 0
+
+
+def groups_by_force(texts):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a == b or min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {find(i) for i in ids}
+
+
+def test_near_dedup_against_brute_force_jaccard(spark, small):
+    rng = random.Random(5)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    base = [[f"w{rng.randrange(500)}" for _ in range(rng.choice((3, 12, 60, 150)))] for _ in range(40)]
+    hot = [f"h{i}" for i in range(60)]
+    for n, words in enumerate([*base * 4, *[hot] * 150]):
+        words = list(words)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts[10_000 + n] = " ".join(words)
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), small).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == groups_by_force(texts)

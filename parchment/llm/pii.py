@@ -1,7 +1,7 @@
 """Operator 9, PII: bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the spans of four fixed patterns (email, ip, card, phone). Around every seed and every
-other identifier-like token the words to the left and right make lexical patterns: the word
+other identifier-like token, or run of digit groups with spaces, the words to the left and right make lexical patterns: the word
 before, the two words before, the word after, and both sides. Spark then scores the bipartite
 graph of patterns and instances in rounds: a pattern's precision for a kind is the share of its
 distinct instances known as that kind among those of any known kind or of another shape; precise
@@ -32,6 +32,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Tokens that may be identifiers: a run without white space that has a digit or an @.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
+#: Digit groups joined by spaces, dots, hyphens or brackets, of as many digits as the kinds allow.
+RUN = r"(?<![A-Za-z0-9])\(?[0-9](?:[ ().-]{0,3}[0-9]){6,18}+(?![A-Za-z0-9])"
+
 BLOCK = 256
 
 
@@ -56,14 +59,18 @@ def _matches(df: DataFrame, text: str, pattern: str, trigger: Column, out: str)
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
     df = df.withColumn("_b", F.when(F.size("_m") > 0, _before(F.zip_with("_m", F.slice("_p", F.lit(1), F.size("_m")), lambda m, p: F.length(m) + F.length(p)))))
     at = lambda i: F.get("_b", i) + F.length(F.get("_p", i))
+    # contexts run on through the neighbouring matches, two to the left and one to the right
+    part = lambda c, i, cut: F.when(i >= 0, F.coalesce(cut(F.get(c, i), F.lit(60)), F.lit(""))).otherwise(F.lit(""))
+    before = lambda i: F.right(F.concat(*[part(c, i - d, F.right) for d in (2, 1) for c in ("_p", "_m")], part("_p", i, F.right)), F.lit(60))
+    after = lambda i: F.left(F.concat(part("_p", i + 1, F.left), part("_m", i + 1, F.left), part("_p", i + 2, F.left)), F.lit(60))
     found = F.transform(
         "_m",
         lambda m, i: F.struct(
             at(i).alias("start"),
             (at(i) + F.length(m)).alias("stop"),
             m.alias("value"),
-            F.right(F.get("_p", i), F.lit(60)).alias("left"),
-            F.left(F.get("_p", i + 1), F.lit(60)).alias("right"),
+            before(i).alias("left"),
+            after(i).alias("right"),
         ),
     )
     return df.withColumn(out, F.when(F.size("_m") > 0, found).otherwise(F.array().cast(kind))).drop("_m", "_p", "_b")
@@ -96,7 +103,7 @@ def _count(spans: str, kind: int) -> Column:
 
 
 def spot(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, tokens): the seeds of each kind in listed order, and the other identifier-like tokens.
+    """(doc_id, key, base, tokens): the seeds of each kind in listed order, and the other identifier-like tokens and spaced runs of digit groups.
 
     base: array of (kind int, start, stop, value, left, right), tokens: the same without kind.
     """
@@ -107,6 +114,7 @@ def spot(docs: DataFrame) -> DataFrame:
     df = _matches(df, "t", CARD, has_digit, "card")
     df = _matches(df, "t", PHONE, F.contains("t", F.lit("+")), "phone")
     df = _matches(df, "t", TOKEN, has_digit | F.contains("t", F.lit("@")), "tokens")
+    df = _matches(df, "t", RUN, has_digit, "runs")
     df = df.withColumn("ip", F.filter("ip", lambda s: _small_parts(s["value"])))
     df = df.withColumn("card", F.filter("card", lambda s: _luhn(s["value"])))
     df = df.withColumn("phone", F.filter("phone", lambda s: F.length(_digits(s["value"])).between(9, 15)))
@@ -123,8 +131,12 @@ def spot(docs: DataFrame) -> DataFrame:
             s["right"].alias("right"),
         ),
     )
-    free = F.filter(trimmed, lambda s: (F.length(s["value"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return df.select("doc_id", _key("doc_id", "t").alias("key"), "base", F.when(F.size("tokens") > 0, free).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string,left:string,right:string>>")).alias("tokens"))
+    # runs without a space are tokens
+    spaced = F.filter("runs", lambda s: F.contains(s["value"], F.lit(" ")))
+    none = F.array().cast("array<struct<start:int,stop:int,value:string,left:string,right:string>>")
+    candidates = F.concat(F.filter(trimmed, lambda s: F.length(s["value"]) >= 6), spaced)
+    free = F.filter(candidates, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return df.select("doc_id", _key("doc_id", "t").alias("key"), "base", F.when(F.size("tokens") > 0, free).otherwise(none).alias("tokens"))
 
 
 def _shape(value: Column) -> Column:
@@ -133,8 +145,8 @@ def _shape(value: Column) -> Column:
     return (
         F.when(value.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$"), 0)
         .when(value.rlike(r"^[0-9]+([.:][0-9]+){3,7}$"), 1)
-        .when(value.rlike(r"^[0-9]+([-.][0-9]+)*$") & digits.between(13, 19), 2)
-        .when(value.rlike(r"^[0-9(][0-9().-]*[0-9]$") & digits.between(7, 12), 3)
+        .when(value.rlike(r"^[0-9]+([-. ]+[0-9]+)*$") & digits.between(13, 19), 2)
+        .when(value.rlike(r"^[0-9(][0-9(). -]*[0-9]$") & digits.between(7, 12), 3)
         .otherwise(-1)
     )
 
@@ -188,6 +200,8 @@ def find(docs: DataFrame, **limits) -> DataFrame:
         .groupBy("key")
         .agg(F.collect_set(F.struct("kind", "start", "stop")).alias("more"))
     )
+    # of nested ones the outermost counts
+    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda o: (o["start"] <= s["start"]) & (s["stop"] <= o["stop"]) & (o["stop"] - o["start"] > s["stop"] - s["start"]))))
     spans = F.array_sort(F.concat(narrow("base"), F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,stop:int>>"))))
     return spotted.join(more, "key", "left").select("doc_id", "key", narrow("base").alias("base"), spans.alias("spans"))
 

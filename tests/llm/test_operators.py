@@ -364,6 +364,21 @@ def test_op9_discovers_by_context(spark):
     assert found[100] == "phone:22:33" and found[101] == "email:26:43" and found[102] == ""
 
 
+def test_op9_discovers_spaced_numbers(spark):
+    rows = [(i, f"please call my number +1 555 010 {1000 + i} today or pay with my card 4{i + 100} 1111 1111 11{d:02d} for now") for i in range(60) for d in range(100)]
+    rows = [r for r in rows if any(x.startswith("card") for x in spans_by_force(r[1]))]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    more = ["please call my number (030) 123 4567 today", "please pay with my card 4111 1111 1111 1112 for now", "a serial (030) 123 4568 elsewhere"]
+    rows += [(10_000 + n, t) for n, t in enumerate(more)]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [found[10_000 + n] for n in range(3)] == ["phone:22:36", "card:24:43", ""]
+
+
+def test_op9_contexts_run_on_through_other_numbers(spark):
+    [row] = pii.spot(spark.createDataFrame([(1, "code a1b2c3 12345678 z9 end")], "doc_id long, text string")).collect()
+    assert [(s.left, s.right) for s in row.tokens if s.value == "12345678"] == [("code a1b2c3 ", " z9 end")]
+
+
 def test_op9_edges(spark, odd):
     rows = pii.digest(pii.find(odd)).collect()
     assert len(rows) == 11 and all(r.spans == "" for r in rows if r.doc_id != 4)

@@ -6,7 +6,7 @@ before, the two words before, the word after, and both sides. Spark then scores
 graph of patterns and instances in rounds: a pattern's precision for a kind is the share of its
 distinct instances known as that kind among those of any known kind or of another shape; precise
 patterns with enough support pass their weight to the unknown instances of a fitting shape, and
-instances of high confidence join the known ones for the next round. The unseen identifiers found
+instances of high confidence join the known ones for the next round, until a round adds none. The unseen identifiers found
 so are added to the spans; the seeds always stay.
 
 Edge cases: a null text counts as empty and has no spans; a null doc_id keeps its row; rows of
@@ -162,13 +162,19 @@ def _contexts(left: Column, right: Column) -> Column:
     )
 
 
-def discover(spotted: DataFrame, rounds: int = 2, support: int = 5, precision: float = 0.8, confidence: float = 0.9) -> DataFrame:
-    """(kind, value) of the identifiers that high-confidence patterns find among the tokens of `spotted`."""
+def discover(spotted: DataFrame, rounds: int | None = None, support: int = 5, precision: float = 0.8, confidence: float = 0.9) -> DataFrame:
+    """(kind, value) of the identifiers that high-confidence patterns find among the tokens of `spotted`.
+
+    Rounds go on until one adds no instance, or for `rounds`, if given.
+    """
     seed = spotted.select(F.explode("base").alias("s")).select("s.*").withColumn("shape", F.col("kind"))
     other = spotted.select(F.explode("tokens").alias("s")).select(F.lit(-1).alias("kind"), "s.*").withColumn("shape", _shape(F.col("value")))
     places = seed.unionByName(other).select("kind", "shape", F.lower("value").alias("value"), F.explode(_contexts(F.col("left"), F.col("right"))).alias("pattern"))
     graph = common.checkpoint(places.groupBy("pattern", "shape", "value").agg(F.max("kind").alias("kind")))
-    for _ in range(rounds):
+    before, done = -1, 0
+    # each round but the last adds instances, so the loop ends
+    while done != rounds and (now := graph.where("kind >= 0").count()) != before:
+        before, done = now, done + 1
         # an unknown token counts against a pattern only through its shape
         known = graph.groupBy("pattern", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.when(F.col("shape") < 0, -1).otherwise(-2)).alias("k")).agg(F.count("*").alias("n"))
         total = known.groupBy("pattern").agg(F.sum(F.when(F.col("k") >= -1, F.col("n")).otherwise(0)).alias("all"), F.max(F.when(F.col("k") >= 0, F.struct("n", (-F.col("k")).alias("k")))).alias("best"))

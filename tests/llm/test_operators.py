@@ -379,6 +379,15 @@ def test_op9_contexts_run_on_through_other_numbers(spark):
     assert [(s.left, s.right) for s in row.tokens if s.value == "12345678"] == [("code a1b2c3 ", " z9 end")]
 
 
+def test_op9_follows_long_chains(spark):
+    at = lambda step, value: f"{'abcdef'[step]}first {'abcdef'[step]}second {value} {'abcdef'[step]}after"
+    texts = [at(0, f"+1 555 010 {1000 + i}") for i in range(40)]
+    for step in range(5):  # each value stands where known ones stand, and once where the next do
+        texts += [at(s, f"555-0{step}00-{i}") for i in range(10, 50) for s in (step, step + 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.spans.startswith("phone:") for r in pii.digest(pii.find(rows)).collect())
+
+
 def test_op9_edges(spark, odd):
     rows = pii.digest(pii.find(odd)).collect()
     assert len(rows) == 11 and all(r.spans == "" for r in rows if r.doc_id != 4)

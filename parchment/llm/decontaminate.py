@@ -10,8 +10,10 @@ read whole, and no hit is dropped.
 The items are the query set: they go to the executors in blocks of at most `block_chars`
 characters, each block a pass of its own, so memory stays bounded however many items there are.
 
-Edge cases: null texts, and items of under `min_chars` normalised characters, match nothing; a
-null doc_id or item_id is carried; equal items each get rows; repeated documents each get rows;
+An item of under `min_chars` normalised characters counts where it stands exactly, between word
+boundaries; scripts written without spaces have one at every character.
+
+Edge cases: null texts, and items without letters or digits, match nothing; a null doc_id or item_id is carried; equal items each get rows; repeated documents each get rows;
 of several stretches the one of least distance, then the first, is reported; no documents or no
 items give no rows; only the named columns are read.
 """
@@ -31,6 +33,7 @@ from . import common
 
 CHARS_AN_EDIT = 16
 OTHER = re.compile(r"[\W_]+")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -41,6 +44,11 @@ def budget(n: int, chars_an_edit: int = CHARS_AN_EDIT) -> int:
     return n // chars_an_edit
 
 
+def bounded(text: str, a: int, b: int) -> bool:
+    """Whether words end at both sides of text[a:b]."""
+    return all(at in (0, len(text)) or " " in text[at - 1 : at + 1] or UNSPACED.search(text[at - 1 : at + 1]) for at in (a, b))
+
+
 def masks(pattern: str) -> dict[str, int]:
     found: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -73,10 +81,12 @@ def distance(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Index:
     """The pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], chars_an_edit: int):
-        self.items = [(item_id, text, masks(text), budget(len(text), chars_an_edit)) for item_id, text in items]
+    def __init__(self, items: list[tuple[int | None, str, bool]], chars_an_edit: int):
+        # a budget of -1 marks a short item
+        self.items = [(item_id, text, masks(text), -1 if short else budget(len(text), chars_an_edit)) for item_id, text, short in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, _, k) in enumerate(self.items):
+            k = max(k, 0)
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(text[a:b], []).append((n, a))
@@ -89,12 +99,17 @@ class Index:
         """(item_id, distance, end in the normalised text) of each item within its budget."""
         text = normal(text)
         windows: dict[int, list[tuple[int, int]]] = {}
+        exact: dict[int, int] = {}
         for last, (size, places) in self.automaton.iter(text):
             for n, offset in places:
                 start = last - size + 1 - offset
                 k = self.items[n][3]
+                if k < 0:
+                    if n not in exact and bounded(text, start, last + 1):
+                        exact[n] = last + 1
+                    continue
                 windows.setdefault(n, []).append((max(0, start - k), start + len(self.items[n][1]) + k))
-        found = []
+        found = [(self.items[n][0], 0, end) for n, end in exact.items()]
         for n, spans in windows.items():
             item_id, pattern, peq, k = self.items[n]
             best: tuple[int, int] | None = None
@@ -124,16 +139,16 @@ def _index(shared, chars_an_edit: int) -> Index:
     return _built["index"]
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(items: DataFrame, item_id: str, text: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[int | None, str, bool]]]:
     block, size = [], 0
     for row in items.select(F.col(item_id).cast("long"), F.col(text)).toLocalIterator():
         pattern = normal(row[1])
-        if len(pattern) < min_chars:
+        if not pattern:
             continue
         if block and size + len(pattern) > block_chars:
             yield block
             block, size = [], 0
-        block.append((row[0], pattern))
+        block.append((row[0], pattern, len(pattern) < min_chars))
         size += len(pattern)
     if block:
         yield block

@@ -437,3 +437,10 @@ def test_op10_edits_and_edges(spark, odd):
     found = decontaminate.hits(rows, items, block_chars=50).collect()
     assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in found) == sorted([(1, 7, 2), (2, 7, 0), (0, 7, 0)] * 2)
     assert decontaminate.clean(odd, items).count() == 11 and decontaminate.hits(rows, items.limit(0)).count() == 0
+
+
+def test_op10_short_items_match_exactly_between_words(spark):
+    rows = spark.createDataFrame([(1, "So: who is Ada? asked"), (2, "who is adam"), (3, "who iss ada"), (4, "他说中国的首都是哪里呢"), (5, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Who is Ada?"), (2, "首都是哪里"), (3, "?!")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.hits(rows, items).collect()) == [(1, 1, 0), (4, 2, 0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(rows, items).collect()) == [2, 3, 5]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,21 +22,29 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A temporary folder, which the process removes at its end; only where one machine does all the work."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
+    folder = tempfile.mkdtemp(prefix="parchment-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a copy in the shared folder of spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A folder of our own is set only where a local session names none, as in tests.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parchment-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where the session names none, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="parchment-shared-")
+    """The folder of spark.checkpoint.dir, or a temporary one where a local session names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -59,9 +69,25 @@ def id_bucket(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string")) % F.lit(modulus)
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int, total: int) -> DataFrame:
-    """About `bound` of the `total` rows of `df`, picked by a hash of `key`, so the same rows each time."""
-    if total <= bound:
-        return df
-    share = int(bound / total * 1_000_000)
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < share)
+def threshold(bound: int, total: int) -> int:
+    """Of hashes from 0 up to 2**62, the one below which about `bound` of `total` lie."""
+    return (bound << 62) // max(total, bound, 1)
+
+
+def bounded_rows(df: DataFrame, sized: str, bound: int, total: int, most_bytes: int = 128 << 20) -> list[Row]:
+    """About `bound` of the `total` rows of `df` and never more, repeated ones once, of at most `most_bytes` in column `sized`.
+
+    They are picked by a hash of the whole row, so the same rows each time; only sizes are
+    collected to find the cut, and then the rows below it.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.octet_length(F.col(f"`{sized}`")).alias("size"))
+    marked = named.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *[f"c{i}" for i in range(len(columns))]), 2)).where(F.col("h") < threshold(2 * bound, total))
+    cut, size = -1, 0
+    for r in marked.groupBy("h").agg(F.max("size").alias("size")).orderBy("h").limit(bound).collect():
+        size += r.size or 0
+        if size > most_bytes:
+            break
+        cut = r.h
+    rows = marked.where(F.col("h") <= cut).dropDuplicates(["h"]).orderBy("h").collect()
+    return [Row(**{c: r[i] for i, c in enumerate(df.columns)}) for r in rows]

@@ -5,8 +5,8 @@ one space, weighted by 1 + log(tf) times the idf of the training sample and scal
 length. Weights are learnt by FTRL-proximal with an elastic net (many end at exactly zero);
 a temperature then scales the logits, fitted on a part of the sample kept out of training.
 
-The fit sees a documented, bounded sample (`max_train` rows, by a hash of the id, the same rows
-each time) of rows with a language; every row of the input is predicted from its whole text.
+The fit sees a documented, bounded sample (`max_train` rows, by a hash of the row, the same rows
+each time, repeated ones once) of rows with a language; every row of the input is predicted from its whole text.
 
 Edge cases: a null or letterless text is `und` with score 0; rows without lang never train; with
 no training rows, or one language only, all lettered texts get `und` with score 0, or that
@@ -140,10 +140,10 @@ def nll(logits: np.ndarray, target: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, max_train: int = 4000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on at most about `max_train` rows of `docs` that have text and language."""
+    """Fit on at most `max_train` rows of `docs` that have text and language."""
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     total = known.select("k", "l").count()
-    rows = sorted(common.bounded_sample(known, F.col("k"), max_train, total).collect(), key=lambda r: (str(r.k), r.t))
+    rows = sorted(common.bounded_rows(known, "t", max_train, total), key=lambda r: (str(r.k), r.t))
     return fit([r.t for r in rows], [r.l for r in rows])
 
 

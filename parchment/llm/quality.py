@@ -180,10 +180,12 @@ def fit(texts: list[str], targets: list[int], epochs: int = 30, batch: int = 64,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_train: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most about `max_train` labelled rows, in a fixed order."""
+    """Texts and labels of at most `max_train` labelled rows, in a fixed order; of an id's texts, few are likely to be among them."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
-    picked = common.bounded_sample(known, F.col("doc_id"), max_train, known.count())
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").collect()  # `picked` is bounded by max_train
+    total = known.count()
+    # twice as many ids as wanted rows, as some have no text; their number is bounded, so they may be broadcast
+    few = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("label")), 2) < common.threshold(2 * max_train, total))
+    rows = common.bounded_rows(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id"), "text", max_train, min(total, 2 * max_train))
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], [r.y for r in rows]
 

@@ -12,7 +12,9 @@ from .scoring import clamp
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 #: What stands in for absent answers.
 NO_BASIS, NO_COMMENT, UNPARSED, UNKNOWN, FAILED = "未提供评分依据", "无评语", "解析失败，请人工复核", "未知", "分析失败"
+#: How answers name a total, and a score (after its dimension's name).
 TOTAL = r"总[分得分][：:]\s*(\d+)"
+SAID = r"[：:]\s*(\d+)"
 
 
 def unfenced(response: Column) -> Column:
@@ -32,7 +34,7 @@ def parse_evaluation(rows: DataFrame, dimensions: tuple[Dimension, ...], scale:
     get = lambda path, kind: F.try_variant_get("_j", path, kind)
     bounded = lambda x: clamp(F.bround(x), scale.low, scale.high)
     score = lambda d: F.coalesce(F.try_variant_get("_j", f"$.dimension_scores['{d.name}']", "double"), F.lit(0.0))
-    said = lambda d: F.nullif(F.regexp_extract(F.col(response), rf"{d.name}[：:]\s*(\d+)", 1), F.lit("")).cast("double")
+    said = lambda d: F.nullif(F.regexp_extract(F.col(response), d.name + SAID, 1), F.lit("")).cast("double")
     json_scores = F.array(*[F.struct(F.lit(d.name).alias("key"), bounded(score(d)).alias("value")) for d in dimensions])
     text_scores = F.filter(F.array(*[F.struct(F.lit(d.name).alias("key"), bounded(said(d)).alias("value")) for d in dimensions]), lambda e: e["value"].isNotNull())
     scores = F.map_from_entries(F.when(F.col("_ok"), json_scores).otherwise(text_scores))

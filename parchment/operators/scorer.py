@@ -6,6 +6,9 @@ with remote services. A grader is used within a task, a batch of rows at a time.
 
 from __future__ import annotations
 
+import json
+import re
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -13,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.rubric import Dimension
+
 
 class Scorer(Protocol):
     def score(self, text: str) -> float:
@@ -28,6 +33,31 @@ class LengthScorer:
         return float(min(100, 40 + len(text) // 100))
 
 
+class ChatScorer:
+    """A grader behind an HTTP service that answers a list of messages; any failure raises, so that `Failover` asks the next."""
+
+    def __init__(self, url: str, key: str, model: str, system: str = "", timeout: float = 180.0, dimensions: tuple[Dimension, ...] = ()):
+        self.url, self.key, self.model, self.system, self.timeout, self.dimensions = url, key, model, system, timeout, dimensions
+
+    def chat(self, messages: list[dict], temperature: float = 0.3, max_tokens: int = 4096) -> str:
+        body = json.dumps({"model": self.model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.loads(answer.read())["choices"][0]["message"]["content"]
+
+    def score(self, text: str) -> float:
+        answer = self.chat([{"role": "system", "content": self.system}, {"role": "user", "content": text}])
+        inside = re.search(r"\{.*\}", answer, re.DOTALL)
+        found = json.loads(inside[0] if inside else answer)
+        scores = found.get("dimension_scores", {})
+        total = sum(round(min(100, max(0, float(scores.get(d.name, 0))))) * d.weight for d in self.dimensions) if self.dimensions else float(found["total_score"])
+        return float(min(100, max(0, round(total))))
+
+    def judge(self, a: str, b: str) -> str:
+        """A short verdict on two texts."""
+        return self.chat([{"role": "system", "content": self.system}, {"role": "user", "content": f"论文A：\n{a}\n\n论文B：\n{b}"}], 0.1, 128)
+
+
 class Failover:
     """Each grader in turn, `rounds` times round; the one that answered last is asked first."""
 

@@ -31,16 +31,21 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return out
 
 
-def review(docs: DataFrame, rules: Completeness = Completeness(), signs: Detection = Detection(), alike: Similarity = Similarity(), grader: scorer.Scorer | None = None, cached: DataFrame | None = None, scale: Scale = Scale(), key: str = "doc_id") -> DataFrame:
-    """A report row per document. `cached` evaluations (key, success, total) are not made again; without a grader there are none."""
+def review(docs: DataFrame, rules: Completeness = Completeness(), signs: Detection = Detection(), alike: Similarity = Similarity(), grader: scorer.Scorer | None = None, cached: DataFrame | None = None, scale: Scale = Scale(), key: str = "doc_id", images: DataFrame | None = None) -> DataFrame:
+    """A report row per document. `cached` evaluations (key, success, total) are not made again; without a grader there are none.
+
+    images: (key, image_index, is_likely_aigc, aigc_confidence, quality_issues) of analysed images.
+    """
     measured = features(docs, key)
-    checked = completeness.check(measured, rules)
-    found = detect.detect(docs, signs, key)
+    if images is not None:
+        each = F.struct(F.col("image_index").alias("index"), F.col("is_likely_aigc").alias("likely"), F.col("aigc_confidence").alias("confidence"), "quality_issues")
+        measured = measured.join(images.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("images")), key, "left")
+    # completeness and signs are read from the same row, in one pass over the texts
+    found = detect.detected(completeness.check(measured, rules), signs).select(key, "title", "words", F.col("score").alias("completeness"), "probability", "suspicious", "risk")
     sets, members = similarity.classes(docs, alike, key)
-    links = similarity.rollup(members, similarity.compared(sets, alike).where(F.col("similarity") >= alike.suspect), key)
+    links = similarity.rollup(members, similarity.compared(sets, alike), alike, key)
     nothing = docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, success boolean, total double")
     done = cached if cached is not None else nothing
     fresh = scorer.evaluate(incremental.pending(docs, done, key), grader, key) if grader else nothing
     graded = incremental.merged(done, fresh, key)
-    rows = report.joined(measured.select(key, "title", "words"), checked.select(key, "score"), graded, found, links, key, scale)
-    return report.numbered(rows, key)
+    return report.numbered(report.joined(found, graded, links, key=key, scale=scale), key)

@@ -362,9 +362,9 @@ def template_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEPT = rf"regexp_replace({STRIPPED}, '[^a-zA-Z0-9\x{{4E00}}-\x{{9FFF}}]', '', 'g')"
 TOKENS = rf"regexp_extract_all({STRIPPED}, '[a-zA-Z0-9]+|[\x{{4E00}}-\x{{9FFF}}]')"
-SETS = f"""{DOCS}, k AS (SELECT doc_id, {KEPT} AS k, {TOKENS} AS w FROM d),
-    cg AS (SELECT DISTINCT doc_id, substring(k, i, 8) AS g FROM k, unnest(range(1, length(k) - 6)) AS u(i)),
-    wg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ':') AS g FROM k, unnest(range(1, len(w) - 1)) AS u(i))"""
+SETS = f"""{DOCS}, ks AS (SELECT doc_id, {KEPT} AS k, {TOKENS} AS w FROM d),
+    cg AS (SELECT DISTINCT doc_id, substring(k, i, 8) AS g FROM ks, unnest(range(1, length(k) - 6)) AS u(i)),
+    wg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ':') AS g FROM ks, unnest(range(1, len(w) - 1)) AS u(i))"""
 
 
 @query(f"WITH {SETS}, c AS (SELECT doc_id, count(*) AS n FROM cg GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS grams FROM d LEFT JOIN c USING (doc_id)")
@@ -391,36 +391,38 @@ def minhash_signature_k16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.select("doc_id", F.array_join(similarity.signature(F.col("g"), 16), ",").alias("signature"))
 
 
-SIMILAR = f"""{SIGNED}, marks AS (SELECT doc_id, md5(coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM cg WHERE cg.doc_id = d.doc_id), '') || '#' || coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM wg WHERE wg.doc_id = d.doc_id), '')) AS m FROM d),
-    mem AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY m) AS class FROM marks), reps AS (SELECT DISTINCT class FROM mem),
-    cs AS (SELECT cg.* FROM cg JOIN reps ON doc_id = class), ws AS (SELECT wg.* FROM wg JOIN reps ON doc_id = class),
-    nc AS (SELECT class, count(g) AS n FROM reps LEFT JOIN cg ON doc_id = class GROUP BY class), nw AS (SELECT class, count(g) AS n FROM reps LEFT JOIN wg ON doc_id = class GROUP BY class),
-    sc AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM cs x JOIN cs y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-    both0 AS (SELECT x.class AS a, y.class AS b, 0 AS n FROM nc x JOIN nc y ON x.n = 0 AND y.n = 0 AND x.class < y.class),
-    cand AS (SELECT * FROM sc UNION ALL SELECT * FROM both0),
-    sw AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM ws x JOIN ws y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-    ms AS (SELECT a, b, count(*) FILTER (WHERE x.h = y.h)::DOUBLE / 16::DOUBLE AS m FROM cand JOIN sig x ON x.doc_id = a JOIN sig y ON y.doc_id = b AND x.s = y.s GROUP BY a, b),
-    scored AS (SELECT a, b, CASE WHEN ca.n = 0 OR cb.n = 0 THEN 0.0::DOUBLE ELSE cand.n::DOUBLE / (ca.n + cb.n - cand.n)::DOUBLE END AS c,
-               CASE WHEN wa.n = 0 OR wb.n = 0 THEN 0.0::DOUBLE ELSE coalesce(sw.n, 0)::DOUBLE / (wa.n + wb.n - coalesce(sw.n, 0))::DOUBLE END AS w, m
-               FROM cand LEFT JOIN sw USING (a, b) JOIN ms USING (a, b) JOIN nc ca ON ca.class = a JOIN nc cb ON cb.class = b JOIN nw wa ON wa.class = a JOIN nw wb ON wb.class = b),
-    pairs AS (SELECT a, b, {fix('(c + w + m) / 3::DOUBLE', 4)} AS similarity FROM scored)"""
+# every two documents, as they are
+SIMILAR = f"""{SIGNED}, nc AS (SELECT doc_id, count(g) AS n FROM d LEFT JOIN cg USING (doc_id) GROUP BY doc_id), nw AS (SELECT doc_id, count(g) AS n FROM d LEFT JOIN wg USING (doc_id) GROUP BY doc_id),
+    sc AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM cg x JOIN cg y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    sw AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS w FROM wg x JOIN wg y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    sm AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sig x JOIN sig y ON x.s = y.s AND x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+    parts AS (SELECT a, b, coalesce(c, 0) AS c, coalesce(w, 0) AS w, coalesce(m, 0) AS m FROM sc FULL JOIN sw USING (a, b) FULL JOIN sm USING (a, b)),
+    every AS (SELECT a, b, {fix("(CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE c::DOUBLE / (ca.n + cb.n - c)::DOUBLE END + CASE WHEN w = 0 THEN 0.0::DOUBLE ELSE w::DOUBLE / (wa.n + wb.n - w)::DOUBLE END + m::DOUBLE / 16::DOUBLE) / 3::DOUBLE", 4)} AS similarity
+        FROM parts JOIN nc ca ON ca.doc_id = a JOIN nc cb ON cb.doc_id = b JOIN nw wa ON wa.doc_id = a JOIN nw wb ON wb.doc_id = b),
+    sus AS (SELECT * FROM every WHERE similarity >= 0.4::DOUBLE),
+    marks AS (SELECT doc_id, CASE WHEN nc.n + nw.n = 0 THEN '#' || doc_id ELSE coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM cg WHERE cg.doc_id = d.doc_id), '') || '#' || coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM wg WHERE wg.doc_id = d.doc_id), '') END AS m FROM d JOIN nc USING (doc_id) JOIN nw USING (doc_id)),
+    mem AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(m)) AS class, count(*) OVER (PARTITION BY md5(m)) AS copies FROM marks)"""
 GRADE = f"CASE {' '.join(f'WHEN similarity >= {p}::DOUBLE THEN {lit(n)}' for p, n in similarity.GRADES)} ELSE '{similarity.NO_GRADE}' END"
 
 
-@query(f"WITH {SIMILAR} SELECT a, b, similarity, {GRADE} AS severity FROM pairs WHERE similarity >= 0.4::DOUBLE")
+@query(f"WITH {SIMILAR} SELECT a, b, similarity, {GRADE} AS severity FROM sus WHERE a IN (SELECT class FROM mem) AND b IN (SELECT class FROM mem)")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(docs(spark, sf_dir), PAIRS_AT)
 
 
+@query(f"WITH {SIMILAR} SELECT doc_id, class, copies FROM mem")
+def similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.classes(docs(spark, sf_dir), PAIRS_AT)[1].select("doc_id", "class", "copies")
+
+
 def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets, members = similarity.classes(docs(spark, sf_dir), PAIRS_AT)
-    pairs = similarity.compared(sets, PAIRS_AT).where(F.col("similarity") >= PAIRS_AT.suspect)
-    return similarity.rollup(members, pairs)
+    return similarity.rollup(members, similarity.compared(sets, PAIRS_AT), PAIRS_AT)
 
 
-ROLLED = f"""{SIMILAR}, sus AS (SELECT * FROM pairs WHERE similarity >= 0.4::DOUBLE), ways AS (SELECT a AS class, b AS other, similarity FROM sus UNION ALL SELECT b, a, similarity FROM sus),
-    best AS (SELECT class, count(*) AS links, max(similarity) AS highest, arg_min(other, struct_pack(s := -similarity, o := other)) AS partner FROM ways GROUP BY class),
-    rolled AS (SELECT doc_id, class, count(*) OVER (PARTITION BY class) AS copies, coalesce(highest, 0.0) AS highest, coalesce(partner, -1) AS partner, coalesce(links, 0) AS links FROM mem LEFT JOIN best USING (class))"""
+ROLLED = f"""{SIMILAR}, ways AS (SELECT a AS doc_id, b AS other, similarity FROM sus UNION ALL SELECT b, a, similarity FROM sus),
+    top AS (SELECT doc_id, max(similarity) AS highest, CAST(count(*) AS BIGINT) AS links FROM ways GROUP BY doc_id), near AS (SELECT doc_id, min(other) AS partner FROM ways JOIN top USING (doc_id) WHERE similarity = highest GROUP BY doc_id),
+    rolled AS (SELECT doc_id, coalesce(highest, 0.0) AS highest, coalesce(partner, -1) AS partner, coalesce(links, 0) AS links FROM d LEFT JOIN top USING (doc_id) LEFT JOIN near USING (doc_id))"""
 
 
 @query(f"WITH {ROLLED} SELECT * FROM rolled")
@@ -428,9 +430,10 @@ def similar_author_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled(spark, sf_dir)
 
 
-@query(f"WITH {ROLLED} SELECT count(*) AS documents, count(DISTINCT class) AS classes, count(*) FILTER (WHERE highest >= 0.4::DOUBLE) AS suspected, count(*) FILTER (WHERE copies > 1) AS copied FROM rolled")
+@query(f"WITH {ROLLED} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM rolled WHERE highest >= 0.4::DOUBLE) AS suspected, (SELECT count(*) FROM sus) AS pairs, (SELECT count(*) FROM rolled WHERE highest = 1) AS copied")
 def similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolled(spark, sf_dir).agg(F.count("*").alias("documents"), F.countDistinct("class").alias("classes"), F.count_if(F.col("highest") >= 0.4).alias("suspected"), F.count_if(F.col("copies") > 1).alias("copied"))
+    found = _rolled(spark, sf_dir).agg(F.count("*").alias("documents"), F.count_if(F.col("highest") >= 0.4).alias("suspected"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.count_if(F.col("highest") == 1).alias("copied"))
+    return found.select("documents", "suspected", (F.col("links") / 2).cast("long").alias("pairs"), "copied")
 
 
 @query()
@@ -486,7 +489,10 @@ def eval_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark).select("id", "parsed", *scores, "total", "comment")
 
 
-@query("SELECT * FROM (VALUES (1, '[P0]x,[P0]z,[P1]y'), (2, 'p,q'), (3, ''), (4, ''), (5, ''), (6, '')) t(id, problems)")
+LEVELS = "list_concat(" * 2 + ", ".join(f"list_transform(coalesce(CAST(json_extract(j, '$.core_problems.{p}') AS VARCHAR[]), []), lambda x: '[{p}]' || x)" + ")" * (n > 0) for n, p in enumerate(("P0", "P1", "P2")))
+
+
+@query(f"WITH {EVAL} SELECT id, coalesce(array_to_string(CASE WHEN NOT ok THEN [] WHEN json_type(j, '$.core_problems') = 'ARRAY' THEN CAST(json_extract(j, '$.core_problems') AS VARCHAR[]) ELSE {LEVELS} END, ','), '') AS problems FROM e")
 def eval_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark).select("id", F.array_join("problems", ",").alias("problems"))
 
@@ -506,10 +512,20 @@ def rubric_weight_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BATCHES = [("a", 1, '```json\n[{"image_index": 1, "description": "d1", "relevance": "高", "has_caption": true, "quality_issues": ["模糊"], "is_likely_aigc": true, "aigc_confidence": 0.8}, {"image_index": 9, "description": "d9"}]\n```'), ("a", 2, "not json"), ("b", 1, '{"image_index": 1, "relevance": "低"}')]
 PICTURES = [("a", 1, 1, "body", "c1"), ("a", 1, 2, "body", "c2"), ("a", 2, 3, "conclusion", "c3"), ("b", 1, 1, "header", "c4")]
-IMAGE_ROWS = [("a", 1, 1, "body", "c1", "d1", "高", True, "模糊", True, 0.8), ("a", 1, 2, "body", "c2", "分析失败", "未知", False, "分析失败", False, 0.0), ("a", 1, 9, "", "", "d9", "未知", False, "", False, 0.0), ("a", 2, 3, "conclusion", "c3", "分析失败", "未知", False, "分析失败", False, 0.0), ("b", 1, 1, "header", "c4", "", "低", False, "", False, 0.0)]
 
 
-@query(f"WITH {values('f', 'doc, batch, image_index, section, caption, description, relevance, has_caption, quality_issues, is_likely_aigc, aigc_confidence', IMAGE_ROWS)} SELECT * REPLACE (aigc_confidence::DOUBLE AS aigc_confidence) FROM f")
+def _image_sql() -> str:
+    body = r"CASE WHEN regexp_matches(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```') THEN regexp_extract(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```', 1) ELSE r END"
+    text = lambda p, default: f"CASE WHEN i IS NULL THEN '{default[1]}' ELSE coalesce(json_extract_string(i, '$.{p}'), '{default[0]}') END"
+    return f"""{values('f', 'doc, batch, r', BATCHES)}, {values('p', 'doc, batch, image_index, section, caption', PICTURES)}, g AS (SELECT doc, batch, {body} AS b FROM f),
+    h AS (SELECT doc, batch, CASE WHEN starts_with(b, '{{') THEN '[' || b || ']' ELSE b END AS b FROM g), t AS (SELECT doc, batch, unnest(CAST(CASE WHEN json_valid(b) THEN b ELSE '[]' END AS JSON[])) AS i FROM h),
+    u AS (SELECT doc, batch, CAST(json_extract_string(i, '$.image_index') AS INT) AS image_index, i FROM t), x AS (SELECT * FROM p FULL JOIN u USING (doc, batch, image_index))
+    SELECT doc, batch, CAST(image_index AS BIGINT) AS image_index, coalesce(section, '') AS section, coalesce(caption, '') AS caption, {text('description', ('', E.FAILED))} AS description, {text('relevance', (E.UNKNOWN, E.UNKNOWN))} AS relevance,
+      coalesce(CAST(json_extract_string(i, '$.has_caption') AS BOOLEAN), false) AS has_caption, CASE WHEN i IS NULL THEN '{E.FAILED}' ELSE coalesce(array_to_string(CAST(json_extract(i, '$.quality_issues') AS VARCHAR[]), ','), '') END AS quality_issues,
+      coalesce(CAST(json_extract_string(i, '$.is_likely_aigc') AS BOOLEAN), false) AS is_likely_aigc, coalesce(CAST(json_extract_string(i, '$.aigc_confidence') AS DOUBLE), 0.0::DOUBLE) AS aigc_confidence FROM x"""
+
+
+@query(f"WITH {_image_sql()}")
 def image_json_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = spark.createDataFrame(BATCHES, "doc string, batch long, response string")
     images = spark.createDataFrame(PICTURES, "doc string, batch long, image_index int, section string, caption string")
@@ -547,28 +563,32 @@ def post_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluations(spark, sf_dir).select("doc_id", "total", scoring.normalise(F.col("total"), OUT).alias("normalised"))
 
 
-@query("SELECT * FROM (VALUES (1, 77.0::DOUBLE), (2, 21.0::DOUBLE), (3, 0.0::DOUBLE)) t(id, total)")
+# dimension scores of the labelled documents; every seventh lacks one
+PARTS = {"功能": "(doc_id * 37) % 101", "代码": "(doc_id * 53) % 101", "文档": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id * 71) % 101 END"}
+
+
+@query(f"WITH p AS (SELECT doc_id, {' + '.join(f'coalesce({PARTS[d.name]}, 0)::DOUBLE * {d.weight}::DOUBLE' for d in DIMENSIONS)} AS p FROM labels) SELECT doc_id, least(100.0::DOUBLE, greatest(0.0::DOUBLE, {EVEN('p')})) AS total FROM p")
 def weighted_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, {"功能": 80, "代码": 70, "文档": 79}), (2, {"功能": 60}), (3, {})], "id long, s map<string,int>")
-    return rows.select("id", scoring.weighted_total(F.col("s"), DIMENSIONS).alias("total"))
+    scores = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.expr(e).cast("int").alias("value")) for n, e in PARTS.items()]), lambda e: e["value"].isNotNull()))
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", scoring.weighted_total(scores, DIMENSIONS).alias("total"))
 
 
-REPORT = f"""{COMPLETE}, {RISK.replace(DOCS + ',', '', 1).replace(' n AS', ' nn AS', 1).replace('FROM n)', 'FROM nn)', 1)},
+REPORT = f"""{COMPLETE.replace(DOCS, ROLLED, 1).replace(' f AS', ' cf AS', 1).replace(' c AS (SELECT *', ' cc AS (SELECT *', 1).replace('FROM f)', 'FROM cf)', 1).replace('FROM c)', 'FROM cc)', 1)}, {RISK.replace(DOCS + ',', '', 1).replace(' n AS', ' nn AS', 1).replace('FROM n)', 'FROM nn)', 1)},
     ev AS (SELECT doc_id, {TOTALS} AS total, quality = 1 AS success FROM labels),
-    rep AS (SELECT k.doc_id, k.score AS completeness, total, success, total IS NOT NULL AS evaluated, risk.probability, risk.suspicious, risk.risk, NULL::DOUBLE AS similarity, false AS has_pair FROM k LEFT JOIN ev USING (doc_id) LEFT JOIN risk USING (doc_id)),
+    rep AS (SELECT k.doc_id, k.score AS completeness, total, success, total IS NOT NULL AS evaluated, risk.probability, risk.suspicious, risk.risk, rolled.highest AS similarity, rolled.links > 0 AS has_pair FROM k LEFT JOIN ev USING (doc_id) LEFT JOIN risk USING (doc_id) LEFT JOIN rolled USING (doc_id)),
     mix AS (SELECT *, {MIXED} AS mixed FROM rep), fin AS (SELECT *, {FINAL} AS final FROM mix)"""
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_docs = docs(spark, sf_dir)
-    none = spark.createDataFrame([], "doc_id long, highest double, links long")
-    risks = D.detect(all_docs, FOUND).withColumn("probability", T.fixed(F.col("probability"), 4))
-    return report.joined(all_docs.select("doc_id"), checked(spark, sf_dir).select("doc_id", "score"), _evaluations(spark, sf_dir), risks, none)
+    """Completeness and signs in one pass over the texts, joined with evaluations and similarity."""
+    found = D.detected(checked(spark, sf_dir).drop("figures", "words"), FOUND)
+    rows = found.select("doc_id", F.col("score").alias("completeness"), T.fixed(F.col("probability"), 4).alias("probability"), "suspicious", "risk")
+    return report.joined(rows, _evaluations(spark, sf_dir), _rolled(spark, sf_dir))
 
 
-@query(f"WITH {REPORT} SELECT row_number() OVER (ORDER BY doc_id) AS ordinal, doc_id, completeness, total AS evaluation, risk, final FROM fin")
+@query(f"WITH {REPORT} SELECT row_number() OVER (ORDER BY doc_id) AS ordinal, doc_id, completeness, total AS evaluation, risk, similarity, final FROM fin")
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.numbered(_report(spark, sf_dir), "doc_id").select("ordinal", "doc_id", "completeness", "evaluation", "risk", "final")
+    return report.numbered(_report(spark, sf_dir), "doc_id").select("ordinal", "doc_id", "completeness", "evaluation", "risk", F.col("highest").alias("similarity"), "final")
 
 
 @query(f"SELECT count(*) AS n, avg({TOTALS}) AS mean, max({TOTALS}) AS highest, min({TOTALS}) AS lowest FROM labels WHERE quality = 1")
@@ -591,7 +611,11 @@ def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = [("20210001_张三.pdf",), ("20210001_张三.docx",), ("20210001_张三.doc",), ("李四.doc",), ("李四_b.pdf",), ("x.pdf",), ("x.txt",)]
 
 
-@query("SELECT * FROM (VALUES ('20210001_张三.docx', '20210001-张三'), ('李四.doc', '李四'), ('x.pdf', 'x')) t(name, author)")
+@query(
+    f"""WITH {values('f', 'name', FILES)}, p AS (SELECT name, regexp_extract(name, '^(.+)[.]', 1) AS stem, list_position(['docx', 'doc', 'pdf'], regexp_extract(name, '[.]([^.]+)$', 1)) AS rank FROM f),
+    a AS (SELECT name, rank, CASE WHEN regexp_matches(stem, '^[0-9]{{6,}}_') THEN replace(stem, '_', '-') ELSE split_part(stem, '_', 1) END AS author FROM p WHERE rank > 0)
+    SELECT name, author FROM a QUALIFY row_number() OVER (PARTITION BY author ORDER BY rank, name) = 1"""
+)
 def dedupe_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import files
 
@@ -647,15 +671,34 @@ def image_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUBRICS = [(1, '```json\n{"dimensions": [{"name": "a", "weight": 3}, {"name": "b", "weight": 1}], "completeness": {"sections": ["x", "y"], "word_count": {"min": 500}}}\n```'), (2, '{"dimensions": ["p", "q"], "sections": ["z"], "min_word_count": 900}'), (3, "not json")]
 
 
-@query("SELECT * FROM (VALUES (1, true, 'a,b', '0.5,0.25', 'x,y', 40.0::DOUBLE, 500, 3), (2, true, 'p,q', '0.5,0.5', 'z', 40.0::DOUBLE, 900, 3), (3, false, '', '', '', 40.0::DOUBLE, 2000, 3)) t(id, parsed, names, weights, sections, sections_weight, min_words, min_figures)")
+def _rubric_sql() -> str:
+    body = r"CASE WHEN regexp_matches(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```') THEN regexp_extract(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```', 1) ELSE r END"
+    named = lambda x: f"coalesce(json_extract_string({x}, '$.name'), json_extract_string({x}, '$'))"
+    heavy = lambda x: f"CASE WHEN json_extract_string({x}, '$.name') IS NULL THEN 0.2::DOUBLE ELSE coalesce(TRY_CAST(json_extract_string({x}, '$.weight') AS DOUBLE), 0.0::DOUBLE) END"
+    items = lambda path: f"coalesce(CAST(json_extract(j, '{path}') AS JSON[]), [])"
+    return f"""{values('f', 'id, r', RUBRICS)}, g AS (SELECT id, {body} AS b FROM f), h AS (SELECT id, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM g),
+    w AS (SELECT id, j, list_transform({items('$.dimensions')}, lambda x: {named('x')}) AS names, list_transform({items('$.dimensions')}, lambda x: {heavy('x')}) AS w,
+          CASE WHEN len({items('$.completeness.sections')}) > 0 THEN list_transform({items('$.completeness.sections')}, lambda x: {named('x')}) ELSE list_transform({items('$.sections')}, lambda x: {named('x')}) END AS sections FROM h),
+    q AS (SELECT *, coalesce(list_sum(w), 0.0) AS s FROM w), z AS (SELECT *, CASE WHEN s = 0 OR abs(s - 1) <= 0.01 THEN w ELSE list_transform(w, lambda x: {fix('x / s', 2)}) END AS v FROM q),
+    y AS (SELECT *, CASE WHEN s = 0 OR abs(s - 1) <= 0.01 THEN v ELSE list_append(v[1:len(v) - 1], {fix('1.0::DOUBLE - coalesce(list_sum(v[1:len(v) - 1]), 0.0::DOUBLE)', 2)}) END AS u FROM z)
+    SELECT id, j IS NOT NULL AS parsed, coalesce(array_to_string(names, ','), '') AS names, coalesce(array_to_string(list_transform(u, lambda x: least(0.5::DOUBLE, greatest(0.05::DOUBLE, x))::VARCHAR), ','), '') AS weights, coalesce(array_to_string(sections, ','), '') AS sections,
+      coalesce(TRY_CAST(json_extract_string(j, '$.completeness.sections_weight') AS DOUBLE), 40.0::DOUBLE) AS sections_weight, CAST(coalesce(json_extract_string(j, '$.completeness.word_count.min'), json_extract_string(j, '$.min_word_count'), '2000') AS BIGINT) AS min_words,
+      CAST(coalesce(json_extract_string(j, '$.completeness.figures.min'), '3') AS BIGINT) AS min_figures FROM y"""
+
+
+@query(f"WITH {_rubric_sql()}")
 def rubric_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.parse_rubric(spark.createDataFrame(RUBRICS, "id long, response string"))
     return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("names", "weights", "sections")})
 
 
-@query("SELECT * FROM (VALUES (1, '与2, 3相似度90%'), (2, '与1相似度75%'), (3, '与1相似度90%')) t(doc_id, warning)")
+@query(
+    f"""WITH {SIMILAR}, w AS (SELECT a AS doc_id, b AS other, similarity FROM sus UNION ALL SELECT b, a, similarity FROM sus)
+    SELECT doc_id, '与' || string_agg(other::VARCHAR, ', ' ORDER BY other) || '相似度' || CAST({EVEN('(max(similarity) * 100)')} AS INT)::VARCHAR || '%' AS warning FROM w GROUP BY doc_id"""
+)
 def similarity_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.warnings(spark.createDataFrame([(1, 2, 0.75), (1, 3, 0.9)], "a long, b long, similarity double"))
+    sets, members = similarity.classes(docs(spark, sf_dir), PAIRS_AT)
+    return report.warnings(similarity.compared(sets, PAIRS_AT), members, PAIRS_AT.suspect)
 
 
 @query(f"WITH {EVAL} SELECT id, total, s0 AS \"功能\", s1 AS \"代码\", s2 AS \"文档\" FROM e")

@@ -10,7 +10,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import segment
 
 PRIORITY = ("docx", "doc", "pdf")
 #: The namespaces of a Word package's main part.
@@ -27,7 +28,8 @@ RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships
 PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp"}
 SALVAGED = (20, 50)  # characters of a run, and of all runs, at least
-IMAGE = "array<struct<image_index:int,paragraph:int,caption:string,mime:string,data:binary>>"
+IMAGE = "array<struct<image_index:int,paragraph:int,section:string,caption:string,mime:string,data:binary>>"
+_HEADS = {c: re.compile(rf"(?i:{p})") for c, p in segment.HEADINGS.items()}
 PARSED = f"text string, paragraphs int, tables int, figures int, images {IMAGE}, error string"
 Parser = Callable[[bytes], str]
 
@@ -43,29 +45,89 @@ def best(files: DataFrame, name: str = "name") -> DataFrame:
     return ranked.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rank")
 
 
+def _binary(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(folder).withColumn("file", F.regexp_extract("path", r"([^/]+)\z", 1))
+
+
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, path, member) of the documents in a folder, and of those in its archives, renamed after the archive; no document is read."""
+    found = _binary(spark, folder)
+    loose = found.where(extension(F.col("file")).isin(*PRIORITY)).select(F.col("file").alias("name"), "path", F.lit(None).cast("string").alias("member"))
+    packed = found.where(extension(F.col("file")) == "zip").select("file", "path", "content").mapInPandas(_listed, "name string, path string, member string")
+    return loose.unionByName(packed.join(loose.select("name"), "name", "left_anti").groupBy("name").agg(F.min(F.struct("path", "member")).alias("m")).select("name", "m.*"))
+
+
+def contents(spark: SparkSession, folder: str, chosen: DataFrame) -> DataFrame:
+    """`chosen` (name, path, member, ...) with the content of each document instead of path and member."""
+    held = _binary(spark, folder).select("path", "content").join(chosen, "path")
+    kinds = ", ".join(f"`{c}` {k}" for c, k in chosen.dtypes if c not in ("path", "member"))
+    whole = held.where("member is null").drop("path", "member")
+    return whole.unionByName(held.where("member is not null").drop("path").mapInPandas(_member, f"content binary, {kinds}"))
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, content) of the documents in a folder, and of those in its archives, renamed after the archive."""
-    found = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"), "content")
-    loose = found.where(extension(F.col("name")).isin(*PRIORITY))
-    packed = found.where(extension(F.col("name")) == "zip").mapInPandas(_unpack, "name string, content binary")
-    return loose.unionByName(packed.join(loose.select("name"), "name", "left_anti").dropDuplicates(["name"]))
+    """(name, content) of all documents in a folder and in its archives."""
+    return contents(spark, folder, names(spark, folder)).select("name", "content")
 
 
-def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out, seen = [], set()
-        for name, content in zip(f["name"], f["content"], strict=True):
+        for name, path, content in zip(f["file"], f["path"], f["content"], strict=True):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in sorted(z.namelist()):
-                        kind = PurePosixPath(member).suffix.lower()
-                        target = PurePosixPath(name).stem + kind
-                        if kind[1:] in PRIORITY and target not in seen and not PurePosixPath(member).name.startswith(("~$", ".")):
-                            seen.add(target)
-                            out.append((target, z.read(member)))
+                    members = sorted(z.namelist())
             except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
                 continue  # an archive that cannot be read holds no documents
-        yield pd.DataFrame(out, columns=["name", "content"])
+            for member in members:
+                kind = PurePosixPath(member).suffix.lower()
+                target = PurePosixPath(name).stem + kind
+                if kind[1:] in PRIORITY and target not in seen and not PurePosixPath(member).name.startswith(("~$", ".")):
+                    seen.add(target)
+                    out.append((target, path, member))
+        yield pd.DataFrame(out, columns=["name", "path", "member"])
+
+
+def _member(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(content: bytes, member: str) -> bytes:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                return z.read(member)
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+            return b""  # the parser tells why there is no text
+
+    for f in frames:
+        f["content"] = [read(c, m) for c, m in zip(f["content"], f["member"], strict=True)]
+        yield f.drop(columns=["member"])
+
+
+def requirements(path: str | Path, fallback: Parser | None = None) -> str:
+    """The text of a requirements document, a stripped line each; raises if the file is missing or has no text."""
+    path = Path(path)
+    if not path.exists():
+        raise FileNotFoundError(path)
+    content = path.read_bytes()
+    text = parse_one(path.name, content, fallback)["text"] or (content.decode("utf-8", "replace") if path.suffix.lower() in (".txt", ".md", "") else "")
+    found = "\n".join(x for x in (line.strip() for line in text.split("\n")) if x)
+    if not found:
+        raise ValueError(f"{path} has no text")
+    return found
+
+
+def compressed(data: bytes, width: int = 1024, least: int = 20) -> bytes | None:
+    """An image at most `width` wide, its ratio kept; nothing if a side is under `least`. Without an image library the bytes stay as they are."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return data
+    image = Image.open(io.BytesIO(data))
+    if image.width > width:
+        image = image.resize((width, int(image.height * width / image.width)))
+    if min(image.size) < least:
+        return None
+    out = io.BytesIO()
+    image.save(out, image.format or "PNG")
+    return out.getvalue()
 
 
 def docx(content: bytes) -> dict:
@@ -78,16 +140,17 @@ def docx(content: bytes) -> dict:
             rels = {r.get("Id"): r for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")).iter(f"{PACKAGE}Relationship")}
         paragraphs = [p for p in body if p.tag == f"{WORD}p"]
         texts = ["".join(x.text or "" if x.tag == f"{WORD}t" else "\t" if x.tag == f"{WORD}tab" else "\n" for x in p.iter() if x.tag in (f"{WORD}t", f"{WORD}tab", f"{WORD}br")).strip() for p in paragraphs]
-        images = []
+        images, section = [], "header"
         for i, p in enumerate(paragraphs):
+            section = next((c for c, h in _HEADS.items() if h.match(texts[i])), section)
             for blip in p.iter(f"{DRAWING}blip"):
                 rel = rels.get(blip.get(f"{RELATION}embed"))
                 part = rel is not None and str(PurePosixPath("word") / rel.get("Target", "")).replace("word//", "")
                 if not part or part not in names:
                     continue
                 following = texts[i + 1] if i + 1 < len(texts) else ""
-                caption = texts[i][:200] or (following if 0 < len(following) < 200 else "")
-                images.append((len(images) + 1, i, caption, TYPES.get(part.rsplit(".", 1)[-1].lower(), "image/png"), z.read(part)))
+                caption = texts[i][:200] or (following if 0 < len(following) < 200 else section)
+                images.append((len(images) + 1, i, section, caption, TYPES.get(part.rsplit(".", 1)[-1].lower(), "image/png"), z.read(part)))
     figures = sum("image" in r.get("Type", "") for r in rels.values())
     return {"text": "\n".join(t for t in texts if t), "paragraphs": len(paragraphs), "tables": sum(1 for x in body if x.tag == f"{WORD}tbl"), "figures": figures, "images": images, "error": None}
 
@@ -156,11 +219,21 @@ def parse_one(name: str, content: bytes, fallback: Parser | None = None, pdf: Pa
 
 
 def parsed(found: DataFrame, fallback: Parser | None = None, pdf: Parser | None = None) -> DataFrame:
-    """`found` (name, content) with the columns of PARSED instead of the content."""
-    read = F.udf(lambda n, c: tuple(parse_one(n, bytes(c), fallback, pdf).values()), PARSED)
-    return found.withColumn("_p", read("name", "content")).drop("content").select("*", "_p.*").drop("_p")
+    """`found` (name, content, ...) with the columns of PARSED instead of the content."""
+    rest = [(c, k) for c, k in found.dtypes if c != "content"]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [parse_one(n, bytes(c), fallback, pdf) for n, c in zip(f["name"], f["content"], strict=True)]
+            keys = ("image_index", "paragraph", "section", "caption", "mime", "data")
+            for r in rows:
+                r["images"] = [dict(zip(keys, x, strict=True)) for x in r["images"]]
+            new = pd.DataFrame(rows, columns=["text", "paragraphs", "tables", "figures", "images", "error"], index=f.index)
+            yield pd.concat([f.drop(columns=["content"]), new], axis=1)
+
+    return found.mapInPandas(read, ", ".join([*(f"`{c}` {k}" for c, k in rest), PARSED]))
 
 
 def directory(spark: SparkSession, folder: str, **parsers: Parser) -> DataFrame:
-    """A document per author, from the best of their files."""
-    return parsed(best(files(spark, folder)), **parsers)
+    """A document per author, from the best of their files; files are chosen by name and only then read."""
+    return parsed(contents(spark, folder, best(names(spark, folder))), **parsers)

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import zipfile
+from datetime import datetime
+from functools import reduce
+from xml.sax.saxutils import escape
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators import scoring
+from ..plans.rubric import Dimension, Scale
+
 #: Risks that are not suspicious, and what absent values look like.
 HARMLESS = ("正常", "低风险")
 ABSENT = "-"
@@ -40,19 +49,137 @@ def restored(summary: DataFrame) -> DataFrame:
     )
 
 
-def summary(rows: DataFrame, folder: str) -> None:
-    """The report's rows as CSV with a header, in order of their ordinal."""
-    rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.mode("overwrite").option("header", True).csv(folder)
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern matches, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    statuses = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(s.getPath().toString() for s in statuses or [])
+
+
+def restored_or_cached(spark: SparkSession, folder: str, schemas: dict[str, str], reports: str | None = None) -> dict[str, DataFrame]:
+    """The cached results; without a cache what the latest report under `reports` still tells (`report`); else empty results."""
+    if _found(spark, folder):
+        return load(spark, folder, schemas)
+    found = {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+    latest = _found(spark, f"{reports}/summary*/rows") if reports else []
+    return found | {"report": restored(spark.read.option("header", True).csv(latest[-1]))} if latest else found
+
+
+def summary(rows: DataFrame, folder: str, statistics: DataFrame | None = None, dimensions: tuple[Dimension, ...] = ()) -> None:
+    """The report as CSV tables with a header: `rows` in order of their ordinal, `statistics`, and the rubric."""
+    flat = rows.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in rows.dtypes])
+    _csv(flat.repartitionByRange("ordinal").sortWithinPartitions("ordinal"), f"{folder}/rows")
+    if statistics is not None:
+        _csv(statistics, f"{folder}/statistics")
+    if dimensions:
+        _csv(rows.sparkSession.createDataFrame([(d.name, d.weight, d.description) for d in dimensions], "dimension string, weight double, description string"), f"{folder}/rubric")
+
+
+def _csv(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(folder)
+
+
+def post_normalised(spark: SparkSession, reports: str, scale: Scale = Scale(out_low=60, out_high=90, exponent=1.5), column: str = "final") -> str:
+    """Bring the scores of the latest summary under `reports` to another scale, in a summary of its own, whose path is returned.
+
+    Rows without a number keep what they have; the summary that was read stays as it is.
+    """
+    latest = _found(spark, f"{reports}/summary*/rows")
+    if not latest:
+        raise FileNotFoundError(f"there is no summary under {reports}")
+    rows = spark.read.option("header", True).csv(latest[-1])
+    if column not in rows.columns:
+        raise ValueError(f"the summary has no column {column}")
+    score = F.expr(f"try_cast(`{column}` AS double)")
+    done = rows.withColumn(column, F.coalesce(scoring.normalise(score, scale).cast("string"), F.col(column)))
+    target = latest[-1].removesuffix("/rows").replace("/summary", "/normalized")
+    range_ = rows.agg(F.min(score).alias("lowest"), F.max(score).alias("highest"), F.count(score).alias("n"))
+    _csv(done, f"{target}/rows")
+    _csv(range_.select("*", F.lit(f"{scale.out_low:g}~{scale.out_high:g}, exponent={scale.exponent:g}").alias("scale")), f"{target}/statistics")
+    return target
+
+
+#: The headings of a report.
+TITLE, RUBRIC, SCORES, STATISTICS, COPIES, SIGNS, DETAILS = "论文评审报告", "评分维度", "评分汇总", "统计信息", "查重总结", "AIGC 检测总结", "逐个学生评审详情"
+NO_COPIES, NO_SIGNS = "✅ 未发现明显抄袭情况", "✅ 未发现明显AI生成内容"
 
 
-def markdown(rows: DataFrame, statistics: DataFrame, folder: str) -> None:
-    """The report as Markdown text: title, statistics, and a table row per document, written in order by the executors."""
+def lines(rows: DataFrame, statistics: DataFrame, dimensions: tuple[Dimension, ...] = (), pairs: DataFrame | None = None, key: str = "doc_id", at: datetime | None = None) -> DataFrame:
+    """(part, n, m, value): the lines of a report in order of the first three.
+
+    Title and time, rubric, a table row per document, statistics, similar pairs (a, b, similarity),
+    suspicious documents, and the details of each. Lists and maps of `rows` go to the details only.
+    """
     spark = rows.sparkSession
-    columns = [c for c in rows.columns if c != "ordinal"]
-    cell = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[|\n]", " "), F.lit(ABSENT))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("ordinal").cast("string"), *map(cell, columns)), F.lit(" |"))
-    s = statistics.first()
-    head = ["# Report", "", *(f"- {k}: {ABSENT if v is None else v}" for k, v in s.asDict().items()), "", "| # | " + " | ".join(columns) + " |", "|" + " --- |" * (len(columns) + 1)]
-    top = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "n long, value string")
-    body = rows.select(F.col("ordinal").cast("long").alias("n"), line.alias("value"))
-    top.unionByName(body).repartitionByRange("n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(folder)
+    kinds = dict(rows.dtypes)
+    columns = [c for c in rows.columns if c != "ordinal" and not kinds[c].startswith(("array", "map", "struct"))]
+    text = lambda c: F.coalesce(F.regexp_replace(c.cast("string"), r"[|\n]", " "), F.lit(ABSENT))
+    percent = lambda c: F.format_string("%.0f%%", F.col(c) * 100)
+    has = lambda *names: all(c in kinds for c in names)
+    numbers = statistics.first().asDict()
+
+    def fixed(part: int, *values: str) -> DataFrame:
+        return spark.createDataFrame([(part, 0, n, v) for n, v in enumerate(values)], "part int, n long, m long, value string")
+
+    def spread(part: int, found: DataFrame, n: Column, value: Column, m: Column = F.lit(0)) -> DataFrame:
+        return found.select(F.lit(part).alias("part"), n.cast("long").alias("n"), m.cast("long").alias("m"), value.alias("value"))
+
+    out = [fixed(0, f"# {TITLE}", "", f"> {(at or datetime.now()):%Y-%m-%d %H:%M}", "")]
+    if dimensions:
+        out.append(fixed(1, f"## {RUBRIC}", "", "| 维度 | 权重 | 说明 |", "| --- | --- | --- |", *(f"| {d.name} | {d.weight * 100:.0f}% | {d.description} |" for d in dimensions), ""))
+    out.append(fixed(2, f"## {SCORES}", "", "| 序号 | " + " | ".join(columns) + " |", "|" + " --- |" * (len(columns) + 1)))
+    out.append(spread(3, rows, F.col("ordinal"), F.concat(F.lit("| "), F.concat_ws(" | ", F.col("ordinal").cast("string"), *[text(F.col(f"`{c}`")) for c in columns]), F.lit(" |"))))
+    out.append(fixed(4, "", f"### {STATISTICS}", "", *(f"- {k}: **{ABSENT if v is None else v}**" for k, v in numbers.items()), "", f"## {COPIES}", ""))
+    if pairs is not None:
+        out.append(spread(5, pairs, F.xxhash64("a", "b"), F.format_string("- **%s** 与 **%s** 相似度 %.0f%%", F.col("a").cast("string"), F.col("b").cast("string"), F.col("similarity") * 100)))
+    if pairs is None or pairs.isEmpty():
+        out.append(fixed(6, NO_COPIES))
+    out.append(fixed(7, "", f"## {SIGNS}", ""))
+    suspicious = rows.where("suspicious") if has("suspicious", "risk", "probability") else None
+    if suspicious is not None:
+        out.append(spread(8, suspicious, F.col("ordinal"), F.concat(F.lit("- **"), F.col(key).cast("string"), F.lit("**："), "risk", F.lit("（AI概率 "), percent("probability"), F.lit("）"))))
+    if suspicious is None or suspicious.isEmpty():
+        out.append(fixed(9, NO_SIGNS))
+    out.append(fixed(10, "", "---", "", f"## {DETAILS}", ""))
+    title = F.concat(F.lit("### "), F.col(key).cast("string"), F.lit(" — "), text(F.col("title"))) if has("title") else F.concat(F.lit("### "), F.col(key).cast("string"))
+    said = [title, F.lit("")]
+    said += [F.concat(F.lit(f"- {c}: "), text(F.col(f"`{c}`"))) for c in columns if c not in (key, "title")]
+    for c, kind in rows.dtypes:
+        if kind == "array<string>":
+            said.append(F.concat(F.lit(f"- {c}: "), text(F.array_join(F.col(f"`{c}`"), "; "))))
+        elif kind.startswith(("array", "map", "struct")):
+            said.append(F.concat(F.lit(f"- {c}: "), text(F.to_json(F.col(f"`{c}`")))))
+    said += [F.lit(""), F.lit("---"), F.lit("")]
+    details = rows.select("ordinal", F.posexplode(F.array(*said)).alias("m", "value"))
+    out.append(spread(11, details, F.col("ordinal"), F.col("value"), F.col("m")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def markdown(rows: DataFrame, statistics: DataFrame, folder: str, dimensions: tuple[Dimension, ...] = (), pairs: DataFrame | None = None, **how) -> None:
+    """The report as Markdown text, written in order by the executors."""
+    found = lines(rows, statistics, dimensions, pairs, **how)
+    found.repartitionByRange("part", "n", "m").sortWithinPartitions("part", "n", "m").select("value").write.mode("overwrite").text(folder)
+
+
+#: The parts of a Word package.
+PACKAGE = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+}
+BODY = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>', "</w:body></w:document>"
+
+
+def word(rows: DataFrame, statistics: DataFrame, path: str, dimensions: tuple[Dimension, ...] = (), pairs: DataFrame | None = None, **how) -> None:
+    """The same report as one Word file, a paragraph a line; lines come to the driver one range at a time."""
+    found = lines(rows, statistics, dimensions, pairs, **how).repartitionByRange("part", "n", "m").sortWithinPartitions("part", "n", "m")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in PACKAGE.items():
+            z.writestr(name, content)
+        with z.open("word/document.xml", "w") as f:
+            f.write(BODY[0].encode())
+            for r in found.select("value").toLocalIterator():
+                f.write(f'<w:p><w:r><w:t xml:space="preserve">{escape(_UNPRINTABLE.sub("", r.value))}</w:t></w:r></w:p>'.encode())
+            f.write(BODY[1].encode())
+
+
+_UNPRINTABLE = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")

@@ -140,6 +140,19 @@ class Model:
         return self.forward(x, np.zeros(len(x), int), 1)["a"]
 
 
+def gradient(model: Model, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The slope of the mean cross-entropy of bags with labels `y` in each weight."""
+    w, n = model.w, len(y)
+    f = model.forward(x, bag, n)
+    dy = (f["p"] - y) / n
+    dz = dy[:, None] * w["c"]
+    through = (dz[bag] * f["h"]).sum(axis=1)
+    ds = f["a"] * (through - np.bincount(bag, f["a"] * through, n)[bag])
+    dt, dg = ds[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), ds[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
+    return {"E": x.T @ dh, "e": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ dy, "d": dy.sum()}
+
+
 def fit(texts: list[str], targets: list[int], epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Model:
     y = np.array(targets, float)
     if not len(y) or y.min() == y.max():
@@ -161,14 +174,7 @@ def fit(texts: list[str], targets: list[int], epochs: int = 30, batch: int = 64,
             chosen = order[i : i + batch]
             x = np.concatenate([xs[k] for k in chosen])
             bag = np.repeat(np.arange(len(chosen)), [len(xs[k]) for k in chosen])
-            f = model.forward(x, bag, len(chosen))
-            dy = (f["p"] - y[chosen]) / len(chosen)
-            dz = dy[:, None] * w["c"]
-            through = (dz[bag] * f["h"]).sum(axis=1)
-            ds = f["a"] * (through - np.bincount(bag, f["a"] * through, len(chosen))[bag])
-            dt, dg = ds[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), ds[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
-            grads = {"E": x.T @ dh, "e": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ dy, "d": dy.sum()}
+            grads = gradient(model, x, bag, y[chosen])
             step += 1
             now = rate * (1 - 0.9 * epoch / epochs)
             for k, g in grads.items():

@@ -1,19 +1,24 @@
 """Operator 7, toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Two strings are as alike as the gapped subsequences of three characters they share; each character
-that a subsequence spans costs a factor, so inserted and left-out characters lower the kernel but
-do not break it. Words carry start and end marks; letters spelt out one by one are joined first.
-A sentence's kernel with a landmark is the sum over its distinct words of the cubed, normalised word kernel.
-The landmarks are word beginnings that tell the labels of the training rows apart. Sentences are
-mapped by the landmarks' kernel to the power -1/2 (Nyström), and a linear support vector machine
-is trained on the sentences of labelled documents; a document with label 1 vouches only for its
-most suspect sentences, which are chosen anew in each round. A document's score is a logistic
-function of the sum, the mean by words, and the maximum of its sentences' positive margins.
-
-A word shares its kernel with a landmark only if it has at least `COVER` of the landmark's
-distinct letters; else the kernel counts as zero, for training and scoring alike.
-
-The fit sees a documented, bounded sample (`max_train` labelled rows, by a hash of the id);
+Two words are as alike as the gapped subsequences of three characters they share, that span `SPAN`
+characters at most; each character that a subsequence spans costs a factor, so inserted, changed
+and left-out characters lower the kernel but do not break it. Words carry start and end marks.
+Letters spelt out one by one are joined first, and where a beginning of a landmark and an end of
+one follow each other as words, they are also read as one word. A sentence's kernel with a landmark
+is the sum over its distinct words of the normalised word kernel to the power `POWER`, without values below `TINY`.
+
+The landmarks are words of the training rows: those whose rates tell the labels apart, and the
+frequent words of rows with label 0 that resemble them, so that the machine can tell the two
+apart. Sentences are mapped by the landmarks' kernel to the power -1/2 (Nyström), and a linear
+support vector machine is trained on the sentences of labelled documents; a document with label 1
+vouches only for its most suspect sentences, which are chosen anew in each round. A document's score
+is a logistic function of the sum, the mean by words, and the maximum of its sentences' positive margins.
+
+The kernel is an explicit sum over subsequences, so one pass over a word's triples gives its kernel
+with all landmarks. The exact norm is computed only for words that a lower bound of the norm
+(their unbroken triples alone) lets reach `TINY`; the others would count as zero anyway.
+
+The fit sees a documented, bounded sample (`max_train` labelled rows, by a hash of the row);
 every row of the input is scored from its whole text.
 
 Edge cases: a null, empty or wordless text has no margins and gets the score of that; rows whose
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,13 +40,17 @@ from pyspark.sql import DataFrame
 from . import quality
 
 PREDICT_AT = 0.3
-LENGTH, DECAY, POWER, COVER = 3, 0.4, 3, 0.8
+DECAY, POWER, SPAN, TINY = 0.4, 2.5, 8, 0.03
 LEAST_GAIN, LEAST_SHARE = 15.0, 0.01  # of a landmark: G-squared (halved), and share of the documents with label 1
+ALIKE = 0.5  # a word this close to a landmark is none
 WIDE = 24  # characters of a word that are compared at once; longer words go in overlapping parts
 CACHED = 300_000
 SIGNS = re.compile(r"[^\w\s]|_")
-SPELT = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)")
+SPELT = re.compile(r"(?<!\w)[^\W\d_]([ .*_-])(?:[^\W\d_]\1){2,}[^\W\d_](?!\w)")
 MARK = "^"
+VIRTUAL = 0.1  # weight of the virtual examples, against one half of either label's sentences
+#: The second and third place of a triple, after the first.
+STEPS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
 
 
 def plain(text: str | None) -> str:
@@ -55,63 +65,118 @@ def parts(word: str) -> list[str]:
 
 
 def matrix(strings: list[str]) -> np.ndarray:
-    codes = np.array(strings, dtype=f"U{WIDE}") if strings else np.zeros(0, f"U{WIDE}")
-    return codes.view(np.uint32).reshape(len(strings), WIDE).astype(np.int64)
-
-
-def letters(codes: np.ndarray) -> np.ndarray:
-    """A bit for each character that occurs, marks and padding aside."""
-    bits = np.where((codes > 0) & (codes != ord(MARK)) & (codes != ord("$")), np.uint64(1) << (codes % 64).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1) if len(bits) else np.zeros(0, np.uint64)
-
-
-def subsequences(a: np.ndarray, b: np.ndarray, n: int = LENGTH, decay: float = DECAY) -> np.ndarray:
-    """The gap-weighted subsequence kernel of the strings in each row of two code matrices (0 pads)."""
-    wa, wb = int((a > 0).sum(axis=1).max(initial=0)), int((b > 0).sum(axis=1).max(initial=0))
-    match = ((a[:, :wa, None] == b[:, None, :wb]) & (a[:, :wa, None] > 0)).astype(np.float32) * np.float32(decay**2)
-    # a power of the decay for each place skipped, in either string
-    fade = lambda w: np.where((d := np.arange(w)[None, :] - np.arange(w)[:, None]) >= 0, float(decay) ** np.maximum(d, 0), 0.0).astype(np.float32)
-    fa, fb = fade(wa).T, fade(wb)
-    hit = match
-    for _ in range(n - 1):
-        ended = fa @ (hit @ fb)  # of the subsequences that end within both prefixes
-        hit = np.zeros_like(match)
-        hit[:, 1:, 1:] = match[:, 1:, 1:] * ended[:, :-1, :-1]
-    return hit.sum(axis=(1, 2), dtype=np.float64)
+    """The strings' code points, zeros after their ends."""
+    width = max(map(len, strings), default=1)
+    return np.array(strings or [""], f"U{width}").view(np.uint32).reshape(-1, width)[: len(strings)].astype(np.int64)
+
+
+def triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the numbers of its triples (characters below 2**20 each), -1 for none, and the weight of each column."""
+    columns, weights = [], []
+    for a, b in STEPS:
+        width = codes.shape[1] - b
+        if width > 0:
+            key = (codes[:, :width] << 40) | (codes[:, a : a + width] << 20) | codes[:, b : b + width]
+            key[codes[:, b : b + width] == 0] = -1
+            columns.append(key)
+            weights.append(np.full(width, DECAY ** (b + 1)))
+    if not columns:
+        return np.full((len(codes), 1), -1), np.zeros(1)
+    return np.concatenate(columns, axis=1), np.concatenate(weights)
+
+
+def norms(strings: list[str]) -> np.ndarray:
+    """The kernel of each string with itself."""
+    found = np.zeros(len(strings))
+    for at in range(0, len(strings), 2000):
+        key, weight = triples(matrix(strings[at : at + 2000]))
+        order = np.argsort(key, axis=1)
+        key, weight = np.take_along_axis(key, order, 1).reshape(-1), np.where(np.take_along_axis(key, order, 1) < 0, 0.0, weight[order]).reshape(-1)
+        row = np.repeat(np.arange(len(order)), order.shape[1])
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+        found[at : at + 2000] = np.bincount(row[first], np.add.reduceat(weight, first) ** 2, len(order))
+    return found
 
 
 class Kernel:
-    """Word kernels with fixed landmarks."""
+    """Word kernels with fixed landmarks, normalised and to the power POWER."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = matrix([f"{MARK}{MARK}{x}"[:WIDE] for x in landmarks])
-        self.bits = letters(self.codes)
-        self.least = np.ceil(COVER * np.bitwise_count(self.bits)).astype(np.int64)
-        self.own = subsequences(self.codes, self.codes)
+        strings = [f"{MARK}{MARK}{x}$"[:WIDE] for x in landmarks]
+        self.own = norms(strings)
+        # characters of landmarks are numbered from 1, all others are 0
+        self.letters = np.unique(np.concatenate([np.unique(r[r > 0]) for r in matrix(strings)]))
+        self.base = len(self.letters) + 1
+        codes = self._numbered(matrix(strings))
+        table: dict[int, int] = {}
+        features = []
+        for a, b in STEPS:
+            width = codes.shape[1] - b
+            for j, i in zip(*np.nonzero(codes[:, b:]), strict=True) if width > 0 else ():
+                key = (codes[j, i] * self.base + codes[j, i + a]) * self.base + codes[j, i + b]
+                features.append((table.setdefault(int(key), len(table) + 1), j, DECAY ** (b + 1)))
+        self.row = np.zeros(self.base**3, np.int32)
+        self.row[list(table)] = list(table.values())
+        self.map = np.zeros((len(table) + 1, len(landmarks)), np.float32)
+        for r, j, x in features:
+            self.map[r, j] += x
+        self.starts = {x[:n] for x in landmarks for n in range(1, len(x))}
+        self.ends = {x[n:] for x in landmarks for n in range(1, len(x))}
+
+    def _numbered(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, 0)
+
+    def raw(self, strings: list[str]) -> np.ndarray:
+        """The plain kernel of each string with each landmark."""
+        n, size = len(strings), len(self.map)
+        codes = self._numbered(matrix(strings)).astype(np.int32)
+        cells, weights = [], []
+        for a, b in STEPS:
+            width = codes.shape[1] - b
+            if width <= 0:
+                continue
+            x, y, z = codes[:, :width], codes[:, a : a + width], codes[:, b : b + width]
+            row = self.row[(x * self.base + y) * self.base + z]
+            row[(x == 0) | (y == 0) | (z == 0)] = 0
+            i, c = np.nonzero(row)
+            cells.append(i * size + row[i, c])
+            weights.append(np.full(len(i), DECAY ** (b + 1), np.float32))
+        if not cells:
+            return np.zeros((n, len(self.landmarks)))
+        held = np.bincount(np.concatenate(cells), np.concatenate(weights), n * size).astype(np.float32)
+        return (held.reshape(n, size) @ self.map).astype(float)
 
     def rows(self, words: list[str]) -> dict[str, np.ndarray]:
-        """The kernels of those words that have any."""
-        strings, owner = [], []
-        for w in words:
-            p = parts(w)
-            strings += p
-            owner += [w] * len(p)
+        """The kernels of those words that have any of TINY or more; of a long word the greatest of its parts."""
+        pairs = sorted(((p, w) for w in words for p in parts(w)), key=lambda x: len(x[0]))
         found: dict[str, np.ndarray] = {}
-        for at in range(0, len(strings), 20_000):
-            codes = matrix(strings[at : at + 20_000])
-            bits = letters(codes)
-            i, j = np.nonzero(np.bitwise_count(bits[:, None] & self.bits) >= self.least)
-            for k in range(0, len(i), 8_000):
-                a, b = i[k : k + 8_000], j[k : k + 8_000]
-                used, back = np.unique(a, return_inverse=True)
-                own = subsequences(codes[used], codes[used])[back]
-                value = (subsequences(codes[a], self.codes[b]) / np.sqrt(np.maximum(own * self.own[b], 1e-300))) ** POWER
-                for r, c, x in zip(a.tolist(), b.tolist(), value.tolist(), strict=True):
-                    row = found.setdefault(owner[at + r], np.zeros(len(self.landmarks)))
-                    row[c] = max(row[c], x)
+        least = TINY ** (1 / POWER)
+        for at in range(0, len(pairs), 2000):
+            strings = [p for p, _ in pairs[at : at + 2000]]
+            raw = self.raw(strings) / np.sqrt(self.own)
+            # the unbroken triples alone give a norm of so much at least
+            bound = np.sqrt(np.maximum(np.array([len(p) - 2 for p in strings]), 1) * DECAY**6)
+            near = np.flatnonzero(raw.max(axis=1) >= least * bound)
+            if not len(near):
+                continue
+            value = (raw[near] / np.sqrt(norms([strings[i] for i in near]))[:, None]) ** POWER
+            value[value < TINY] = 0
+            for i, x in zip(near.tolist(), value, strict=True):
+                if x.any():
+                    w = pairs[at + i][1]
+                    found[w] = np.maximum(found[w], x) if w in found else x
         return found
 
+    def tokens(self, sentence: str) -> list[str]:
+        """The distinct words of a sentence, and what two of them make that are a start and an end of landmarks."""
+        words = SIGNS.sub("", sentence).split()
+        found = dict.fromkeys(words)
+        if not self.starts.isdisjoint(found):
+            found |= dict.fromkeys(a + b for a, b in zip(words, words[1:]) if a in self.starts and b in self.ends)
+        return list(found)
+
 
 class Model:
     def __init__(self, constant: float | None = None):
@@ -126,15 +191,23 @@ class Model:
             self.known, self.none = {}, set()
         low = [plain(t) for t in texts]
         words = [SIGNS.sub("", t).split() for t in low]
-        fresh = {w for x in words for w in x} - self.known.keys() - self.none
-        rows = self.kernel.rows(sorted(fresh))
-        self.known |= {w: r @ self.direction for w, r in rows.items()}
+        fresh = {w for x in words for w in x}
+        for x in words:
+            if not self.kernel.starts.isdisjoint(x):
+                fresh.update(a + b for a, b in zip(x, x[1:]) if a in self.kernel.starts and b in self.kernel.ends)
+        fresh -= self.known.keys()
+        fresh -= self.none
+        rows = self.kernel.rows(list(fresh))
+        self.known |= {w: float(r @ self.direction) for w, r in rows.items()}
         self.none |= fresh - rows.keys()
         out = []
         for t, x in zip(low, words, strict=True):
             sums = []
-            if not self.known.keys().isdisjoint(x):
-                sums = [s for s in (sum(self.known[w] for w in words_of(one) if w in self.known) for one in sentences(t)) if s]
+            if not self.known.keys().isdisjoint(x) or not self.kernel.starts.isdisjoint(x):
+                for one in sentences(t):
+                    hits = [self.known[w] for w in self.kernel.tokens(one) if w in self.known]
+                    if hits:
+                        sums.append(sum(hits))
             out.append((np.array(sums, float) - self.bias, len(x)))
         return out
 
@@ -151,49 +224,64 @@ def sentences(text: str) -> list[str]:
     return list(dict.fromkeys(re.split(r"(?<=[.!?])\s+|\n+", text)))
 
 
-def words_of(sentence: str) -> list[str]:
-    """The distinct words of a sentence."""
-    return list(dict.fromkeys(SIGNS.sub("", sentence).split()))
-
-
 def summary(margins: np.ndarray, words: int) -> list[float]:
+    """One, and measures that grow with the positive margins ever more slowly: of their sum, of their share of the words, and the greatest."""
     positive = np.maximum(margins, 0)
-    return [1.0, np.log1p(positive.sum()), min(30 * positive.sum() / (words + 10), 6.0), min(positive.max(initial=0), 3.0)]
+    return [1.0, np.log1p(positive.sum()), np.log1p(30 * positive.sum() / (words + 10)), np.log1p(positive.max(initial=0))]
+
+
+def split(text: str) -> list[str]:
+    return SIGNS.sub("", plain(text)).split()
 
 
 def choose(texts: list[str], targets: list[int], count: int) -> list[str]:
-    """Word beginnings of 4 to 10 characters whose rates tell the labels apart most (G-squared), none a part of another's beginning."""
-    split = lambda t: SIGNS.sub("", plain(t)).split()  # noqa: E731  one text's words at a time
-    beginnings = lambda words: Counter(w[:n] for w in words for n in range(4, min(len(w), 10) + 1))
+    """Words of three letters or more whose rates tell the labels apart most (G-squared), none close to another."""
     docs: Counter[str] = Counter()
     for t, y in zip(texts, targets, strict=True):
         if y:
-            docs.update(beginnings(split(t)).keys())
-    # only beginnings that can qualify are counted over all rows
+            docs.update({w for w in split(t) if 3 <= len(w) <= WIDE - 3})
+    # only words that can qualify are counted over all rows
     least = max(3, LEAST_SHARE * sum(targets))
-    docs = Counter({p: n for p, n in docs.items() if n >= least})
-    by = [Counter(), Counter()]
-    total = [0, 0]
+    docs = Counter({w: n for w, n in docs.items() if n >= least})
+    by, total = [Counter(), Counter()], [0, 0]
     for t, y in zip(texts, targets, strict=True):
-        words = split(t)
-        total[y] += len(words)
-        by[y].update({p: min(c, 5) for p, c in beginnings(words).items() if p in docs})
+        by[y].update(docs.keys() & set(split(t)))
+        total[y] += 1
     share = total[1] / max(sum(total), 1)
     ranked = []
-    for p in docs:
-        a, b = by[1][p], by[0][p]
+    for w in docs:
+        a, b = by[1][w], by[0][w]
         if a * total[0] <= 3 * b * total[1]:  # three times the other rate, whatever the shares of the labels
             continue
         g = a * np.log(a / (share * (a + b))) + (b * np.log(b / ((1 - share) * (a + b))) if b else 0)
         if g >= LEAST_GAIN:
-            ranked.append((-g, -len(p), p))
+            ranked.append((-g, len(w), w))
     kept: list[str] = []
-    for _, _, p in sorted(ranked):
-        if len(kept) < count and not any(p.startswith(k) or k.startswith(p) for k in kept):
-            kept.append(p)
+    kernel = None
+    for _, _, w in sorted(ranked):
+        if len(kept) == count:
+            break
+        if kernel is None or (found := kernel.rows([w]).get(w)) is None or found.max() < ALIKE:
+            kept.append(w)
+            kernel = Kernel(kept)
     return kept
 
 
+def contrast(texts: list[str], targets: list[int], landmarks: list[str], count: int) -> list[str]:
+    """Frequent words of rows with label 0 that resemble the landmarks."""
+    kernel, seen, near = Kernel(landmarks), set(), Counter()
+    clean = [t for t, y in zip(texts, targets, strict=True) if not y]
+    known: set[str] = set()
+    for at in range(0, len(clean), 200):
+        words = [set(split(t)) for t in clean[at : at + 200]]
+        fresh = set().union(*words) - seen
+        known |= {w for w, x in kernel.rows(list(fresh)).items() if x.max() < ALIKE and 3 <= len(w) <= WIDE - 3}
+        seen |= fresh
+        for x in words:
+            near.update(x & known)
+    return [w for w, n in sorted(near.items(), key=lambda x: (-x[1], x[0]))[:count] if n >= 3]
+
+
 def separate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """A linear support vector machine of squared hinge loss, by Newton steps."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -222,42 +310,53 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], targets: list[int], landmarks: int = 48, rounds: int = 4) -> Model:
+def variants(word: str) -> list[str]:
+    """The word with one character put in, taken out or overwritten, not at its ends."""
+    inner = range(1, len(word) - 1)
+    return [*(word[:i] + "0" + word[i:] for i in range(1, len(word))), *(word[:i] + word[i + 1 :] for i in inner), *(word[:i] + "0" + word[i + 1 :] for i in inner)]
+
+
+def fit(texts: list[str], targets: list[int], landmarks: int = 48, contrasts: int = 24, rounds: int = 4) -> Model:
     y = np.array(targets, int)
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.5)
     chosen = choose(texts, targets, landmarks)
     if not chosen:
         return Model(float(y.mean()))
+    marked = len(chosen)
+    chosen += contrast(texts, targets, chosen, contrasts)
     model = Model()
     kernel = model.kernel = Kernel(chosen)
-    m = len(chosen)
-    a, b = np.divmod(np.arange(m * m), m)
-    gram = (subsequences(kernel.codes[a], kernel.codes[b]) / np.sqrt(kernel.own[a] * kernel.own[b])) ** POWER
-    values, vectors = np.linalg.eigh(gram.reshape(m, m))
-    nystrom = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    rows = kernel.rows(chosen)
+    gram = np.array([rows[w] for w in chosen])
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
 
     known: dict[str, np.ndarray] = {}
     seen: set[str] = set()
     rows, owner = [], []
-    for i, t in enumerate(texts):
-        if i % 200 == 0:  # new words, some rows at a time
-            fresh = {w for one in texts[i : i + 200] for w in SIGNS.sub("", plain(one)).split()} - seen
-            known |= kernel.rows(sorted(fresh))
-            seen |= fresh
-        for s in sentences(plain(t)):
-            hit = [known[w] for w in words_of(s) if w in known]
-            if hit:
-                rows.append(sum(hit))
-                owner.append(i)
+    for at in range(0, len(texts), 200):  # new words, some rows at a time
+        cut = [[kernel.tokens(one) for one in sentences(plain(t))] for t in texts[at : at + 200]]
+        fresh = {w for x in cut for one in x for w in one} - seen
+        known |= kernel.rows(list(fresh))
+        seen |= fresh
+        for i, x in enumerate(cut, at):
+            for one in x:
+                hit = [known[w] for w in one if w in known]
+                if hit:
+                    rows.append(sum(hit))
+                    owner.append(i)
     x, owner = np.array(rows) @ nystrom, np.array(owner)
+    # virtual examples: what the machine is to tolerate, as sentences of one word each
+    bent = {w: v for w, v in kernel.rows([v for w in chosen[:marked] for v in variants(w)]).items() if w not in known}
+    virtual = np.array(list(bent.values())).reshape(len(bent), len(chosen)) @ nystrom
     vouched = y[owner] == 1
     positive = vouched.copy()
     for _ in range(rounds):
         used = positive | ~vouched
         sign = np.where(positive, 1.0, -1.0)[used]
         weight = np.where(sign > 0, 0.5 / max(positive.sum(), 1), 0.5 / max((~vouched).sum(), 1)) * 200
-        direction, bias = separate(x[used], sign, weight)
+        direction, bias = separate(np.concatenate((x[used], virtual)), np.append(sign, np.ones(len(virtual))), np.append(weight, np.full(len(virtual), VIRTUAL * 200 / max(len(virtual), 1))))
         margin = x @ direction - bias
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, margin)

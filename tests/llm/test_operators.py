@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parchment.llm import decontaminate, graph, langid, media, packing, pii, quality, queries, simhash, suffixes, toxicity, urls
+from parchment.llm import common, decontaminate, graph, langid, media, packing, pii, quality, queries, simhash, suffixes, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,6 +21,11 @@ def docs(spark, small):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
 
 
+@pytest.fixture(scope="session")
+def middle():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, an extra column with a clashing name."""
@@ -222,17 +227,56 @@ def test_op5_edges(spark, odd):
     assert langid.identify(empty(spark), model).count() == 0
 
 
-def test_op6_held_out(spark, small):
-    found = held_out(spark, small, "op6_quality_classifier", 4, 2)
-    labels = spark.read.parquet(f"{small}/labels.parquet").collect()
-    assert auc([(found[r.doc_id].score, r.quality) for r in labels]) > 0.95
-    assert all(r.predicted == (r.score >= 0.7) for r in found.values())
-
-
-def test_op7_held_out(spark, small):
-    found = held_out(spark, small, "op7_toxicity", 4, 2)
-    labels = spark.read.parquet(f"{small}/labels.parquet").collect()
-    assert auc([(found[r.doc_id].score, r.toxic) for r in labels]) > 0.8
+def told_apart(spark, folder, name, label, cut):
+    """AUC, precision and recall over the rows that were never learnt from."""
+    found = held_out(spark, folder, name, 4, 2)
+    assert all(r.predicted == (r.score >= cut) for r in found.values())
+    rows = [(found[r.doc_id].score, found[r.doc_id].predicted, r[label]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if found[r.doc_id].held_out]
+    hits = sum(p and y for _, p, y in rows)
+    return auc([(s, y) for s, _, y in rows]), hits / max(sum(p for _, p, _ in rows), 1), hits / sum(y for *_, y in rows)
+
+
+def test_op6_held_out(spark, middle):
+    area, precision, recall = told_apart(spark, middle, "op6_quality_classifier", "quality", 0.7)
+    assert area > 0.97 and precision > 0.95 and recall > 0.95
+
+
+def test_op6_gradient_is_the_slope():
+    """One step of the training's gradient against differences of its loss."""
+    rng = np.random.default_rng(6)
+    texts = ["some words here and there. " * 20, "BAD!! 123 ### " * 30, "more of the other words " * 25]
+    model = quality.fit(texts, [1, 0, 1], epochs=2)
+    xs = [np.clip((quality.encode(t) - model.mean) / model.scale, -8, 8) for t in texts]
+    x, bag, y = np.concatenate(xs), np.repeat(np.arange(3), [len(v) for v in xs]), np.array([1.0, 0.0, 1.0])
+    loss = lambda: -np.mean(y * np.log(model.forward(x, bag, 3)["p"]) + (1 - y) * np.log(1 - model.forward(x, bag, 3)["p"]))
+    grads = quality.gradient(model, x, bag, y)
+    for name in ("E", "V", "U", "a", "c"):
+        at = tuple(rng.integers(0, n) for n in model.w[name].shape)
+        kept, step = model.w[name][at], 1e-5
+        model.w[name][at] = kept + step
+        up = loss()
+        model.w[name][at] = kept - step
+        slope = (up - loss()) / (2 * step)
+        model.w[name][at] = kept
+        assert np.isclose(grads[name][at], slope, atol=1e-6), name
+
+
+@pytest.fixture(scope="module")
+def abuse(spark):
+    """A model learnt from the larger table, and its scores and labels of the rows held out."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    apart = common.id_bucket(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, labels.where(~apart))
+    rows = docs.join(labels.where(apart), "doc_id").select("text", "toxic").collect()
+    return model, list(zip(model.scores([r.text for r in rows]), [r.toxic for r in rows], strict=True))
+
+
+def test_op7_held_out(spark, small, abuse):
+    assert all(r.predicted == (r.score >= 0.3) for r in held_out(spark, small, "op7_toxicity", 4, 2).values())
+    rows = abuse[1]
+    hits = sum(p >= 0.3 and y for p, y in rows)
+    assert auc(rows) > 0.95 and hits / sum(p >= 0.3 for p, _ in rows) > 0.9 and hits / sum(y for _, y in rows) > 0.9
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
@@ -254,21 +298,53 @@ def test_op6_attention_weighs_the_passages():
 def test_op7_kernel_is_the_subsequence_kernel():
     from itertools import combinations
 
-    def force(s, t, n=3, d=0.4):
-        of = lambda x: [("".join(x[i] for i in c), c[-1] - c[0] + 1) for c in combinations(range(len(x)), n)]
-        return sum(d ** (a + b) for x, a in of(s) for y, b in of(t) if x == y)
-
-    words = ["^^idiot$", "^^id1ot$", "abcabc", "ab", "acb"]
-    for s in words:
-        for t in words:
-            assert np.isclose(toxicity.subsequences(toxicity.matrix([s]), toxicity.matrix([t]))[0], force(s, t), rtol=1e-4)
-
-
-def test_op7_tolerates_gaps():
-    texts = ["you are an idiot, go away. fine day.", "you are a friend, come here. fine day."] * 30
-    model = toxicity.fit(texts, [1, 0] * 30)
-    clean, spelt, gapped = model.scores(["you are a friend", "you i-d-i-o-t there", "you id.i0ot there"])
-    assert spelt > clean + 0.2 and gapped >= clean
+    def features(x):
+        found = collections.Counter()
+        for c in combinations(range(len(x)), 3):
+            if c[-1] - c[0] < toxicity.SPAN:
+                found["".join(x[i] for i in c)] += toxicity.DECAY ** (c[-1] - c[0] + 1)
+        return found
+
+    def force(s, t):
+        a, b = features(f"^^{s}$"), features(f"^^{t}$")
+        dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+        return (dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))) ** toxicity.POWER
+
+    rng = random.Random(7)
+    landmarks = ["idiot", "scum", "trashy", "réeux"]
+    words = [*landmarks, "id1ot", "idxiot", "friend", "a", "scumbag", "xyz", *("".join(rng.choice("idotscumr") for _ in range(rng.randrange(1, 14))) for _ in range(200))]
+    found = toxicity.Kernel(landmarks).rows(words)
+    for w in words:
+        expected = np.array([force(w, x) for x in landmarks])
+        assert np.allclose(found.get(w, np.zeros(4)), np.where(expected < toxicity.TINY, 0, expected), atol=1e-4), w
+
+
+def test_op7_nystrom_gives_back_the_landmarks_kernel():
+    chosen = ["idiot", "scum", "trash", "friend"]
+    rows = toxicity.Kernel(chosen).rows(chosen)
+    gram = np.array([rows[w] for w in chosen])
+    values, vectors = np.linalg.eigh(gram)
+    mapped = gram @ (vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T)
+    assert np.allclose(mapped @ mapped.T, gram, atol=1e-6)
+
+
+def test_op7_machine_separates():
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.normal(2, 0.3, (50, 3)), rng.normal(-2, 0.3, (50, 3))))
+    y = np.repeat([1.0, -1.0], 50)
+    direction, bias = toxicity.separate(x, y, np.ones(100))
+    assert ((x @ direction - bias) * y > 0.9).all()
+
+
+def test_op7_tolerates_gaps(abuse):
+    """Insults that were split, gapped, spelt out or changed in one place, against the same sentence without any."""
+    model = abuse[0]
+    words = [w for w in ("idiot", "moron", "trash", "scum", "loser", "stupid", "pathetic", "worthless", "clown", "disgusting") if w in model.kernel.landmarks]
+    said = lambda w: f"you are a {w} and the rest of this is a plain sentence of words"
+    share = lambda change: np.mean(model.scores([said(change(w)) for w in words]) >= toxicity.PREDICT_AT)
+    assert len(words) >= 5 and model.scores([said("friend")])[0] < 0.1 and share(str) == 1
+    assert share(lambda w: "-".join(w)) == share(lambda w: f"{w[:2]} {w[2:]}") == share(lambda w: f"{w[:2]}*{w[2:]}") == 1
+    assert share(lambda w: f"{w[:3]}x{w[3:]}") >= 0.6 and share(lambda w: w[:2] + w[3:]) >= 0.3
 
 
 # 8
@@ -304,10 +380,10 @@ def test_op8_special_and_odd_texts_have_the_tokenizers_ids():
 
     own, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(*queries.tokenizer())
     rng = random.Random(8)
-    texts = ["<|endoftext|>", " a<|endoftext|> b", "\x00\x1f", "　é́", "\U0001f600 x", "it's I'LL  \n\n\t x", "a" * 5000]
+    texts = ["<|endoftext|>", " a<|endoftext|> b", "a \n  b", "a   b \n", "\x1c a \x1d b", "a\u3000 b \u3000c", " ", "  ", "", "\x00\x1f", "　é́", "\U0001f600 x", "it's I'LL  \n\n\t x", "a" * 5000]
     texts += ["".join(rng.choice("ab '\n\t1é中<|>_-.  s") for _ in range(60)) for _ in range(300)]
     for t in texts:
-        assert own.encode(t, add_special_tokens=False).ids == ours.encode_to_numpy(t, allowed_special="all").tolist(), t
+        assert own.encode(t, add_special_tokens=False).ids == ours.ids(t).tolist(), t
 
 
 def test_op8_neighbours_share_words():
@@ -316,6 +392,60 @@ def test_op8_neighbours_share_words():
     assert [[t for t, _, _ in w] for w in windows] == [[0, 2], [1, 3]]
 
 
+def bm25_by_force(tails, seed, seen, mean):
+    n, counts = len(tails), [collections.Counter(t.tolist()) for t in tails]
+    idf = {t: np.log(1 + (n - seen[t] + 0.5) / (seen[t] + 0.5)) for t in counts[seed]}
+    return [sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(own) / mean)) for t in idf if t in c) for c, own in zip(counts, tails)]
+
+
+def tails_of(texts):
+    encode = packing.encoder(*queries.tokenizer()).ids
+    found = [np.append(encode(t or ""), 0).astype("<u2") for t in texts]
+    return [x[len(x) // 1024 * 1024 :] for x in found if len(x) % 1024]
+
+
+def test_op8_scores_are_bm25(docs):
+    tails = tails_of(docs.values())[:120]
+    seen = collections.Counter(t for x in tails for t in set(x.tolist()))
+    mean = float(np.mean([len(t) for t in tails]))
+    idf = np.log(1 + (len(tails) - np.array([seen[t] for t in range(1 << 16)]) + 0.5) / (np.array([seen[t] for t in range(1 << 16)]) + 0.5)).astype(np.float32)
+    index = packing.Index(tails, idf, mean)
+    for seed in range(0, len(tails), 17):
+        assert np.allclose(index.scores(seed), bm25_by_force(tails, seed, seen, mean), rtol=1e-4, atol=1e-3)
+
+
+def test_op8_neighbours_over_several_shards(spark, middle):
+    """Near copies (resemblance 0.8 or more) share a shard in nine of ten cases, and the best tail of a seed's shard scores nearly what the best of all does."""
+    rows = spark.read.parquet(f"{middle}/documents.parquet").repartition(4)
+    spans = packing.tokenize(rows, *queries.tokenizer()).persist()
+    idf, mean, n = packing.statistics(spans)
+    placed = packing.ordered(spans, idf, n).orderBy("leaf", "least", "doc_id", "start").collect()
+    spans.unpersist()
+    tails = [np.frombuffer(r.ids, "<u2") for r in placed]
+    runs = [{bytes(t[i : i + 4]) for i in range(len(t) - 3)} for t in tails]
+    index, shard = packing.Index(tails, idf, mean), 100
+    near, best, share = [], [], []
+    for seed in range(n):
+        score = index.scores(seed)
+        score[seed] = -1
+        top = int(score.argmax())
+        best.append(seed // shard == top // shard)
+        share.append(score[seed // shard * shard : (seed // shard + 1) * shard].max() / score[top])
+        near += [seed // shard == t // shard for t in np.argsort(-score)[:5] if len(runs[seed]) > 50 and len(runs[seed] & runs[t]) >= 0.8 * len(runs[seed] | runs[t])]
+    print(n, len(near), np.mean(near), np.mean(best), np.mean(share))
+    assert n > 900 and len(near) > 30 and np.mean(near) >= 0.9
+    assert np.mean(best) > 3 * shard / n and np.mean(share) > 0.9  # of random shards: 1 in 10
+
+
+def test_bounded_rows_are_bounded_at_any_size(spark):
+    total = 5 * 10**10
+    assert 0.99 < common.threshold(4000, total) / 2**62 * total / 4000 < 1.01 and common.threshold(5, 3) == 2**62
+    rows = spark.createDataFrame([(i, "x" * 10) for i in range(500)] + [(7, "y")] * 500, "k long, t string")
+    found = common.bounded_rows(rows, "t", 100, 1000)
+    assert 60 < len(found) <= 100 and len(set(found)) == len(found) and found == common.bounded_rows(rows, "t", 100, 1000)
+    assert len(common.bounded_rows(rows, "t", 100, 1000, most_bytes=205)) <= 21 and len(common.bounded_rows(rows, "t", 10_000, 1000)) == 501
+
+
 def test_op8_edges(spark, odd):
     rows = packing.pack(odd, *queries.tokenizer()).collect()
     by = collections.Counter(r.doc_id for r in rows if r.start == 0)

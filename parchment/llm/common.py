@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,41 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark)
 
 
+class Kept:
+    """Copies of frames as Parquet in the shared folder, smaller than checkpoints; `drop` removes one that no plan needs any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.number = spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        return stored(df, path), path
+
+    def drop(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Members:
+    """A filter of fixed size that holds at least the given numbers; others pass it the more often, the more it holds."""
+
+    BITS = 1 << 24
+
+    @classmethod
+    def slot(cls, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(cls.BITS))
+
+    def __init__(self, rows: DataFrame, column: str):
+        bits = rows.select(self.slot(column).alias("i")).groupBy(F.shiftright("i", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("bits")).toArrow()  # BITS / 64 rows at most
+        table = np.zeros(self.BITS // 64, np.int64)
+        table[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+        self.shared = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def has(self, slots: np.ndarray) -> np.ndarray:
+        return (self.shared.value[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)) == 1
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """`df`, written as Parquet and read again."""
     df.write.parquet(path)

@@ -166,24 +166,37 @@ def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, of: Callable[[str | None], int], linked: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """`representatives` for fingerprints `of` texts; linked(rows with _rank and text, distinct fp and rep) gives pairs (u, v)."""
-    at = docs.columns.index("text")
+    """`representatives` for fingerprints `of` texts; linked(rows with _rank and text, distinct fp and rep) gives pairs (u, v).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What stays is most of the table and is not shuffled: a filter of fixed size lets the rows pass that are certainly
+    not to go, and only the others are joined with the exact list.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of `docs` clashes
+    text, key = (own[docs.columns.index(c)] for c in ("text", "doc_id"))
+    # a null id ranks after all others, by its text
+    rank = F.coalesce(F.col(key).cast("long"), F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    ranked = docs.toDF(*own).withColumn("_rank", rank)
+    texts = ranked.select("_rank", F.col(text).alias("text"))
+    printed = common.checkpoint(fingerprints(texts.withColumnRenamed("_rank", "doc_id"), of))
+    pairs = printed.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(_rooted(printed, lambda distinct: linked(texts, distinct)), "fp")
+    chosen = pairs.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("fp", "doc_id", "n")).alias("c"))
+    pairs = common.checkpoint(pairs.join(chosen, "root", "left").select(F.col("doc_id").alias("_rank"), F.col("fp").alias("_fp"), "n", (F.col("c.fp").isNotNull() & (F.col("c.fp") == F.col("fp")) & (F.col("c.doc_id") == F.col("doc_id"))).alias("stays")))
+    doubtful = common.Members(pairs.where("not stays or n > 1").select("_rank"), "_rank")
+    at = own.index(text)
+
+    def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            yield pa.record_batch(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(~doubtful.has(b.columns[-1].to_numpy())))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = pa.record_batch(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(doubtful.has(b.columns[-1].to_numpy())))
             fp = np.array([of(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "_fp"])
 
-    # a null id ranks after all others, by its text
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
-    ranked = docs.withColumn("_rank", rank)
-    printed = common.checkpoint(fingerprints(ranked.select(F.col("_rank").alias("doc_id"), "text"), of))
-    pairs = printed.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(_rooted(printed, lambda distinct: linked(ranked.select("_rank", "text"), distinct)), "fp")
-    chosen = pairs.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("fp", "doc_id", "n")).alias("c"))
-    pairs = common.checkpoint(pairs.join(chosen, "root", "left").select(F.col("doc_id").alias("_rank"), F.col("fp").alias("_fp"), "n", (F.col("c.fp").isNotNull() & (F.col("c.fp") == F.col("fp")) & (F.col("c.doc_id") == F.col("doc_id"))).alias("stays")))
-    marked = ranked.mapInArrow(run, T.StructType([*ranked.schema.fields, T.StructField("_fp", T.LongType())]))
-    kept = marked.join(pairs.where("not stays").select("_rank", "_fp"), ["_rank", "_fp"], "left_anti")
-    twice = pairs.where("stays and n > 1").select("_rank", "_fp")
-    if twice.take(1):
-        kept = kept.join(twice, ["_rank", "_fp"], "left_anti").unionByName(kept.join(twice, ["_rank", "_fp"], "left_semi").dropDuplicates(["_rank", "_fp"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    slotted = ranked.withColumn("_slot", common.Members.slot("_rank"))
+    sure = slotted.mapInArrow(certain, ranked.schema).select(*own)
+    rest = slotted.mapInArrow(others, T.StructType([*ranked.schema.fields, T.StructField("_fp", T.LongType())]))
+    # of equal rows that stay one is kept
+    checked = rest.join(pairs.where("stays").select("_rank", "_fp"), ["_rank", "_fp"], "left_semi").dropDuplicates(["_rank", "_fp"])
+    return sure.unionByName(checked.select(*own)).toDF(*docs.columns)

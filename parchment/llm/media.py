@@ -1,12 +1,14 @@
 """Operator 2, media columns: ISO base media containers.
 
 A container is a tree of boxes. `walk` descends through it, `parse` decodes the sample
-tables and returns codec, duration and byte ranges; the payload itself is never decoded.
+tables of each track, and the runs of its fragments, and returns codec, duration and byte ranges of
+the first video track, or of the first track if there is none; the payload itself is never decoded.
 
 Edge cases: a null text counts as empty; an empty text gives one frame of 64 zero bytes; a
-null, cut short or malformed container gives null features and a reason in `error`; ties and
-repeated rows are kept as they come; an empty table gives an empty table; only the named
-columns are read, so extra columns never clash.
+null, cut short or malformed container gives null features and a reason in `error`, and no count in
+it makes the reader hold more than the container's own size allows; ties and repeated rows are
+kept as they come; an empty table gives an empty table; the features replace columns of their
+names, other columns are carried whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FRAME = 64  # bytes of one 8x8 grey frame of 8-bit samples
 FRAMES_A_CHUNK = 16
@@ -27,7 +31,7 @@ KEY_EVERY = 16
 TIMESCALE, TICKS_A_FRAME = 25_000, 1_000
 
 #: Fixed values of the container format: boxes that hold boxes, and the bytes before their first child.
-CONTAINERS = {b"moov": 0, b"trak": 0, b"edts": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"udta": 0, b"meta": 4, b"dref": 8}
+CONTAINERS = {b"moov": 0, b"trak": 0, b"edts": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"udta": 0, b"meta": 4, b"dref": 8, b"mvex": 0, b"moof": 0, b"traf": 0}
 #: The unity matrix of a movie and of a track header.
 UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -123,46 +127,140 @@ def table(data: memoryview, at: tuple[int, int], kind: str, skip: int = 4) -> np
     return np.frombuffer(data, dtype, count, start + skip + 4)
 
 
+TABLES = (b"tkhd", b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss")
+NEEDED = (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz")
+#: Which optional fields the flags of a fragment's header, and of a run and its samples, announce, in their order.
+HEADER_FIELDS = ((0x1, 8), (0x2, 4), (0x8, 4), (0x10, 4), (0x20, 4))
+RUN_FIELDS, SAMPLE_FIELDS = (0x1, 0x4), (0x100, 0x200, 0x400, 0x800)
+NOT_KEY = 0x10000
+
+
 def parse(media: bytes) -> dict:
-    """Codec, sizes, duration and sample byte ranges of the first track that has a sample table."""
+    """Codec, sizes, duration and sample byte ranges of the first video track, else of the first track."""
     data = memoryview(media)
     try:
-        first: dict[bytes, tuple[int, int]] = {}
+        tracks: list[dict[bytes, tuple[int, int]]] = []
+        defaults: dict[int, tuple[int, ...]] = {}
+        fragments: list[tuple[int, bytes, int, int]] = []
+        moof = 0
         for path, start, end in walk(data):
-            if path[-1] in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss") and path[:2] == (b"moov", b"trak"):
-                first.setdefault(path[-1], (start, end))
-        missing = [k for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in first]
-        if missing or not (b"stco" in first or b"co64" in first):
+            if path == (b"moov", b"trak"):
+                tracks.append({})
+            elif path[:2] == (b"moov", b"trak") and path[-1] in TABLES and tracks:
+                tracks[-1].setdefault(path[-1], (start, end))
+            elif path == (b"moov", b"mvex", b"trex"):
+                track, *rest = struct.unpack_from(">5I", data, start + 4)
+                defaults[track] = tuple(rest[1:])
+            elif path == (b"moof",):
+                moof = start - 8
+            elif path[:2] == (b"moof", b"traf") and path[-1] in (b"tfhd", b"trun"):
+                fragments.append((moof, path[-1], start, end))
+        whole = [t for t in tracks if all(k in t for k in NEEDED) and (b"stco" in t or b"co64" in t)]
+        if not whole:
             raise Malformed("no sample table")
-        at = first[b"mdhd"][0]
-        long = data[at] == 1
-        timescale, duration = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
-        codec = bytes(data[first[b"stsd"][0] + 12 : first[b"stsd"][0] + 16]).decode("latin-1")
-        width, height = struct.unpack_from(">HH", data, first[b"stsd"][0] + 16 + 24)
-        size, frames = struct.unpack_from(">II", data, first[b"stsz"][0] + 4)
-        sizes = np.full(frames, size, np.int64) if size else table(data, first[b"stsz"], ">u4", 8).astype(np.int64)
-        offsets = (table(data, first[b"co64"], ">u8") if b"co64" in first else table(data, first[b"stco"], ">u4")).astype(np.int64)
-        runs = table(data, first[b"stsc"], ">u4,>u4,>u4")
-        if frames and (not len(runs) or not len(offsets) or runs["f0"][0] != 1):
-            raise Malformed("samples without chunks")
-        reach = np.diff(np.append(runs["f0"].astype(np.int64), len(offsets) + 1))
-        a_chunk = np.repeat(runs["f1"].astype(np.int64), reach)
-        if a_chunk.sum() != frames or len(a_chunk) != len(offsets):
-            raise Malformed("chunks and samples disagree")
+        chosen = next((t for t in whole if b"hdlr" in t and bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]) == b"vide"), whole[0])
+        found = _track(data, chosen)
+        if fragments:
+            _add_fragments(data, found, fragments, defaults)
+    except Malformed:
+        raise
+    except (struct.error, ValueError, IndexError, OverflowError, MemoryError) as e:
+        raise Malformed(f"{type(e).__name__}: {e}") from e
+    return found
+
+
+def _track(data: memoryview, first: dict[bytes, tuple[int, int]]) -> dict:
+    at = first[b"mdhd"][0]
+    long = data[at] == 1
+    timescale, duration = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
+    codec = bytes(data[first[b"stsd"][0] + 12 : first[b"stsd"][0] + 16]).decode("latin-1")
+    video = b"hdlr" not in first or bytes(data[first[b"hdlr"][0] + 8 : first[b"hdlr"][0] + 12]) == b"vide"
+    width, height = struct.unpack_from(">HH", data, first[b"stsd"][0] + 16 + 24) if video else (0, 0)
+    track = 0
+    if b"tkhd" in first:
+        at = first[b"tkhd"][0]
+        (track,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+    size, frames = struct.unpack_from(">II", data, first[b"stsz"][0] + 4)
+    if size and size * frames > len(data):
+        raise Malformed("more samples than the file can hold")
+    sizes = np.full(frames, size, np.int64) if size else table(data, first[b"stsz"], ">u4", 8).astype(np.int64)
+    offsets = (table(data, first[b"co64"], ">u8") if b"co64" in first else table(data, first[b"stco"], ">u4")).astype(np.int64)
+    runs = table(data, first[b"stsc"], ">u4,>u4,>u4")
+    if frames and (not len(runs) or not len(offsets) or runs["f0"][0] != 1):
+        raise Malformed("samples without chunks")
+    reach = np.diff(np.append(runs["f0"].astype(np.int64), len(offsets) + 1))
+    if (reach < 0).any() or int((reach * runs["f1"].astype(np.int64)).sum()) != frames:
+        raise Malformed("chunks and samples disagree")
+    a_chunk = np.repeat(runs["f1"].astype(np.int64), reach)
+    if frames and len(a_chunk) != len(offsets):
+        raise Malformed("chunks and samples disagree")
+    start = np.zeros(0, np.int64)
+    if frames:
         chunk = np.repeat(np.arange(len(offsets)), a_chunk)
         before = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         firsts = np.cumsum(a_chunk) - a_chunk
-        start = offsets[chunk] + before - before[np.minimum(firsts, max(frames - 1, 0))][chunk] if frames else np.zeros(0, np.int64)
-        if frames and (start + sizes).max() > len(data):
+        start = offsets[chunk] + before - before[np.minimum(firsts, frames - 1)][chunk]
+        if (offsets < 0).any() or (start + sizes).max() > len(data):
+            raise Malformed("a sample lies beyond the file")
+    times = table(data, first[b"stts"], ">u4,>u4")
+    ticks = int((times["f0"].astype(np.int64) * times["f1"].astype(np.int64)).sum())
+    keys = table(data, first[b"stss"], ">u4").astype(np.int64) - 1 if b"stss" in first else np.arange(frames)
+    if len(keys) and (keys.min() < 0 or keys.max() >= frames):
+        raise Malformed("a keyframe is no sample")
+    return {"codec": codec, "width": width, "height": height, "frames": int(frames), "timescale": timescale, "duration": duration, "ticks": ticks, "start": start, "size": sizes, "keys": keys, "track": track}
+
+
+def _add_fragments(data: memoryview, found: dict, fragments: list[tuple[int, bytes, int, int]], defaults: dict[int, tuple[int, ...]]) -> None:
+    """The samples of the track's runs, after those of its table."""
+    starts, sizes, keys, ticks = [], [], [], 0
+    mine, base, usual, after = False, 0, (0, 0, 0), 0
+    for moof, kind, start, end in fragments:
+        (flags,) = struct.unpack_from(">I", data, start)
+        flags &= 0xFFFFFF
+        at = start + 4
+        if kind == b"tfhd":
+            (track,) = struct.unpack_from(">I", data, at)
+            mine = track == found["track"]
+            at += 4
+            fields = {}
+            for flag, width in HEADER_FIELDS:
+                if flags & flag:
+                    (fields[flag],) = struct.unpack_from(">Q" if width == 8 else ">I", data, at)
+                    at += width
+            base = after = fields.get(0x1, moof)
+            default = defaults.get(track, (0, 0, 0))
+            usual = (fields.get(0x8, default[0]), fields.get(0x10, default[1]), fields.get(0x20, default[2]))
+            continue
+        if not mine:
+            continue
+        (n,) = struct.unpack_from(">I", data, at)
+        at += 4
+        head = {}
+        for flag in RUN_FIELDS:
+            if flags & flag:
+                (head[flag],) = struct.unpack_from(">i" if flag == 0x1 else ">I", data, at)
+                at += 4
+        present = [f for f in SAMPLE_FIELDS if flags & f]
+        if n * (4 * len(present) or usual[1] or len(data) + 1) > len(data) or at + n * 4 * len(present) > end:
+            raise Malformed("a run is cut short")
+        rows = np.frombuffer(data, ">u4", n * len(present), at).reshape(n, len(present)).astype(np.int64)
+        column = lambda flag, otherwise: rows[:, present.index(flag)] if flag in present else np.full(n, otherwise, np.int64)  # noqa: E731, B023
+        size, flag = column(0x200, usual[1]), column(0x400, usual[2])
+        if 0x4 in head and n and 0x400 not in present:
+            flag[0] = head[0x4]
+        first = base + head[0x1] if 0x1 in head else after
+        begin = first + np.concatenate(([0], np.cumsum(size)))[:-1]
+        after = first + int(size.sum())
+        if n and (first < 0 or after > len(data)):
             raise Malformed("a sample lies beyond the file")
-        times = table(data, first[b"stts"], ">u4,>u4")
-        ticks = int((times["f0"].astype(np.int64) * times["f1"].astype(np.int64)).sum())
-        keys = table(data, first[b"stss"], ">u4").astype(np.int64) - 1 if b"stss" in first else np.arange(frames)
-        if len(keys) and (keys.min() < 0 or keys.max() >= frames):
-            raise Malformed("a keyframe is no sample")
-    except struct.error as e:
-        raise Malformed(str(e)) from e
-    return {"codec": codec, "width": width, "height": height, "frames": frames, "timescale": timescale, "duration": duration, "ticks": ticks, "start": start, "size": sizes, "keys": keys}
+        keys.append(np.flatnonzero(flag & NOT_KEY == 0) + found["frames"] + sum(map(len, starts)))
+        starts.append(begin)
+        sizes.append(size)
+        ticks += int(column(0x100, usual[0]).sum())
+    found["start"], found["size"], found["keys"] = (np.concatenate([found[k], *more]).astype(np.int64) for k, more in (("start", starts), ("size", sizes), ("keys", keys)))
+    found["frames"] = len(found["start"])
+    found["ticks"] += ticks
+    found["duration"] = max(found["duration"], found["ticks"])
 
 
 def samples(media: bytes, found: dict) -> bytes:
@@ -181,18 +279,31 @@ SCHEMA = "codec string, width int, height int, frames long, duration_s double, k
 
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
     """`df` with the columns of SCHEMA, from the containers in its binary column `media`."""
+    own = [f"c{i}" for i in range(len(df.columns))]  # so that no name of `df` clashes
+    at = df.columns.index(media)
+    plain = df.toDF(*own)
+    added = T._parse_datatype_string(SCHEMA)
+    kinds = to_arrow_schema(added)
 
-    @F.udf(SCHEMA, useArrow=True)
-    def read(data):
-        try:
-            if data is None:
-                raise Malformed("null")
-            x = parse(bytes(data))
-        except Malformed as e:
-            return None, None, None, None, None, None, str(e)
-        return x["codec"], x["width"], x["height"], x["frames"], x["duration"] / max(x["timescale"], 1), [(int(x["start"][k]), int(x["size"][k])) for k in x["keys"]], None
-
-    return df.withColumn("_media", read(F.col(media))).select(*[F.col(f"`{c}`") for c in df.columns], "_media.*")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_features(x) for x in b.column(at).to_pylist()]
+            new = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)]
+            yield pa.record_batch([*b.columns, *new], [*own, *(f"m{i}" for i in range(len(new)))])
+
+    found = plain.mapInArrow(read, T.StructType([*plain.schema.fields, *(T.StructField(f"m{i}", f.dataType) for i, f in enumerate(added))]))
+    names = {f.name for f in added}
+    return found.select(*[F.col(c).alias(n) for c, n in zip(own, df.columns, strict=True) if n.lower() not in names], *[F.col(f"m{i}").alias(f.name) for i, f in enumerate(added)])
+
+
+def _features(data: bytes | None) -> tuple:
+    try:
+        if data is None:
+            raise Malformed("null")
+        x = parse(bytes(data))
+    except Malformed as e:
+        return None, None, None, None, None, None, str(e)
+    return x["codec"], x["width"], x["height"], x["frames"], x["duration"] / max(x["timescale"], 1), [{"offset": int(x["start"][k]), "length": int(x["size"][k])} for k in x["keys"]], None
 
 
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

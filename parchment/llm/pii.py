@@ -90,8 +90,12 @@ def _small_parts(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: F.coalesce((F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.concat(F.lit("00"), F.ltrim(p, F.lit("0"))), F.lit(3)) <= "255"), F.lit(False)))
 
 
-def _key(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text))
+#: What a document is joined by: its id and a hash of its text, so that a hash shared by chance joins nothing.
+KEY = ["id", "key"]
+
+
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    return [F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("key")]
 
 
 def _tagged(spans: str, kind: int) -> Column:
@@ -103,7 +107,7 @@ def _count(spans: str, kind: int) -> Column:
 
 
 def spot(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, tokens): the seeds of each kind in listed order, and the other identifier-like tokens and spaced runs of digit groups.
+    """(doc_id, id, key, base, tokens): the seeds of each kind in listed order, and the other identifier-like tokens and spaced runs of digit groups.
 
     base: array of (kind int, start, stop, value, left, right), tokens: the same without kind.
     """
@@ -136,7 +140,7 @@ def spot(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,stop:int,value:string,left:string,right:string>>")
     candidates = F.concat(F.filter(trimmed, lambda s: F.length(s["value"]) >= 6), spaced)
     free = F.filter(candidates, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return df.select("doc_id", _key("doc_id", "t").alias("key"), "base", F.when(F.size("tokens") > 0, free).otherwise(none).alias("tokens"))
+    return df.select("doc_id", *_keys(F.col("doc_id"), F.col("t")), "base", F.when(F.size("tokens") > 0, free).otherwise(none).alias("tokens"))
 
 
 def _shape(value: Column) -> Column:
@@ -193,23 +197,23 @@ def discover(spotted: DataFrame, rounds: int | None = None, support: int = 5, pr
 
 
 def find(docs: DataFrame, **limits) -> DataFrame:
-    """(doc_id, key, base, spans): base and all spans as sorted arrays of (kind int, start, stop)."""
+    """(doc_id, id, key, base, spans): base and all spans as sorted arrays of (kind int, start, stop)."""
     spotted = common.checkpoint(spot(docs))
     unseen = discover(spotted, **limits)
     narrow = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     more = (
         spotted.where(F.size("tokens") > 0)
-        .select("key", F.explode("tokens").alias("s"))
-        .select("key", "s.start", "s.stop", F.lower("s.value").alias("value"), _shape(F.col("s.value")).alias("kind"))
+        .select(*KEY, F.explode("tokens").alias("s"))
+        .select(*KEY, "s.start", "s.stop", F.lower("s.value").alias("value"), _shape(F.col("s.value")).alias("kind"))
         .where("kind >= 0")
         .join(unseen, ["kind", "value"])
-        .groupBy("key")
+        .groupBy(*KEY)
         .agg(F.collect_set(F.struct("kind", "start", "stop")).alias("more"))
     )
     # of nested ones the outermost counts
     more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda o: (o["start"] <= s["start"]) & (s["stop"] <= o["stop"]) & (o["stop"] - o["start"] > s["stop"] - s["start"]))))
     spans = F.array_sort(F.concat(narrow("base"), F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,stop:int>>"))))
-    return spotted.join(more, "key", "left").select("doc_id", "key", narrow("base").alias("base"), spans.alias("spans"))
+    return spotted.join(more, KEY, "left").select("doc_id", *KEY, narrow("base").alias("base"), spans.alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -224,17 +228,22 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with each span of `found` replaced by its kind in brackets; overlapping spans become one of the first kind."""
-    spans = found.where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    """`docs` with each span of `found` replaced by its kind in brackets; overlapping spans become one of the first kind.
+
+    Columns of any names are carried.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of `docs` clashes
+    t, doc_id = (F.col(own[docs.columns.index(c)]) for c in (text, "doc_id"))
+    spans = found.where(F.size("spans") > 0).groupBy(*KEY).agg(F.first("spans").alias("spans"))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    piece = lambda a, s: F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(F.col(text).substr(a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).otherwise(F.lit("")))
+    piece = lambda a, s: F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(t.substr(a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).otherwise(F.lit("")))
     done = F.aggregate(
         ordered,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(F.greatest(a["at"], s["stop"]).alias("at"), piece(a, s).alias("out")),
-        lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text))),
+        lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))),
     )
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), done).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.toDF(*own).select("*", *_keys(doc_id, F.coalesce(t, F.lit("")))).join(spans, KEY, "left")
+    shown = F.when(F.col("spans").isNotNull(), done).otherwise(t)
+    return joined.select(*[shown.alias(c) if n == text else F.col(c) for c, n in zip(own, docs.columns, strict=True)]).toDF(*docs.columns)

@@ -88,7 +88,7 @@ intervals AS (
     FROM entries) WHERE action = 'add'),
 captures AS (
   SELECT row_number() OVER () AS rid, page_id, CAST(DATE '{urls.FIRST_DAY}' + CAST((page_id * {urls.STRIDE}) % {urls.DAYS} AS INTEGER) AS DATE) AS fetched,
-         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '^www\\.|\\.$', '', 'g'), '') AS host
+         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[0-9a-f:.]+\\]|[^/?#:@\\[]+)', 1), '^www\\.|\\.$', '', 'g'), '') AS host
   FROM pages),
 hits AS (
   SELECT c.rid, i.list_name, i.kind, length(i.pattern) AS width

@@ -14,11 +14,13 @@ stretch of `min_words` words. Equal stretches have equal minimisers, so any pass
 
 Both sorts are ranged by hash and then by document and place, so a passage that very many
 documents share is split over tasks; only the rows at the ends of a task's range may need a
-neighbour from another task, and those few rows are compared apart. A task keeps two batches.
+neighbour from another task, and those few rows are compared apart. A task keeps two batches. The
+bounds of the ranges come from a bounded sample of texts (`SAMPLE`); they decide how even the
+ranges are, never what is found.
 
 Edge cases: null texts and texts of fewer than `min_words` words have no spans; a null doc_id is
-carried; rows of equal id and text repeat each other and are reported once; rows of equal id but
-other text are told apart by the text's hash; within a group of equal stretches the one of least
+carried; rows of equal id and text repeat each other and are reported once; rows of equal id (or none) but
+other text are told apart by 23 bits of the text's hash; within a group of equal stretches the one of least
 (doc_id, place) counts as first, nulls before all; an empty table gives no rows; only doc_id and
 text are read. A passage may repeat within one document.
 """
@@ -34,11 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 MIN_WORDS = 50
 PREFIX = 24
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 #: A place is the text's 23-bit hash and the word's number below it.
 PLACE = 40
+#: Texts, and bytes of them, from which the ranges' bounds are taken.
+SAMPLE = 2000, 16 << 20
 
 
 def words(text: str | None) -> np.ndarray:
@@ -86,35 +92,102 @@ def minimisers(prefix: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(~_least(~padded, width) == prefix), least
 
 
-def _signature(text: str) -> int:
-    return (xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) & 0x7FFFFF) << PLACE
+def part_of(bounds: np.ndarray, keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> pa.Array:
+    """The range of each row (first key, id, place; nulls are the least); `bounds` is a sorted matrix of such rows."""
+    rows = np.empty(len(keys), bounds.dtype)
+    rows["k"], rows["i"], rows["p"] = keys.view(np.int64), ids, places
+    first, last = (np.searchsorted(bounds["k"], rows["k"], side) for side in ("left", "right"))
+    at = first.copy()
+    for n in np.flatnonzero(first != last):  # keys that are a bound's: few, and hot ones
+        at[n] = np.searchsorted(bounds, rows[n], "right")
+    return pa.array(at.astype(np.int32))
+
+
+BOUND = np.dtype([("k", np.int64), ("i", np.int64), ("p", np.int64)])
+
+
+def cut(rows: list[np.ndarray], parts: int) -> np.ndarray:
+    """The bounds of `parts` ranges that hold about as many of the rows each."""
+    found = np.sort(np.concatenate([np.zeros(0, BOUND), *rows]))
+    if len(found) < parts:
+        found = np.sort(np.concatenate((found, np.array([(k, 0, 0) for k in np.linspace(-(2.0**63), 2.0**63 - 2048, parts + 1).astype(np.int64)[1:-1]], BOUND))))
+    return found[np.arange(1, parts) * len(found) // parts]
+
+
+def _known(doc_id: int | None) -> int:
+    return -(1 << 63) if doc_id is None else doc_id
+
+
+def suffixes_of(text: str | None, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's retained suffixes, and the words where they start."""
+    x = words(text)
+    if len(x) < min_words:
+        return x[:0], np.zeros(0, np.int64)
+    g = grams(x, prefix)
+    at, _ = minimisers(g, min_words - prefix + 1)
+    return g[at], at
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def stretches_of(text: str | None, kept: np.ndarray, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the stretches whose minimiser is among `kept`: their hashes, their minimisers and the words where they start."""
+    x = words(text)
+    if len(x) < min_words:
+        return x[:0], x[:0], np.zeros(0, np.int64)
+    _, least = minimisers(grams(x, prefix), min_words - prefix + 1)
+    at = np.flatnonzero(np.isin(least, kept))
+    return grams(x, min_words)[at], least[at], at
+
+
+def ranges(texts: DataFrame, parts: int, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds for the suffixes and for the stretches, from a bounded sample of texts.
+
+    Which stretches will be compared the sample cannot tell; all count a little, and those that repeat within it fully.
+    """
+    sample = [(_known(r.doc_id), r.sig << PLACE, r.text) for r in common.bounded_rows(texts, "text", SAMPLE[0], texts.select("doc_id").count(), SAMPLE[1])]
+
+    def rows(found: list[tuple[np.ndarray, int, np.ndarray]]) -> list[np.ndarray]:
+        out = []
+        for k, i, places in found:
+            r = np.empty(len(k), BOUND)
+            r["k"], r["i"], r["p"] = k.view(np.int64), i, places
+            out.append(r)
+        return out
+
+    tails = [(*suffixes_of(t, min_words, prefix), i, sig) for i, sig, t in sample]
+    first = rows([(h, i, at + sig) for h, at, i, sig in tails])
+    second = []
+    for (i, sig, t), (h, *_) in zip(sample, tails, strict=True):
+        w, _, at = stretches_of(t, h, min_words, prefix)
+        second += rows([(w, i, at + sig)])
+    if second:
+        joined = np.concatenate(second)
+        _, back, n = np.unique(joined["k"], return_inverse=True, return_counts=True)
+        again = n[back] > 1
+        second = [joined[again], joined[~again][::16]]
+    return cut(first, parts), cut(second, parts)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], bounds, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, places, hashes = [], [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = words(text)
-            if len(x) >= min_words:
-                g = grams(x, prefix)
-                at, _ = minimisers(g, min_words - prefix + 1)
+        for doc_id, text, sig in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            h, at = suffixes_of(text, min_words, prefix)
+            if len(at):
                 ids += [doc_id] * len(at)
-                places.append(at + _signature(text))
-                hashes.append(g[at])
+                places.append(at + (sig << PLACE))
+                hashes.append(h)
         if ids:
-            yield pa.record_batch([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(ids, pa.int64()), pa.array(np.concatenate(places), pa.int64())], ["h", "doc_id", "place"])
+            h, p = np.concatenate(hashes), np.concatenate(places)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids, pa.int64()), pa.array(p, pa.int64()), part_of(bounds.value, h, np.array([_known(i) for i in ids]), p)], ["h", "doc_id", "place", "part"])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch], bounds, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for doc_id, text, kept in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            x = words(text)
-            if len(x) < min_words:
-                continue
-            _, least = minimisers(grams(x, prefix), min_words - prefix + 1)
-            at = np.flatnonzero(np.isin(least, kept.values.to_numpy().view(np.uint64)))
+        for doc_id, text, sig, kept in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+            w, h, at = stretches_of(text, kept.values.to_numpy().view(np.uint64), min_words, prefix)
             if len(at):
-                yield pa.record_batch([pa.array(grams(x, min_words)[at].view(np.int64)), pa.array(least[at].view(np.int64)), pa.array([doc_id] * len(at), pa.int64()), pa.array(at + _signature(text), pa.int64())], ["w", "h", "doc_id", "place"])
+                p = at + (sig << PLACE)
+                yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(h.view(np.int64)), pa.array([doc_id] * len(at), pa.int64()), pa.array(p), part_of(bounds.value, w, np.full(len(at), _known(doc_id)), p)], ["w", "h", "doc_id", "place", "part"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -147,10 +220,13 @@ def _compare(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Record
         yield marked(held, last, None)
 
 
-def neighbours(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows of (keys..., doc_id, place) whose keys occur more than once, with `first` for the first of each."""
+def neighbours(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The rows of (keys..., doc_id, place, part) whose keys occur more than once, with `first` for the first of each.
+
+    `part` numbers ranges of (first key, doc_id, place), so rows of equal keys lie in one range or in ranges that follow each other.
+    """
     order = [*keys, "doc_id", "place"]
-    ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.repartitionById(parts, "part").select(*order).sortWithinPartitions(*order)
     fields = ", ".join(f"{c} long" for c in order)
     marked = ordered.mapInArrow(partial(_compare, keys=len(keys)), f"{fields}, before boolean, after boolean, end boolean")
     # at most two rows of each task: their keys may go on in the next task's range
@@ -189,10 +265,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -
     """
     if not 0 < prefix <= min_words:
         raise ValueError("the prefix is no longer than the passages")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    suffixes = texts.mapInArrow(partial(_suffixes, min_words=min_words, prefix=prefix), "h long, doc_id long, place long")
-    kept = neighbours(suffixes, "h").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("kept"))
-    matched = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "kept")
-    stretches = matched.mapInArrow(partial(_stretches, min_words=min_words, prefix=prefix), "w long, h long, doc_id long, place long")
-    again = neighbours(stretches, "w", "h").groupBy("doc_id", F.shiftright("place", PLACE).alias("text")).agg(F.collect_list("place").alias("places"), F.collect_list(F.when(~F.col("first"), F.col("place"))).alias("later"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").bitwiseAND((1 << 23) - 1).alias("sig"))
+    first, second = map(spark.sparkContext.broadcast, ranges(texts, parts, min_words, prefix))
+    suffixes = texts.mapInArrow(partial(_suffixes, bounds=first, min_words=min_words, prefix=prefix), "h long, doc_id long, place long, part int")
+    # by text as well as id, so that rows without an id are no group
+    kept = neighbours(suffixes, parts, "h").groupBy(F.col("doc_id").alias("_id"), F.shiftright("place", PLACE).alias("_sig")).agg(F.collect_set("h").alias("kept"))
+    matched = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sig") == F.col("_sig"))).select("doc_id", "text", "sig", "kept")
+    stretches = matched.mapInArrow(partial(_stretches, bounds=second, min_words=min_words, prefix=prefix), "w long, h long, doc_id long, place long, part int")
+    again = neighbours(stretches, parts, "w", "h").groupBy("doc_id", F.shiftright("place", PLACE).alias("text")).agg(F.collect_list("place").alias("places"), F.collect_list(F.when(~F.col("first"), F.col("place"))).alias("later"))
     return again.select("doc_id", "places", "later").mapInArrow(partial(_merged, min_words=min_words), SPANS)

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 
 SALTS = 32
+ADDED = ("host", "n_active", "active_lists", "blocked")
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host without user, port, leading `www.` and trailing dot; null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """The lower-case host without user, port, leading `www.` and trailing dot; an address in brackets with them; null if there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[]+)", 1)
     return F.nullif(F.regexp_replace(host, r"^www\.|\.$", ""), F.lit(""))
 
 
@@ -40,8 +41,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
-    """`captures` with host, n_active, active_lists (comma-joined, sorted) and blocked, as of `fetched`."""
-    seen = captures.withColumn("_host", host_of(F.col(url))).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in captures.dtypes if "map<" not in kind and kind != "variant"]), F.lit(SALTS)).cast("int"))
+    """`captures` with host, n_active, active_lists (comma-joined, sorted) and blocked, as of `fetched`; they replace columns of these names."""
+    own = [f"c{i}" for i in range(len(captures.columns))]  # so that no name of `captures` clashes
+    url, fetched = (own[captures.columns.index(c)] for c in (url, fetched))
+    plain = captures.toDF(*own)
+    seen = plain.withColumn("_host", host_of(F.col(url))).withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind and kind != "variant"]), F.lit(SALTS)).cast("int"))
     labels = F.split("_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = seen.where("_host is not null").select("_host").distinct().withColumn("pattern", F.explode(suffixes))
@@ -59,7 +63,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
         .withColumn("_active", F.coalesce(active, F.array().cast("array<struct<list_name:string,kind:string,start:date,stop:date,width:int>>")))
         .withColumn("_allowed", F.coalesce(allowed, F.lit(-1)))
         .select(
-            *[F.col(f"`{c}`") for c in captures.columns],
+            *[F.col(c).alias(n) for c, n in zip(own, captures.columns, strict=True) if n.lower() not in ADDED],
             F.col("_host").alias("host"),
             F.size("_active").cast("long").alias("n_active"),
             F.array_join(F.array_sort(F.array_distinct(F.transform("_active", lambda e: e["list_name"]))), ",").alias("active_lists"),

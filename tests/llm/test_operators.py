@@ -83,6 +83,19 @@ def test_op1_short_passages(spark):
     assert {tuple(r) for r in suffixes.repeats(rows, min_words=8, prefix=4).collect()} == repeats_by_force(texts, 8)
 
 
+def test_op1_rows_without_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = spark.createDataFrame([(None, one), (None, two), (5, "x " + one), (None, "y y " + two)], "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.start_word, r.stop_word) for r in suffixes.repeats(rows).collect())
+    assert found == [(0, 0, 60), (0, 0, 60), (0, 2, 62), (5, 1, 61)]
+
+
+def test_op1_ranges_decide_nothing(spark, small, docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "SAMPLE", (3, 1000))
+    found = {tuple(r) for r in suffixes.repeats(spark.read.parquet(f"{small}/documents.parquet").repartition(5)).collect()}
+    assert found == repeats_by_force(docs)
+
+
 def test_op1_edges(spark, odd):
     found = {(r.doc_id, r.n_words) for r in suffixes.repeats(odd).collect()}
     assert found == {(4, 20_000), (6, 20_000)}
@@ -116,6 +129,55 @@ def test_op2_containers(spark):
     assert good[first.offset : first.offset + first.length] == b"x" * 64
 
 
+def track(kind, entry, chunk, size, number, wide=False, table=True):
+    """A track of two samples that lie one after the other."""
+    import struct as st
+
+    offsets = media.full(b"co64", st.pack(">IQ", 1, chunk)) if wide else media.full(b"stco", st.pack(">II", 1, chunk))
+    rows = (media.full(b"stts", st.pack(">III", 1, 2, 10)), media.full(b"stsc", st.pack(">IIII", 1, 1, 2, 1)), media.full(b"stsz", st.pack(">II", size, 2)), offsets)
+    none = (media.full(b"stts", bytes(4)), media.full(b"stsc", bytes(4)), media.full(b"stsz", bytes(8)), media.full(b"stco", bytes(4)))
+    body = media.box(b"stbl", media.full(b"stsd", st.pack(">I", 1), media.box(entry, bytes(24), st.pack(">HH", 6, 4), bytes(50))), *(rows if table else none))
+    head = media.full(b"tkhd", st.pack(">IIIII", 0, 0, number, 0, 20), bytes(60))
+    return media.box(b"trak", head, media.box(b"mdia", media.full(b"mdhd", st.pack(">IIIII", 0, 0, 10, 20, 0)), media.full(b"hdlr", bytes(4), kind, bytes(13)), media.box(b"minf", body)))
+
+
+def test_op2_tracks_are_kept_apart():
+    audio, video = track(b"soun", b"mp4a", 0, 3, 1), track(b"vide", b"avc1", 100, 5, 2, wide=True)
+    file = media.box(b"moov", audio, video) + bytes(2000)
+    x = media.parse(file)
+    assert (x["codec"], x["width"], x["height"]) == ("avc1", 6, 4) and x["start"].tolist() == [100, 105] and x["size"].tolist() == [5, 5]
+    x = media.parse(media.box(b"moov", audio) + bytes(2000))
+    assert x["codec"] == "mp4a" and x["start"].tolist() == [0, 3] and x["width"] == 0
+
+
+def test_op2_fragments():
+    import struct as st
+
+    moov = media.box(b"moov", track(b"vide", b"avc1", 0, 0, 7, table=False), media.box(b"mvex", media.full(b"trex", st.pack(">IIIII", 7, 1, 10, 4, 0x10000))))
+    def moof(offset):
+        return media.box(b"moof", media.full(b"mfhd", bytes(4)), media.box(b"traf", media.full(b"tfhd", st.pack(">I", 7), flags=0x20000), media.full(b"trun", st.pack(">Iii", 3, offset, 0), st.pack(">III", 4, 6, 8), flags=0x205)), media.box(b"traf", media.full(b"tfhd", st.pack(">I", 8)), media.full(b"trun", st.pack(">I", 5))))
+    size = len(moof(0)) + 8
+    file = moov + moof(size) + media.box(b"mdat", b"aaaabbbbbbcccccccc")
+    x = media.parse(file)
+    assert media.samples(file, x) == b"aaaabbbbbbcccccccc" and x["keys"].tolist() == [0] and x["ticks"] == 30 and x["frames"] == 3
+
+
+def test_op2_damaged_files_are_told(spark):
+    rng = random.Random(2)
+    good = media.encode(media.payload_of("y" * 3000)[0])
+    for _ in range(6000):
+        bad = bytearray(good)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(good) - 3100)
+            bad[at : at + 4] = rng.choice((bytes(rng.randrange(256) for _ in range(4)), b"\xff" * 4, bytes(4)))
+        try:
+            media.samples(bytes(bad), media.parse(bytes(bad[: rng.choice((len(bad), rng.randrange(len(bad))))])))
+        except media.Malformed:
+            pass
+    rows = media.media_columns(spark.createDataFrame([(good, "mine", "x", 1)], "media binary, codec string, _media string, error int"))
+    assert rows.columns == ["media", "_media", "codec", "width", "height", "frames", "duration_s", "keyframes", "error"] and rows.first().codec == "raw "
+
+
 # 3
 
 
@@ -192,6 +254,8 @@ def test_op4_edges(spark):
     by = {r.id: r for r in rows}
     assert len(rows) == 6 and by[1].active_lists == "l,ok" and not by[1].blocked and by[1].pattern == "k"
     assert by[2].host is None and by[4].host is None and not by[3].blocked and by[5].n_active == 0
+    clash = spark.createDataFrame([(1, "http://[::1]:8/x", "2024-01-05", "mine", "salt", "h")], "id long, url string, fetched string, host string, _salt string, _host string")
+    assert urls.evaluate(clash, entries).first().asDict() == {"id": 1, "url": "http://[::1]:8/x", "fetched": "2024-01-05", "_salt": "salt", "_host": "h", "host": "[::1]", "n_active": 0, "active_lists": "", "blocked": False}
     assert urls.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
     assert urls.evaluate(captures.limit(0), entries).count() == 0
 
@@ -523,6 +587,10 @@ def test_op9_edges(spark, odd):
     assert len(rows) == 11 and all(r.spans == "" for r in rows if r.doc_id != 4)
     some = spark.createDataFrame([(None, "x a@b.co y"), (1, "1.2.3.4"), (1, "1.2.3.4"), (2, None)], "doc_id long, text string")
     assert sorted(r.text or "" for r in pii.redact(some, pii.find(some)).collect()) == ["", "[IP]", "[IP]", "x [EMAIL] y"]
+    clash = spark.createDataFrame([(1, "k", "s", "a 1.2.3.4", 7)], "doc_id long, _key string, spans string, text string, id long")
+    assert pii.redact(clash, pii.find(clash)).first().asDict() == {"doc_id": 1, "_key": "k", "spans": "s", "text": "a [IP]", "id": 7}
+    same = spark.createDataFrame([(1, "k", "f", "text", "r")], "doc_id long, _rank string, _fp string, text string, c0 string")
+    assert simhash.representatives(same).first().asDict() == {"doc_id": 1, "_rank": "k", "_fp": "f", "text": "text", "c0": "r"}
     assert pii.digest(pii.find(empty(spark))).count() == 0
 
 

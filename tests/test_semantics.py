@@ -117,7 +117,7 @@ def test_index_loses_no_pair(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
     rules = Similarity(hashes=16)
     sets, _ = similarity.classes(docs, rules)
-    held = [(r["class"], set(r.chars), set(r.words), r.signature) for r in sets.collect()]
+    held = [(r["class"], set(r.chars), set(r.words), r.signature) for r in similarity.signed(sets, rules).collect()]
     jaccard = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
     expected = set()
     for i, a in enumerate(held):

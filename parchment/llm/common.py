@@ -14,8 +14,14 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Rows go to Python a thousand at a time, so that long texts need little memory on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents; dealt out if they come in fewer parts than there are cores, as one small file does."""
+    few_rows(spark)
     found, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
     return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 

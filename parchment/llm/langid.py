@@ -91,32 +91,36 @@ class Model:
 
 def fit(texts: list[str], langs: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-5, seed: int = 7) -> Model:
     """FTRL-proximal over single rows; every fifth row is kept for the temperature."""
-    rows = [(c, lang) for c, lang in ((letters(t), lang) for t, lang in zip(texts, langs, strict=True)) if len(c)]
-    languages = sorted({lang for _, lang in rows})
+    # only the counts of n-grams are held, in few bytes each; what follows from them is made anew where it is used
+    bags, known = [], []
+    for t, lang in zip(texts, langs, strict=True):
+        codes = letters(t)
+        if len(codes):
+            index, n = counts(codes)
+            bags.append((index.astype(np.int32), n.astype(np.int32)))
+            known.append(lang)
+    languages = sorted(set(known))
     size = 1 << BITS
     if len(languages) < 2:
         return Model(languages, np.ones(size), np.zeros((size, len(languages))), np.zeros(len(languages)), 1.0)
-    bags = [counts(c) for c, _ in rows]
-    target = np.array([languages.index(lang) for _, lang in rows])
+    target = np.array([languages.index(lang) for lang in known])
     seen = np.zeros(size)
     for index, _ in bags:
         seen[index] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    idf = np.log((1 + len(bags)) / (1 + seen)) + 1
     k = len(languages)
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))  # the last row is the bias
 
     def solve(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
-    kept = np.arange(len(rows)) % 5 == 4
+    kept = np.arange(len(bags)) % 5 == 4
     order = np.random.default_rng(seed)
-    xs = []
-    for index, c in bags:
-        x = (1 + np.log(c)) * idf[index]
-        xs.append((np.append(index, size), np.append(x / np.sqrt(x @ x), 1.0)))
     for _ in range(epochs):
         for r in order.permutation(np.flatnonzero(~kept)):
-            index, x = xs[r]
+            index, c = bags[r]
+            x = (1 + np.log(c)) * idf[index]
+            index, x = np.append(index, size), np.append(x / np.sqrt(x @ x), 1.0)
             w = solve(z[index], n[index])
             s = x @ w
             p = np.exp(s - s.max())

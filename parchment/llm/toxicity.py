@@ -44,7 +44,8 @@ DECAY, POWER, SPAN, TINY = 0.4, 2.5, 8, 0.03
 LEAST_GAIN, LEAST_SHARE = 15.0, 0.01  # of a landmark: G-squared (halved), and share of the documents with label 1
 ALIKE = 0.5  # a word this close to a landmark is none
 WIDE = 24  # characters of a word that are compared at once; longer words go in overlapping parts
-CACHED = 300_000
+CACHED = 400_000
+CHUNK = 32_768  # sentences that are widened at once
 SIGNS = re.compile(r"[^\w\s]|_")
 SPELT = re.compile(r"(?<!\w)[^\W\d_]([ .*_-])(?:[^\W\d_]\1){2,}[^\W\d_](?!\w)")
 MARK = "^"
@@ -101,7 +102,7 @@ def norms(strings: list[str]) -> np.ndarray:
 class Kernel:
     """Word kernels with fixed landmarks, normalised and to the power POWER."""
 
-    def __init__(self, landmarks: list[str]):
+    def __init__(self, landmarks: list[str], marked: int | None = None):
         self.landmarks = landmarks
         strings = [f"{MARK}{MARK}{x}$"[:WIDE] for x in landmarks]
         self.own = norms(strings)
@@ -121,8 +122,9 @@ class Kernel:
         self.map = np.zeros((len(table) + 1, len(landmarks)), np.float32)
         for r, j, x in features:
             self.map[r, j] += x
-        self.starts = {x[:n] for x in landmarks for n in range(1, len(x))}
-        self.ends = {x[n:] for x in landmarks for n in range(1, len(x))}
+        # of the first `marked` landmarks, which tell the labels apart
+        self.starts = {x[:n] for x in landmarks[:marked] for n in range(1, len(x))}
+        self.ends = {x[n:] for x in landmarks[:marked] for n in range(1, len(x))}
 
     def _numbered(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
@@ -172,10 +174,10 @@ class Kernel:
     def tokens(self, sentence: str) -> list[str]:
         """The distinct words of a sentence, and what two of them make that are a start and an end of landmarks."""
         words = SIGNS.sub("", sentence).split()
-        found = dict.fromkeys(words)
-        if not self.starts.isdisjoint(found):
-            found |= dict.fromkeys(a + b for a, b in zip(words, words[1:]) if a in self.starts and b in self.ends)
-        return list(found)
+        return list(dict.fromkeys(words + self.joined(words)))
+
+    def joined(self, words: list[str]) -> list[str]:
+        return [] if self.starts.isdisjoint(words) else [a + b for a, b in zip(words, words[1:]) if a in self.starts and b in self.ends]
 
 
 class Model:
@@ -189,26 +191,20 @@ class Model:
         """The margins of each text's sentences that have a word with a kernel, and its number of words."""
         if not hasattr(self, "known") or len(self.none) > CACHED:
             self.known, self.none = {}, set()
-        low = [plain(t) for t in texts]
-        words = [SIGNS.sub("", t).split() for t in low]
-        fresh = {w for x in words for w in x}
-        for x in words:
-            if not self.kernel.starts.isdisjoint(x):
-                fresh.update(a + b for a, b in zip(x, x[1:]) if a in self.kernel.starts and b in self.kernel.ends)
+        # a repeated line counts once, but for the number of words
+        cut = [Counter(parts_of(plain(t))) for t in texts]
+        words = [{one: SIGNS.sub("", one).split() for one in x} for x in cut]
+        tokens = [[dict.fromkeys(w + self.kernel.joined(w)) for w in x.values()] for x in words]
+        fresh = set().union(*(t for x in tokens for t in x))
         fresh -= self.known.keys()
         fresh -= self.none
         rows = self.kernel.rows(list(fresh))
         self.known |= {w: float(r @ self.direction) for w, r in rows.items()}
         self.none |= fresh - rows.keys()
-        out = []
-        for t, x in zip(low, words, strict=True):
-            sums = []
-            if not self.known.keys().isdisjoint(x) or not self.kernel.starts.isdisjoint(x):
-                for one in sentences(t):
-                    hits = [self.known[w] for w in self.kernel.tokens(one) if w in self.known]
-                    if hits:
-                        sums.append(sum(hits))
-            out.append((np.array(sums, float) - self.bias, len(x)))
+        get, out = self.known.get, []
+        for x, w, ts in zip(cut, words, tokens, strict=True):
+            sums = [sum(hits) for t in ts if (hits := [v for v in map(get, t) if v is not None])]
+            out.append((np.array(sums, float) - self.bias, sum(len(w[one]) * n for one, n in x.items())))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -219,9 +215,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.top, -30, 30)))
 
 
+def parts_of(text: str) -> list[str]:
+    """The sentences of a text, lines apart."""
+    return re.split(r"(?<=[.!?])\s+|\n+", text)
+
+
 def sentences(text: str) -> list[str]:
     """The distinct sentences, so that a repeated line counts once."""
-    return list(dict.fromkeys(re.split(r"(?<=[.!?])\s+|\n+", text)))
+    return list(dict.fromkeys(parts_of(text)))
 
 
 def summary(margins: np.ndarray, words: int) -> list[float]:
@@ -269,30 +270,31 @@ def choose(texts: list[str], targets: list[int], count: int) -> list[str]:
 
 def contrast(texts: list[str], targets: list[int], landmarks: list[str], count: int) -> list[str]:
     """Frequent words of rows with label 0 that resemble the landmarks."""
-    kernel, seen, near = Kernel(landmarks), set(), Counter()
+    kernel, near = Kernel(landmarks), Counter()
     clean = [t for t, y in zip(texts, targets, strict=True) if not y]
-    known: set[str] = set()
     for at in range(0, len(clean), 200):
         words = [set(split(t)) for t in clean[at : at + 200]]
-        fresh = set().union(*words) - seen
-        known |= {w for w, x in kernel.rows(list(fresh)).items() if x.max() < ALIKE and 3 <= len(w) <= WIDE - 3}
-        seen |= fresh
+        known = {w for w, x in kernel.rows(list(set().union(*words))).items() if x.max() < ALIKE and 3 <= len(w) <= WIDE - 3}
         for x in words:
             near.update(x & known)
     return [w for w, n in sorted(near.items(), key=lambda x: (-x[1], x[0]))[:count] if n >= 3]
 
 
 def separate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """A linear support vector machine of squared hinge loss, by Newton steps."""
-    z = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
+    """A linear support vector machine of squared hinge loss, by Newton steps; rows are widened some at a time."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
-        slack = 1 - y * (z @ w)
-        on = slack > 0
-        zo, wo = z[on], c * weight[on]
-        step = np.linalg.solve(ridge + (zo * wo[:, None]).T @ zo, ridge @ w - zo.T @ (wo * y[on] * slack[on]))
+        curve, slope = ridge.copy(), ridge @ w
+        for at in range(0, len(x), CHUNK):
+            z = np.column_stack([x[at : at + CHUNK].astype(float), np.ones(len(x[at : at + CHUNK]))])
+            slack = 1 - y[at : at + CHUNK] * (z @ w)
+            on = slack > 0
+            zo, wo = z[on], c * weight[at : at + CHUNK][on]
+            curve += (zo * wo[:, None]).T @ zo
+            slope -= zo.T @ (wo * y[at : at + CHUNK][on] * slack[on])
+        step = np.linalg.solve(curve, slope)
         w = w - step
         if np.abs(step).max() < 1e-7:
             break
@@ -326,30 +328,29 @@ def fit(texts: list[str], targets: list[int], landmarks: int = 48, contrasts: in
     marked = len(chosen)
     chosen += contrast(texts, targets, chosen, contrasts)
     model = Model()
-    kernel = model.kernel = Kernel(chosen)
+    kernel = model.kernel = Kernel(chosen, marked)
     rows = kernel.rows(chosen)
     gram = np.array([rows[w] for w in chosen])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
 
-    known: dict[str, np.ndarray] = {}
-    seen: set[str] = set()
-    rows, owner = [], []
-    for at in range(0, len(texts), 200):  # new words, some rows at a time
+    blocks, owner = [], []
+    for at in range(0, len(texts), 200):  # the words of some rows at a time
         cut = [[kernel.tokens(one) for one in sentences(plain(t))] for t in texts[at : at + 200]]
-        fresh = {w for x in cut for one in x for w in one} - seen
-        known |= kernel.rows(list(fresh))
-        seen |= fresh
+        known = kernel.rows(list({w for x in cut for one in x for w in one}))
+        rows = []
         for i, x in enumerate(cut, at):
             for one in x:
                 hit = [known[w] for w in one if w in known]
                 if hit:
                     rows.append(sum(hit))
                     owner.append(i)
-    x, owner = np.array(rows) @ nystrom, np.array(owner)
+        blocks.append((np.array(rows).reshape(len(rows), len(chosen)) @ nystrom).astype(np.float32))
+    x, owner = np.concatenate(blocks), np.array(owner)
+    del blocks, known, cut
     # virtual examples: what the machine is to tolerate, as sentences of one word each
-    bent = {w: v for w, v in kernel.rows([v for w in chosen[:marked] for v in variants(w)]).items() if w not in known}
-    virtual = np.array(list(bent.values())).reshape(len(bent), len(chosen)) @ nystrom
+    bent = kernel.rows([v for w in chosen[:marked] for v in variants(w) if v not in chosen])
+    virtual = (np.array(list(bent.values())).reshape(len(bent), len(chosen)) @ nystrom).astype(np.float32)
     vouched = y[owner] == 1
     positive = vouched.copy()
     for _ in range(rounds):
@@ -362,7 +363,7 @@ def fit(texts: list[str], targets: list[int], landmarks: int = 48, contrasts: in
         np.maximum.at(best, owner, margin)
         positive = vouched & ((margin > 0) | (margin == best[owner]))
     model.direction, model.bias = nystrom @ direction, bias
-    del known, seen
+    del x, owner, vouched, positive, used, margin
     summaries = np.array([summary(s, n) for i in range(0, len(texts), 256) for s, n in model.margins(texts[i : i + 256])])
     model.top = logistic(summaries, y)
     del model.known, model.none

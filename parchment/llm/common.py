@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -90,6 +91,15 @@ class Members:
         return (self.shared.value[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)) == 1
 
 
+def pieces(data: str | bytes, gap: re.Pattern, size: int = 1 << 20) -> Iterator[str | bytes]:
+    """`data` in pieces of about `size`, cut only where `gap` matches, so that what lies between gaps stays whole."""
+    at = 0
+    while len(data) - at > size and (cut := gap.search(data, at + size)):
+        yield data[at : cut.start()]
+        at = cut.start()
+    yield data[at:]
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """`df`, written as Parquet and read again."""
     df.write.parquet(path)

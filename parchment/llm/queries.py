@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, media, packing, pii, quality, simhash, suffixes, toxicity, urls
+from . import common, decontaminate, langid, media, packing, pii, quality, resample, simhash, spelling, suffixes, toxicity, urls
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counts(common.documents(spark, sf_dir)))
+
+
 def tokenizer() -> tuple[str, str]:
     """The vocabulary file of byte_bpe_50k, and how it splits texts; the package is on every machine."""
     import public_tokenizers
@@ -76,7 +84,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op6_quality_classifier, op7_toxicity, op8_packing, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op6_quality_classifier, op7_toxicity, op8_packing, op9_pii, op10_decontamination, op12_importance_resampling, op13_spelling_variants)}
 
 
 OP4_SQL = f"""
@@ -103,5 +111,74 @@ FROM captures LEFT JOIN seen USING (rid)
 """
 
 
+#: The table of the CRC of 32 bits, by its polynomial, and how a text's bytes run through it.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC of `text`, in SQL that has `t` of CRC_TABLE at hand."""
+    byte = f"list_transform(range(CAST(length(hex({text})) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex({text}), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP12_SQL = rf"""
+WITH {CRC_TABLE},
+words AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+aimed AS (SELECT unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+distinct_words AS (SELECT DISTINCT w FROM (SELECT w FROM words UNION ALL SELECT w FROM aimed)),
+hashed AS (SELECT w, {crc_sql("w")} % {resample.BUCKETS} AS b FROM distinct_words, crc),
+s AS (SELECT b, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM aimed JOIN hashed USING (w) GROUP BY b),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM words)::DOUBLE + {resample.BUCKETS})
+                                 / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM aimed)::DOUBLE + {resample.BUCKETS})))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT b FROM hashed) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+weights AS (
+  SELECT rid, count(*) AS n_features, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM words JOIN hashed USING (w) JOIN gains USING (b) GROUP BY rid),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('{resample.SEED}:' || d.doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN weights USING (rid)),
+ranked AS (
+  SELECT *, CASE WHEN n_features >= {resample.LEAST} THEN row_number() OVER (PARTITION BY n_features >= {resample.LEAST} ORDER BY score DESC, doc_id) END AS r FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN r <= {resample.PERCENT} * (SELECT count(*) FROM scored WHERE n_features >= {resample.LEAST}) // 100 THEN r END AS rank
+FROM ranked
+"""
+
+#: Each accented letter as a sign of one byte, as the distance in SQL is one of bytes.
+ACCENTED, SIGNS = "".join(map(chr, range(0xC0, 0x100))), "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[:64]
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= {spelling.SHORTEST} GROUP BY ALL),
+hashed AS (SELECT run, n, {crc_sql("doc_id || ':' || run")} AS h FROM runs, crc),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{ACCENTED}', '{SIGNS}') AS plain FROM (
+    SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {spelling.SHORTEST} GROUP BY word HAVING sum(n) >= {spelling.OFTEN}),
+pairs AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS m FROM words x JOIN words y
+    ON length(y.word) BETWEEN length(x.word) - 1 AND length(x.word) + 1 AND x.word <> y.word AND levenshtein(x.plain, y.plain) = 1),
+best AS (SELECT word, n, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY word, n),
+forms AS MATERIALIZED (
+  SELECT b.word, n_near, CASE WHEN b.m >= {spelling.TIMES} * b.n THEN (SELECT min(other) FROM pairs p WHERE p.word = b.word AND p.m = b.m) END AS form,
+         CASE WHEN b.m >= {spelling.TIMES} * b.n THEN b.m END AS form_n FROM best b),
+chain(word, here) AS (
+  SELECT word, word FROM words
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN forms f ON c.here = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.here AS root FROM chain c LEFT JOIN forms f ON c.here = f.word WHERE f.form IS NULL)
+SELECT w.word, f.form, r.root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN forms f USING (word) JOIN roots r USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL}
+    return {"op4_url_filters": OP4_SQL, "op12_importance_resampling": OP12_SQL, "op13_spelling_variants": OP13_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, media, packing, pii, quality, resample, simhash, spelling, suffixes, toxicity, urls
+from . import common, decontaminate, langid, media, neighbours, packing, pii, quality, resample, simhash, spelling, suffixes, toxicity, urls
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -84,7 +88,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op6_quality_classifier, op7_toxicity, op8_packing, op9_pii, op10_decontamination, op12_importance_resampling, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_simhash_near_dedup, op4_url_filters, op5_language_id, op6_quality_classifier, op7_toxicity, op8_packing, op9_pii, op10_decontamination, op11_embedding_near_dedup, op12_importance_resampling, op13_spelling_variants)}
 
 
 OP4_SQL = f"""
@@ -111,6 +115,23 @@ FROM captures LEFT JOIN seen USING (rid)
 """
 
 
+OP11_SQL = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_aggregate(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)), 'max') > 0),
+links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y
+    ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= {neighbours.LEAST}),
+reach(a, b) AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id, least(vec_id, coalesce(l.b, vec_id)) = vec_id AS kept
+FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.a LEFT JOIN least l ON e.vec_id = l.a
+"""
+
 #: The table of the CRC of 32 bits, by its polynomial, and how a text's bytes run through it.
 CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
 
@@ -181,4 +202,4 @@ FROM words w LEFT JOIN forms f USING (word) JOIN roots r USING (word)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL, "op12_importance_resampling": OP12_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op4_url_filters": OP4_SQL, "op11_embedding_near_dedup": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_spelling_variants": OP13_SQL}

@@ -41,8 +41,8 @@ from . import common, graph
 
 LEAST = 0.93
 LISTS, ORDERS, WINDOW, GROUP = 10, 4, 24, 64
-#: Bits of the hashes under which pivots are voted for, as far as there are that many vectors.
-VOTES = (20, 16, 12, 8, 4)
+#: Pivots are voted for under hashes of so many bits more than tell the vectors apart, and then of ever so many bits fewer.
+FINEST, STEP = 6, 4
 AUDITED, RECALL, PASSES, STILL = 1024, 0.98, 5, 0.002
 PAGE = 512
 #: What rounding may change in an angle, of double and of single precision.
@@ -127,9 +127,9 @@ def _balls(distinct: DataFrame, total: int, radius: float) -> DataFrame:
             moved = (angle <= radius) & w.is_valid().to_numpy(zero_copy_only=False)
             yield pa.record_batch([ids, g, v, pa.array(np.where(moved, other.to_numpy(zero_copy_only=False), pivot.to_numpy()).astype(np.int64)), pa.array(np.where(moved, angle, r.to_numpy()))], ["id", "g", "v", "pivot", "r"])
 
-    for n, bits in enumerate(b for b in VOTES if 1 << b <= max(total, 16)):
+    for n, bits in enumerate(range(min(total.bit_length() + FINEST, 60), 3, -STEP)):
         coded = _coded(state, 1000 + n, bits)
-        votes = coded.groupBy("g", "code", "pivot").agg(F.count("*").alias("c")).groupBy("g", "code").agg(F.max(F.struct("c", "pivot")).alias("m")).select("g", "code", F.col("m.pivot").alias("other"))
+        votes = coded.groupBy("g", "code", "pivot").agg(F.count("*").alias("c")).groupBy("g", "code").agg(F.max(F.struct("c", F.xxhash64("pivot"), "pivot")).alias("m")).select("g", "code", F.col("m.pivot").alias("other"))
         asked = coded.join(votes, ["g", "code"]).withColumn("other", F.when(F.col("other") != F.col("pivot"), F.col("other")))
         vectors = distinct.select(F.col("id").alias("other"), F.col("v").alias("w"))
         met = asked.where("other is not null").join(vectors, "other").select("id", "g", "v", "pivot", "r", "other", "w").mapInArrow(run, "id long, g string, v binary, pivot long, r double")
@@ -223,12 +223,15 @@ def _met(edges: DataFrame, nodes: DataFrame, lists: int, turn: int) -> DataFrame
     return wide.select("u", "part", "x", "new", "k", "worst", "v").mapInArrow(run, "id long, nbr long, cos double")
 
 
+def _fresh(edges: DataFrame) -> DataFrame:
+    return edges.select("id", "nbr", "cos", F.lit(True).alias("new"), F.lit(None).cast("int").alias("k"))
+
+
 def _descend(edges: DataFrame, nodes: DataFrame, lists: int) -> DataFrame:
-    """Rounds until hardly a new edge may hold a link and no list is saturated."""
-    edges = _merged(edges.select("id", "nbr", "cos", F.lit(True).alias("new"), F.lit(None).cast("int").alias("k")), lists)
+    """Rounds from (id, nbr, cos, new, k) on until hardly a new edge may hold a link and no list is saturated."""
+    edges = _merged(edges, lists)
     for turn in itertools.count():
-        found = _met(edges, nodes, lists, turn).select("id", "nbr", "cos", F.lit(True).alias("new"), F.lit(None).cast("int").alias("k"))
-        edges = _merged(edges.select("id", "nbr", "cos", F.lit(False).alias("new"), "k").unionByName(found), lists)
+        edges = _merged(edges.select("id", "nbr", "cos", F.lit(False).alias("new"), "k").unionByName(_fresh(_met(edges, nodes, lists, turn))), lists)
         marked = edges.join(nodes.select("id", "far"), "id")
         near, full = F.col("cos") >= F.col("far"), F.col("worst") >= F.col("far")
         fresh, known, saturated = marked.agg(F.count_if(near & F.col("new")), F.count_if(near), F.count_if(full)).first()
@@ -269,14 +272,15 @@ def neighbours(nodes: DataFrame, theta: float, lists: int = LISTS, recall: float
     for turn in range(PASSES):
         orders = [_windows(nodes, 100 * turn + i, lists) for i in range(ORDERS << turn)]
         for o in orders:
-            edges = o if edges is None else edges.unionByName(o)
-        edges = _descend(edges, nodes, lists).select("id", "nbr", "cos")
+            edges = _fresh(o) if edges is None else edges.unionByName(_fresh(o))
+        edges = _descend(edges, nodes, lists)
         reached, truth = _audit(edges, nodes, theta)
-        edges = edges.unionByName(truth)
+        found = edges.select("id", "nbr", "cos").unionByName(truth)
         if reached >= recall:
-            return edges
+            return found
+        edges = edges.select("id", "nbr", "cos", "new", "k").unionByName(_fresh(truth))
     warnings.warn(f"the neighbour lists' recall is {reached:.3f}", stacklevel=2)
-    return edges
+    return found
 
 
 def _others(members: DataFrame, balls: DataFrame, pairs: DataFrame, least: float) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 
 def few_rows(spark: SparkSession) -> None:
-    """Rows go to Python a thousand at a time, so that long texts need little memory on either side."""
+    """Rows go to Python a thousand or 16 MB at a time, so that long texts need little memory on either side."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,20 +128,46 @@ def threshold(bound: int, total: int) -> int:
     return (bound << 62) // max(total, bound, 1)
 
 
+def first_of_each(df: DataFrame, column: str) -> DataFrame:
+    """Of the rows of each task the first of each value of `column`, whose values are few."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in batches:
+            new = []
+            for x in b.column(at).to_pylist():
+                new.append(x not in seen)
+                seen.add(x)
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def bounded_rows(df: DataFrame, sized: str, bound: int, total: int, most_bytes: int = 128 << 20) -> list[Row]:
     """About `bound` of the `total` rows of `df` and never more, repeated ones once, of at most `most_bytes` in column `sized`.
 
-    They are picked by a hash of the whole row, so the same rows each time; only sizes are
-    collected to find the cut, and then the rows below it.
+    They are picked by a hash of the whole row, so the same rows each time. At first about twice the
+    bound's share of the rows is looked at; where repeated rows leave too few of them, more, up to all. A row
+    that takes more than a sixteenth of `most_bytes`, or than what is left of it, is passed over. Only
+    hashes and sizes are collected to choose, and then the rows chosen.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
     named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.octet_length(F.col(f"`{sized}`")).alias("size"))
-    marked = named.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *[f"c{i}" for i in range(len(columns))]), 2)).where(F.col("h") < threshold(2 * bound, total))
-    cut, size = -1, 0
-    for r in marked.groupBy("h").agg(F.max("size").alias("size")).orderBy("h").limit(bound).collect():
-        size += r.size or 0
-        if size > most_bytes:
+    marked = named.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *[f"c{i}" for i in range(len(columns))]), 2))
+    fits, share = F.coalesce("size", F.lit(0)) <= most_bytes // 16, threshold(2 * bound, total)
+    while True:
+        found = marked.where((F.col("h") < share) & fits).groupBy("h").agg(F.max("size").alias("size")).orderBy("h").limit(bound).collect()
+        if len(found) >= bound or share >= 1 << 62:
             break
-        cut = r.h
-    rows = marked.where(F.col("h") <= cut).dropDuplicates(["h"]).orderBy("h").collect()
-    return [Row(**{c: r[i] for i, c in enumerate(df.columns)}) for r in rows]
+        share = min(1 << 62, share * max(4, min(64, 2 * bound // max(len(found), 1))))
+    left, chosen = most_bytes, []
+    for r in found:
+        if (r.size or 0) <= left:
+            left -= r.size or 0
+            chosen.append((r.h,))
+    if not chosen:
+        return []
+    wanted = df.sparkSession.createDataFrame(chosen, "h long")  # `bound` numbers at most
+    rows = first_of_each(marked.where((F.col("h") <= chosen[-1][0]) & fits).join(F.broadcast(wanted), "h"), "h").dropDuplicates(["h"]).orderBy("h").collect()
+    return [Row(**{c: r[f"c{i}"] for i, c in enumerate(df.columns)}) for r in rows]

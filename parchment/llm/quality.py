@@ -189,9 +189,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_train: int) ->
     """Texts and labels of at most `max_train` labelled rows, in a fixed order; of an id's texts, few are likely to be among them."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     total = known.count()
-    # twice as many ids as wanted rows, as some have no text; their number is bounded, so they may be broadcast
-    few = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("label")), 2) < common.threshold(2 * max_train, total))
-    rows = common.bounded_rows(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id"), "text", max_train, min(total, 2 * max_train))
+    first, all_ = common.threshold(2 * max_train, total), 1 << 62
+    share = first
+    while True:
+        # twice as many ids as wanted rows, as some have no text; more, where too many name no document
+        few = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("label")), 2) < share)
+        rows = common.bounded_rows(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few) if share == first else few, "doc_id"), "text", max_train, min(total, 2 * max_train))
+        if 2 * len(rows) >= max_train or share >= all_:
+            break
+        share = min(all_, 16 * share)
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], [r.y for r in rows]
 

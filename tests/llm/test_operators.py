@@ -642,3 +642,21 @@ def test_op10_short_items_match_exactly_between_words(spark):
     items = spark.createDataFrame([(1, "Who is Ada?"), (2, "首都是哪里"), (3, "?!")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.hits(rows, items).collect()) == [(1, 1, 0), (4, 2, 0)]
     assert sorted(r.doc_id for r in decontaminate.clean(rows, items).collect()) == [2, 3, 5]
+
+
+def test_sample_of_repeated_and_of_oversized_rows(spark):
+    from pyspark.sql.functions import expr
+
+    repeated = spark.range(1_000_000).select(expr("id % 100").alias("k"), expr("concat('text number ', id % 100)").alias("t"))
+    assert {r.k for r in common.bounded_rows(repeated, "t", 4000, 1_000_000)} == set(range(100))
+    lang = "element_at(array('en', 'de', 'fr', 'es'), cast(id % 4 + 1 as int))"
+    docs = spark.range(1_000_000).select(expr("id % 100 as doc_id"), expr(f"concat(repeat(substring('the of und der les aux los del', cast(8 * (id % 4) + 1 as int), 8), 5), cast(id % 100 as string)) as text"), expr(f"{lang} as lang"))
+    assert langid.train(docs).languages == ["de", "en", "es", "fr"]
+    uneven = spark.createDataFrame([(i, "x" * (3900 if i < 3 else 10)) for i in range(23)], "k long, t string")
+    assert {r.k for r in common.bounded_rows(uneven, "t", 100, 23, most_bytes=4000)} == set(range(3, 23))
+
+
+def test_labels_of_absent_documents_leave_the_sample_whole(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.range(50_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert len(quality.labelled(docs, labels, "quality", 100)[0]) >= 50

@@ -24,8 +24,8 @@ def unfenced(response: Column) -> Column:
     return T.strip(F.regexp_replace(T.strip(found), r"\A`+|`+\z", ""))
 
 
-def parse_evaluation(rows: DataFrame, dimensions: tuple[Dimension, ...], scale: Scale = Scale(), key: str = "id", response: str = "response") -> DataFrame:
-    """(key, parsed, scores map, total, basis, comment, problems array) of each answer.
+def parse_evaluation(rows: DataFrame, dimensions: tuple[Dimension, ...], scale: Scale = Scale(), key: str = "id", response: str = "response", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, more ..., parsed, scores map, total, basis, comment, problems array) of each answer.
 
     The total is recomputed from the dimensions; without dimensions the answer's own counts. An answer
     that is no JSON object is searched for `name: number`; dimensions not found stay absent.
@@ -33,8 +33,10 @@ def parse_evaluation(rows: DataFrame, dimensions: tuple[Dimension, ...], scale:
     v = rows.withColumn("_j", F.try_parse_json(unfenced(F.col(response)))).withColumn("_ok", F.coalesce(F.schema_of_variant("_j").startswith("OBJECT"), F.lit(False)))
     get = lambda path, kind: F.try_variant_get("_j", path, kind)
     bounded = lambda x: clamp(F.bround(x), scale.low, scale.high)
-    score = lambda d: F.coalesce(F.try_variant_get("_j", f"$.dimension_scores['{d.name}']", "double"), F.lit(0.0))
-    said = lambda d: F.nullif(F.regexp_extract(F.col(response), d.name + SAID, 1), F.lit("")).cast("double")
+    # read once as a map, so that names with signs of their own are found too
+    v = v.withColumn("_d", get("$.dimension_scores", "map<string,variant>"))
+    score = lambda d: F.coalesce(F.try_variant_get(F.try_element_at("_d", F.lit(d.name)), "$", "double"), F.lit(0.0))
+    said = lambda d: F.nullif(F.regexp_extract(F.col(response), rf"\Q{d.name}\E" + SAID, 1), F.lit("")).cast("double")
     json_scores = F.array(*[F.struct(F.lit(d.name).alias("key"), bounded(score(d)).alias("value")) for d in dimensions])
     text_scores = F.filter(F.array(*[F.struct(F.lit(d.name).alias("key"), bounded(said(d)).alias("value")) for d in dimensions]), lambda e: e["value"].isNotNull())
     scores = F.map_from_entries(F.when(F.col("_ok"), json_scores).otherwise(text_scores))
@@ -48,6 +50,7 @@ def parse_evaluation(rows: DataFrame, dimensions: tuple[Dimension, ...], scale:
     problems = F.coalesce(listed, F.concat(level("P0"), level("P1"), level("P2")))
     return v.select(
         key,
+        *more,
         F.col("_ok").alias("parsed"),
         scores.alias("scores"),
         F.when(F.col("_ok"), json_total).otherwise(text_total).alias("total"),

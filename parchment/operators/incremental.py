@@ -15,5 +15,5 @@ def pending(docs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def merged(cached: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Both, the new row where a key has two."""
-    both = cached.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    both = cached.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     return report.last_of(both, key, "_new").drop("_new")

@@ -39,14 +39,19 @@ class ChatScorer:
     def __init__(self, url: str, key: str, model: str, system: str = "", timeout: float = 180.0, dimensions: tuple[Dimension, ...] = ()):
         self.url, self.key, self.model, self.system, self.timeout, self.dimensions = url, key, model, system, timeout, dimensions
 
+    # The service's own defaults.
     def chat(self, messages: list[dict], temperature: float = 0.3, max_tokens: int = 4096) -> str:
         body = json.dumps({"model": self.model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}).encode()
         request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:
             return json.loads(answer.read())["choices"][0]["message"]["content"]
 
+    def answer(self, prompt: str) -> str:
+        """What the service says to a prompt, as `sources.answers` logs it."""
+        return self.chat([{"role": "system", "content": self.system}, {"role": "user", "content": prompt}])
+
     def score(self, text: str) -> float:
-        answer = self.chat([{"role": "system", "content": self.system}, {"role": "user", "content": text}])
+        answer = self.answer(text)
         inside = re.search(r"\{.*\}", answer, re.DOTALL)
         found = json.loads(inside[0] if inside else answer)
         scores = found.get("dimension_scores", {})
@@ -65,10 +70,16 @@ class Failover:
         self.scorers, self.rounds, self.at = scorers, rounds, 0
 
     def score(self, text: str) -> float:
+        return self._first("score", text)
+
+    def answer(self, prompt: str) -> str:
+        return self._first("answer", prompt)
+
+    def _first(self, what: str, text: str):
         error: Exception | None = None
         for _ in range(self.rounds * len(self.scorers)):
             try:
-                return self.scorers[self.at].score(text)
+                return getattr(self.scorers[self.at], what)(text)
             except Exception as e:  # noqa: BLE001  whatever a service does, the next is asked
                 error = e
                 self.at = (self.at + 1) % len(self.scorers)
@@ -88,4 +99,4 @@ def evaluate(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "
                     out.append((k, False, 0.0))
             yield pd.DataFrame(out, columns=[key, "success", "total"])
 
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInPandas(run, f"{key} long, success boolean, total double")
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, success boolean, total double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,29 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return out
 
 
-def review(docs: DataFrame, rules: Completeness = Completeness(), signs: Detection = Detection(), alike: Similarity = Similarity(), grader: scorer.Scorer | None = None, cached: DataFrame | None = None, scale: Scale = Scale(), key: str = "doc_id", images: DataFrame | None = None) -> DataFrame:
+def review(
+    docs: DataFrame,
+    rules: Completeness = Completeness(),
+    signs: Detection = Detection(),
+    alike: Similarity = Similarity(),
+    grader: scorer.Scorer | None = None,
+    cached: DataFrame | None = None,
+    scale: Scale = Scale(),
+    key: str = "doc_id",
+    images: DataFrame | None = None,
+    evaluations: DataFrame | None = None,
+    judge: Callable[[str, str], str] | None = None,
+    order: str | None = None,
+) -> DataFrame:
     """A report row per document. `cached` evaluations (key, success, total) are not made again; without a grader there are none.
 
+    evaluations: (key, success, total and what else graders said), over the cached ones, instead of a grader.
     images: (key, image_index, is_likely_aigc, aigc_confidence, quality_issues) of analysed images.
+    judge: a second opinion on pairs of high similarity; those that it clears count nowhere.
+    order: a column of `docs`; where a key is there more than once, its last row counts.
     """
+    if order:
+        docs = report.last_of(docs, key, order)
     measured = features(docs, key)
     if images is not None:
         each = F.struct(F.col("image_index").alias("index"), F.col("is_likely_aigc").alias("likely"), F.col("aigc_confidence").alias("confidence"), "quality_issues")
@@ -43,9 +63,15 @@ def review(docs: DataFrame, rules: Completeness = Completeness(), signs: Detecti
     # completeness and signs are read from the same row, in one pass over the texts
     found = detect.detected(completeness.check(measured, rules), signs).select(key, "title", "words", F.col("score").alias("completeness"), "probability", "suspicious", "risk")
     sets, members = similarity.classes(docs, alike, key)
-    links = similarity.rollup(members, similarity.compared(sets, alike), alike, key)
-    nothing = docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, success boolean, total double")
+    pairs = similarity.compared(sets, alike)
+    if judge:
+        members, pairs = similarity.cleared(members, pairs, docs, judge, alike, key)
+    links = similarity.rollup(members, pairs, alike, key)
+    nothing = docs.sparkSession.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, success boolean, total double")
     done = cached if cached is not None else nothing
-    fresh = scorer.evaluate(incremental.pending(docs, done, key), grader, key) if grader else nothing
+    if evaluations is not None:
+        fresh = evaluations
+    else:
+        fresh = scorer.evaluate(incremental.pending(docs, done, key), grader, key) if grader else nothing
     graded = incremental.merged(done, fresh, key)
     return report.numbered(report.joined(found, graded, links, key=key, scale=scale), key)

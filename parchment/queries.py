@@ -386,9 +386,7 @@ SIGNED = f"""{SETS}, mh AS (SELECT doc_id, s, min(left(md5(s::VARCHAR || g), 16)
 
 @query(f"WITH {SIGNED} SELECT doc_id, string_agg(h, ',' ORDER BY s) AS signature FROM sig GROUP BY doc_id")
 def minhash_signature_k16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = similarity.without_template(F.coalesce("text", F.lit("")))
-    grams = docs(spark, sf_dir).select("doc_id", similarity.char_grams(clean, 8).alias("g"))
-    return grams.select("doc_id", F.array_join(similarity.signature(F.col("g"), 16), ",").alias("signature"))
+    return similarity.signatures(docs(spark, sf_dir), PAIRS_AT).select("doc_id", F.array_join("signature", ",").alias("signature"))
 
 
 # every two documents, as they are
@@ -436,7 +434,25 @@ def similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("documents", "suspected", (F.col("links") / 2).cast("long").alias("pairs"), "copied")
 
 
-@query()
+PAIRED = f"""{SIMILAR}, pairs AS MATERIALIZED (SELECT a, b FROM sus WHERE a IN (SELECT class FROM mem) AND b IN (SELECT class FROM mem)), plain AS MATERIALIZED (SELECT doc_id, {STRIPPED} AS t FROM d)"""
+PICKED = "list_reduce(list_transform(open, lambda o: o), lambda p, o: CASE WHEN o.n > p.n OR o.n = p.n AND (o.x < p.x OR o.x = p.x AND o.y < p.y) THEN o ELSE p END)"
+
+
+@query(
+    f"""WITH RECURSIVE {PAIRED},
+    grams AS MATERIALIZED (SELECT doc_id, i, substring(t, i, 30) AS g FROM plain, unnest(range(1, length(t) - 28)) AS u(i) WHERE doc_id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)),
+    firsts AS MATERIALIZED (SELECT a, b, i, g FROM pairs JOIN grams ON doc_id = a),
+    hits AS (SELECT a, b, x.i AS x, y.i - x.i AS d FROM firsts x JOIN grams y ON y.doc_id = b AND y.g = x.g),
+    blocks AS (SELECT a, b, min(x) AS x, min(x) + d AS y, count(*) + 29 AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY a, b, d ORDER BY x) AS island FROM hits) GROUP BY a, b, d, island),
+    steps(a, b, no, open, best) AS (
+        SELECT a, b, 0, list({{'x': x, 'y': y, 'n': n}}), {{'x': 0::BIGINT, 'y': 0::BIGINT, 'n': 0::BIGINT}} FROM blocks GROUP BY a, b
+        UNION ALL
+        SELECT a, b, no + 1, list_filter(flatten(list_transform(open, lambda c: [{{'x': c.x, 'y': c.y, 'n': least(c.n, p.x - c.x, p.y - c.y)}},
+            {{'x': c.x + greatest(0, p.x + p.n - c.x, p.y + p.n - c.y), 'y': c.y + greatest(0, p.x + p.n - c.x, p.y + p.n - c.y), 'n': c.n - greatest(0, p.x + p.n - c.x, p.y + p.n - c.y)}}])), lambda c: c.n >= 30), p
+        FROM (SELECT a, b, no, open, {PICKED} AS p FROM steps WHERE len(open) > 0 AND no < 10))
+    SELECT a, b, CAST(no AS BIGINT) AS segment_no, best.n AS length, CASE WHEN best.n > 100 THEN substring(t, best.x, 100) || '...' ELSE substring(t, best.x, best.n) END AS segment
+    FROM steps JOIN plain ON doc_id = a WHERE no > 0"""
+)
 def common_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_docs = docs(spark, sf_dir)
     return similarity.common_segments(similarity.similar_pairs(all_docs, PAIRS_AT), all_docs, PAIRS_AT)

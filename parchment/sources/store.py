@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators import scoring
+from ..operators import report, scoring
 from ..plans.rubric import Dimension, Scale
 
 #: Risks that are not suspicious, and what absent values look like.
@@ -37,6 +37,10 @@ def load(spark: SparkSession, folder: str, schemas: dict[str, str], kind: str =
     return found
 
 
+#: Columns of a report that are no dimension.
+PLAIN = ("ordinal", "author", "title", "words", "completeness", "probability", "suspicious", "risk", "evaluation", "success", "highest", "links", "final", "deduction", "similarity", "basis", "comment", "problems", "error")
+
+
 def restored(summary: DataFrame) -> DataFrame:
     """Results from a report's columns (author, completeness, risk, deduction, similarity); lossy, as the report rounds."""
     digits = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).cast("double"), F.lit(0.0))
@@ -49,6 +53,19 @@ def restored(summary: DataFrame) -> DataFrame:
     )
 
 
+def restored_evaluations(summary: DataFrame) -> DataFrame:
+    """(author, success, total, scores, basis, comment, problems, error): the grades that a report shows, successful ones, so that nobody is graded again.
+
+    Every column that no report has of itself is a dimension.
+    """
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
+    has = lambda c: F.col(f"`{c}`") if c in summary.columns else F.lit(None).cast("string")
+    dimensions = [c for c in summary.columns if c not in PLAIN]
+    entries = F.array(*[F.struct(F.lit(c).alias("key"), number(c).alias("value")) for c in dimensions]) if dimensions else F.array().cast("array<struct<key:string,value:double>>")
+    rows = summary.select("author", F.lit(True).alias("success"), (number("evaluation") if "evaluation" in summary.columns else F.lit(None).cast("double")).alias("total"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("scores"), has("basis").alias("basis"), has("comment").alias("comment"), F.from_json(has("problems"), "array<string>").alias("problems"), F.lit(None).cast("string").alias("error"))
+    return rows.where("total is not null")
+
+
 def _found(spark: SparkSession, pattern: str) -> list[str]:
     """The paths that a pattern matches, in order."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -62,7 +79,12 @@ def restored_or_cached(spark: SparkSession, folder: str, schemas: dict[str, str]
         return load(spark, folder, schemas)
     found = {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
     latest = _found(spark, f"{reports}/summary*/rows") if reports else []
-    return found | {"report": restored(spark.read.option("header", True).csv(latest[-1]))} if latest else found
+    if not latest:
+        return found
+    # a field may hold line breaks and quotes
+    told = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(latest[-1])
+    grades = {"evaluations": restored_evaluations(told)} if "evaluations" in schemas else {}
+    return found | {"report": restored(told.withColumns({c: F.lit(None).cast("string") for c in ("deduction", "similarity") if c not in told.columns}))} | grades
 
 
 def summary(rows: DataFrame, folder: str, statistics: DataFrame | None = None, dimensions: tuple[Dimension, ...] = ()) -> None:
@@ -76,7 +98,7 @@ def summary(rows: DataFrame, folder: str, statistics: DataFrame | None = None, d
 
 
 def _csv(rows: DataFrame, folder: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(folder)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 
 
 def post_normalised(spark: SparkSession, reports: str, scale: Scale = Scale(out_low=60, out_high=90, exponent=1.5), column: str = "final") -> str:
@@ -99,6 +121,11 @@ def post_normalised(spark: SparkSession, reports: str, scale: Scale = Scale(out_
     return target
 
 
+def _placed(pairs: DataFrame) -> DataFrame:
+    """`pairs` with their place `_n` in order of a, then b."""
+    return report.numbered(pairs.withColumn("_pair", F.struct("a", "b")), "_pair").withColumnRenamed("ordinal", "_n")
+
+
 #: The headings of a report.
 TITLE, RUBRIC, SCORES, STATISTICS, COPIES, SIGNS, DETAILS = "论文评审报告", "评分维度", "评分汇总", "统计信息", "查重总结", "AIGC 检测总结", "逐个学生评审详情"
 NO_COPIES, NO_SIGNS = "✅ 未发现明显抄袭情况", "✅ 未发现明显AI生成内容"
@@ -131,7 +158,7 @@ def lines(rows: DataFrame, statistics: DataFrame, dimensions: tuple[Dimension, .
     out.append(spread(3, rows, F.col("ordinal"), F.concat(F.lit("| "), F.concat_ws(" | ", F.col("ordinal").cast("string"), *[text(F.col(f"`{c}`")) for c in columns]), F.lit(" |"))))
     out.append(fixed(4, "", f"### {STATISTICS}", "", *(f"- {k}: **{ABSENT if v is None else v}**" for k, v in numbers.items()), "", f"## {COPIES}", ""))
     if pairs is not None:
-        out.append(spread(5, pairs, F.xxhash64("a", "b"), F.format_string("- **%s** 与 **%s** 相似度 %.0f%%", F.col("a").cast("string"), F.col("b").cast("string"), F.col("similarity") * 100)))
+        out.append(spread(5, _placed(pairs), F.col("_n"), F.format_string("- **%s** 与 **%s** 相似度 %.0f%%", F.col("a").cast("string"), F.col("b").cast("string"), F.col("similarity") * 100)))
     if pairs is None or pairs.isEmpty():
         out.append(fixed(6, NO_COPIES))
     out.append(fixed(7, "", f"## {SIGNS}", ""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -62,6 +62,25 @@ def values(name: str, schema: str, rows: list[tuple]) -> str:
     return f"{name}({', '.join(columns)}) AS (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)})"
 
 
+#: The beginning of a document's text, as something of the data in what the queries below take apart.
+HEAD = "left(coalesce(text, ''), 60)"
+
+
+def drawn(templates: list[tuple], by: str, value: str, table: str = "documents", name: str = "t") -> str:
+    """SQL: (id, `name`) of each row of a table, the template that its number `by` falls on, with `value` for each §."""
+    return f"f AS (SELECT {by} AS id, replace({lit([t[-1] for t in templates])}[CAST({by} % {len(templates)} AS INT) + 1], '§', {value}) AS {name} FROM {table})"
+
+
+def draw(rows: DataFrame, templates: list[tuple], by: str, value: Column, name: str = "t") -> DataFrame:
+    """The same in Spark."""
+    one = F.get(F.array(*[F.lit(t[-1]) for t in templates]), F.pmod(F.col(by), F.lit(len(templates))).cast("int"))
+    return rows.select(F.col(by).alias("id"), F.replace(one, F.lit("§"), value).alias(name))
+
+
+def head() -> Column:
+    return F.left(F.coalesce("text", F.lit("")), F.lit(60))
+
+
 # Parts of the SQL twins
 W = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -93,11 +112,11 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.word_count(t).alias("words"), T.paragraph_count(t).alias("paragraphs"), F.md5(T.clean_text(t)).alias("clean_md5"), T.title(T.filled_lines(t)).alias("title"))
 
 
-NAMES = [("cs_se_class1_20210001_张三.docx",), ("20210002_李四.pdf",), ("王五_论文题目.doc",), ("赵六.docx",), ("a-12345-bob.docx",), ("/in/x_2021000333.pdf",), ("20210004_9_x.docx",), ("20210001_20210005_陈 七_孙八.docx",), ("1_2_3.pdf",), ("noext",), ("archive.tar.gz",)]
+NAMES = [("cs_se_class1_2021000§_张三.docx",), ("2021000§_李四.pdf",), ("王五_论文题目.doc",), ("赵六.docx",), ("a-12345-bob.docx",), ("/in/x_2021000333.pdf",), ("20210004_9_x.docx",), ("20210001_20210005_陈 七_孙八.docx",), ("1_2_3.pdf",), ("noext",), ("archive.tar.gz",)]
 
 
 @query(
-    f"""WITH {values('f', 'name', NAMES)}, s AS (SELECT name, regexp_extract(name, '([^/]*)/*$', 1) AS base FROM f),
+    f"""WITH {drawn(NAMES, 'doc_id', 'CAST(doc_id AS VARCHAR)', name='name')}, s AS (SELECT name, regexp_extract(name, '([^/]*)/*$', 1) AS base FROM f),
     p AS (SELECT name, coalesce(nullif(regexp_extract(base, '^(.+)\\.[^.]+$', 1), ''), base) AS stem FROM s),
     q AS (SELECT name, stem, list_filter(regexp_split_to_array(stem, '(?:[_-]|{W})+'), lambda x: x <> '') AS parts FROM p),
     r AS (SELECT *, list_filter(range(1, len(parts) + 1), lambda i: regexp_matches(parts[i], '^\\d+$') AND length(parts[i]) >= 6) AS ids,
@@ -106,26 +125,26 @@ NAMES = [("cs_se_class1_20210001_张三.docx",), ("20210002_李四.pdf",), ("王
                       ELSE coalesce(parts[names[1]], stem) END AS author FROM r"""
 )
 def author_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "name string").select("name", T.author_key(F.col("name")).alias("author"))
+    return draw(docs(spark, sf_dir), NAMES, "doc_id", F.col("doc_id").cast("string"), "name").select("name", T.author_key(F.col("name")).alias("author"))
 
 
-REFERENCES = [(1, "[1] a\n[2] b [12]"), (2, "a\n\n  \nb\n"), (3, ""), (4, None), (5, "　\n[x]\nabc"), (6, "[1][2][3]")]
+REFERENCES = [(1, "[1] §\n[2] b [12]"), (2, "§\n\n  \nb\n"), (3, ""), (4, None), (5, "　\n[x]\nabc"), (6, "[1][2][3]")]
 
 
 @query(
-    f"""WITH {values('f', 'id, t', REFERENCES)} SELECT id, CASE WHEN coalesce(t, '') = '' THEN 0 WHEN len(regexp_extract_all(t, '\\[\\d+\\]')) > 0 THEN CAST(len(regexp_extract_all(t, '\\[\\d+\\]')) AS BIGINT)
+    f"""WITH {drawn(REFERENCES, 'doc_id', HEAD)} SELECT id, CASE WHEN coalesce(t, '') = '' THEN 0 WHEN len(regexp_extract_all(t, '\\[\\d+\\]')) > 0 THEN CAST(len(regexp_extract_all(t, '\\[\\d+\\]')) AS BIGINT)
     ELSE CAST(len({FILLED}) AS BIGINT) END AS n FROM f"""
 )
 def reference_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(REFERENCES, "id long, t string").select("id", T.reference_count(F.col("t")).alias("n"))
+    return draw(docs(spark, sf_dir), REFERENCES, "doc_id", head()).select("id", T.reference_count(F.col("t")).alias("n"))
 
 
-COMMENTS = [(1, "[第1章] good\n[第2章] bad\r\n[全文] fine"), (2, ""), (3, None), (4, "plain [x] text")]
+COMMENTS = [(1, "[第1章] §\n[第2章] bad\r\n[全文] fine"), (2, ""), (3, None), (4, "plain [x] §")]
 
 
-@query(f"""WITH {values('f', 'id, t', COMMENTS)} SELECT id, {strip("regexp_replace(replace(replace(t, chr(10), ' '), chr(13), ''), '(\\[[第全])', chr(10) || '\\1', 'g')")} AS comment FROM f""")
+@query(f"""WITH {drawn(COMMENTS, 'doc_id', HEAD)} SELECT id, {strip("regexp_replace(replace(replace(t, chr(10), ' '), chr(13), ''), '(\\[[第全])', chr(10) || '\\1', 'g')")} AS comment FROM f""")
 def comment_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(COMMENTS, "id long, t string").select("id", T.comment(F.col("t")).alias("comment"))
+    return draw(docs(spark, sf_dir), COMMENTS, "doc_id", head()).select("id", T.comment(F.col("t")).alias("comment"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 3000 THEN left(text, 3000) || '...' ELSE text END) AS short_md5, least(length(text), 15000) AS kept FROM documents")
@@ -301,19 +320,19 @@ def sentence_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in D.uniform(F.coalesce("text", F.lit(""))).items()])
 
 
-HAN_TEXTS = [(1, "本文提出一种方法。" * 40), (2, "各不相同的句子很多很多，" * 3 + "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 30), (3, "only ascii"), (4, ""), (5, "首先，我们需要明确问题。综上所述，值得注意的是结果。近年来，技术得到了广泛关注。")]
+HAN_TEXTS = [(1, "本文提出一种方法。" * 40), (2, "各不相同的句子很多很多，" * 3 + "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 30), (3, "only §"), (4, ""), (5, "§首先，我们需要明确问题。综上所述，值得注意的是结果。近年来，技术得到了广泛关注。")]
 CHUNKS = f"regexp_extract_all(t, '{D.CHUNK}')"
 
 
-@query(f"""WITH {values('f', 'id, t', HAN_TEXTS)}, c AS (SELECT id, CAST(len({CHUNKS}) AS BIGINT) AS chunks, CAST(len(list_distinct({CHUNKS})) AS BIGINT) AS distinct_chunks FROM f) SELECT *, chunks > 100 AND distinct_chunks * 10 < chunks * 3 AS repetitive FROM c""")
+@query(f"""WITH {drawn(HAN_TEXTS, 'doc_id', HEAD)}, c AS (SELECT id, CAST(len({CHUNKS}) AS BIGINT) AS chunks, CAST(len(list_distinct({CHUNKS})) AS BIGINT) AS distinct_chunks FROM f) SELECT *, chunks > 100 AND distinct_chunks * 10 < chunks * 3 AS repetitive FROM c""")
 def lexical_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(HAN_TEXTS, "id long, t string")
+    rows = draw(docs(spark, sf_dir), HAN_TEXTS, "doc_id", head())
     return rows.select("id", *[c.alias(n) for n, c in D.repetitive(F.col("t")).items()])
 
 
-@query(f"WITH {values('f', 'id, t', HAN_TEXTS)} SELECT id, {' + '.join(_hits(p) for p in D.PHRASES)} AS hits, {WORDS} AS words FROM f")
+@query(f"WITH {drawn(HAN_TEXTS, 'doc_id', HEAD)} SELECT id, {' + '.join(_hits(p) for p in D.PHRASES)} AS hits, {WORDS} AS words FROM f")
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(HAN_TEXTS, "id long, t string")
+    rows = draw(docs(spark, sf_dir), HAN_TEXTS, "doc_id", head())
     total = F.aggregate(D.pattern_counts(F.col("t"), D.PHRASES), F.lit(0), lambda a, x: a + x)
     return rows.select("id", total.cast("long").alias("hits"), T.word_count(F.col("t")).alias("words"))
 
@@ -336,28 +355,32 @@ def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.detect(docs(spark, sf_dir), FOUND).groupBy("risk").agg(F.count("*").alias("documents"))
 
 
-IMAGES = [(1, 3, 3000, 1, False, 0.1, []), (1, 3, 3000, 2, True, 0.85, ["模糊", "分析失败", "x"]), (2, 5, 4000, 1, False, 0.9, ["模糊", "偏色", "x"]), (3, 25, 500, None, None, None, None), (4, 6, 800, None, None, None, None), (5, 0, 5000, None, None, None, None), (6, 2, 10, 1, True, 0.5, None)]
+#: Turns of conversations stand in for images.
+ISSUE_LISTS = [["模糊", "分析失败", "x"], ["模糊", "偏色", "x"], [], None]
+IMAGES = f"f AS (SELECT conv_id AS id, conv_id % 26 AS figures, (conv_id * 37) % 2000 AS words, CASE WHEN conv_id % 5 > 0 THEN turn END AS image, role = 'assistant' AS likely, (length(text) % 100) / 100.0::DOUBLE AS confidence, {lit(ISSUE_LISTS)}[CAST(turn % 4 AS INT) + 1] AS issues FROM conversations)"
 
 
 @query(
-    f"""WITH {values('f', 'id, figures, words, image, likely, confidence, issues', IMAGES)}, e AS (SELECT id, figures, words, count(image) AS n, coalesce(sum((likely AND confidence > 0.5)::INT + coalesce(len(list_filter(issues[1:2], lambda x: x <> '{D.FAILED}')), 0)) FILTER (WHERE image IS NOT NULL), 0) AS seen FROM f GROUP BY id, figures, words)
+    f"""WITH {IMAGES}, e AS (SELECT id, figures, words, count(image) AS n, coalesce(sum((likely AND confidence > 0.5)::INT + coalesce(len(list_filter(issues[1:2], lambda x: x <> '{D.FAILED}')), 0)) FILTER (WHERE image IS NOT NULL), 0) AS seen FROM f GROUP BY id, figures, words)
     SELECT id, CAST(CASE WHEN n > 0 THEN seen WHEN figures > 0 THEN (figures > 20)::INT + (words < 1000 AND figures > 5)::INT ELSE 0 END AS BIGINT) AS issues FROM e"""
 )
 def image_issue_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(IMAGES, "id long, figures long, words long, image long, likely boolean, confidence double, quality_issues array<string>")
+    listed = F.get(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") if x is not None else F.lit(None).cast("array<string>") for x in ISSUE_LISTS]), (F.col("turn") % 4).cast("int"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = turns.select(F.col("conv_id").alias("id"), (F.col("conv_id") % 26).alias("figures"), (F.col("conv_id") * 37 % 2000).alias("words"), F.when(F.col("conv_id") % 5 > 0, F.col("turn")).alias("image"), (F.col("role") == "assistant").alias("likely"), (F.length("text") % 100 / 100.0).alias("confidence"), listed.alias("quality_issues"))
     held = rows.groupBy("id", "figures", "words").agg(F.collect_list(F.when(F.col("image").isNotNull(), F.struct("image", "likely", "confidence", "quality_issues"))).alias("images"))
     return held.select("id", D.image_issues(F.col("images"), F.col("figures"), F.col("words")).alias("issues"))
 
 
 # Similarity
-TEMPLATED = [(1, "标题\n目录\n正文在此\n参考文献\n[1] x\n"), (2, "封面\n致谢\n第一章 附录\nbody"), (3, "Reference\nabc"), (4, "no template"), (5, "")]
+TEMPLATED = [(1, "标题\n目录\n正文在此\n参考文献\n[1] x\n"), (2, "封面\n致谢\n第一章 附录\nbody"), (3, "Reference\n§"), (4, "§\n致谢\n§"), (5, "")]
 HEAD_WORDS = "|".join(similarity.TEMPLATE)
 STRIPPED = rf"regexp_replace(t, '(?i)(?:\A|\n)\s*(?:第.+(?:章|节)\s+)?(?:{HEAD_WORDS})\s*\n', chr(10), 'g')"
 
 
-@query(f"WITH {values('f', 'id, t', TEMPLATED)} SELECT id, {STRIPPED} AS stripped FROM f")
+@query(f"WITH {drawn(TEMPLATED, 'doc_id', HEAD)} SELECT id, {STRIPPED} AS stripped FROM f")
 def template_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TEMPLATED, "id long, t string").select("id", similarity.without_template(F.col("t")).alias("stripped"))
+    return draw(docs(spark, sf_dir), TEMPLATED, "doc_id", head()).select("id", similarity.without_template(F.col("t")).alias("stripped"))
 
 
 KEPT = rf"regexp_replace({STRIPPED}, '[^a-zA-Z0-9\x{{4E00}}-\x{{9FFF}}]', '', 'g')"
@@ -477,6 +500,9 @@ ANSWERS = [
     (5, '`{"dimension_scores": {"文档": -5, "代码": 33.5}}`'),
     (6, "broken {json 总得：12"),
 ]
+#: The answers that labelled documents get, with a number of each for its scores.
+ANSWERED = [(i, r.replace("80", "§").replace("85", "§").replace("33.5", "§.5")) for i, r in ANSWERS]
+SCORE = "CAST((doc_id * 37) % 130 AS VARCHAR)"
 
 
 def _eval_sql() -> str:
@@ -488,7 +514,7 @@ def _eval_sql() -> str:
     said = lambda d: bound(f"TRY_CAST(nullif(regexp_extract(r, '{d.name}[：:]\\s*(\\d+)', 1), '') AS DOUBLE)")
     columns = ", ".join(f"CASE WHEN ok THEN {score(d)} WHEN regexp_matches(r, '{d.name}[：:]\\s*(\\d+)') THEN {said(d)} END AS s{n}" for n, d in enumerate(DIMENSIONS))
     total = " + ".join(f"s{n} * {d.weight}::DOUBLE" for n, d in enumerate(DIMENSIONS))
-    return f"""{values('f', 'id, r', ANSWERS)}, g AS (SELECT id, r, {j} AS js FROM f), h AS (SELECT id, r, CASE WHEN json_valid(js) THEN js END AS j, json_valid(js) AS ok FROM g),
+    return f"""{drawn(ANSWERED, 'doc_id', SCORE, 'labels', 'r')}, g AS (SELECT id, r, {j} AS js FROM f), h AS (SELECT id, r, CASE WHEN json_valid(js) THEN js END AS j, json_valid(js) AS ok FROM g),
     s AS (SELECT *, {columns} FROM h), e AS (SELECT *, CASE WHEN ok THEN {bound(f'({total})')} ELSE coalesce({bound("TRY_CAST(nullif(regexp_extract(r, '" + E.TOTAL + "', 1), '') AS DOUBLE)")}, 0.0::DOUBLE) END AS total FROM s)"""
 
 
@@ -499,10 +525,15 @@ def _parsed(spark: SparkSession) -> DataFrame:
     return E.parse_evaluation(spark.createDataFrame(ANSWERS, "id long, response string"), DIMENSIONS)
 
 
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = (F.col("doc_id") * 37 % 130).cast("string")
+    return E.parse_evaluation(draw(spark.read.parquet(f"{sf_dir}/labels.parquet"), ANSWERED, "doc_id", number, "response"), DIMENSIONS)
+
+
 @query(f"WITH {EVAL} SELECT id, ok AS parsed, s0, s1, s2, total, CASE WHEN ok THEN coalesce(json_extract_string(j, '$.short_comment'), '{E.NO_COMMENT}') ELSE '{E.UNPARSED}' END AS comment FROM e")
 def eval_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = [F.try_element_at("scores", F.lit(d.name)).alias(f"s{n}") for n, d in enumerate(DIMENSIONS)]
-    return _parsed(spark).select("id", "parsed", *scores, "total", "comment")
+    return _answered(spark, sf_dir).select("id", "parsed", *scores, "total", "comment")
 
 
 LEVELS = "list_concat(" * 2 + ", ".join(f"list_transform(coalesce(CAST(json_extract(j, '$.core_problems.{p}') AS VARCHAR[]), []), lambda x: '[{p}]' || x)" + ")" * (n > 0) for n, p in enumerate(("P0", "P1", "P2")))
@@ -510,30 +541,33 @@ LEVELS = "list_concat(" * 2 + ", ".join(f"list_transform(coalesce(CAST(json_extr
 
 @query(f"WITH {EVAL} SELECT id, coalesce(array_to_string(CASE WHEN NOT ok THEN [] WHEN json_type(j, '$.core_problems') = 'ARRAY' THEN CAST(json_extract(j, '$.core_problems') AS VARCHAR[]) ELSE {LEVELS} END, ','), '') AS problems FROM e")
 def eval_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark).select("id", F.array_join("problems", ",").alias("problems"))
+    return _answered(spark, sf_dir).select("id", F.array_join("problems", ",").alias("problems"))
 
 
 WEIGHTS = [(1, [0.5, 0.3, 0.2]), (2, [3.0, 1.0, 1.0]), (3, [0.9, 0.05, 0.05]), (4, [1.0]), (5, [0.2, 0.2, 0.2, 0.2]), (6, [0.0, 0.0])]
 
 
 @query(
-    f"""WITH {values('f', 'id, raw', WEIGHTS)}, w AS (SELECT id, list_transform(raw, lambda x: x::DOUBLE) AS w, list_sum(list_transform(raw, lambda x: x::DOUBLE)) AS s FROM f), q AS (SELECT id, w, s, CASE WHEN s = 0 THEN w ELSE list_transform(w, lambda x: {fix('x / s', 2)}) END AS q FROM w),
+    f"""WITH f AS (SELECT doc_id AS id, list_transform({lit([w for _, w in WEIGHTS])}[CAST(doc_id % {len(WEIGHTS)} AS INT) + 1], lambda x: x::DOUBLE * (1 + doc_id % 3)) AS raw FROM labels), w AS (SELECT id, list_transform(raw, lambda x: x::DOUBLE) AS w, list_sum(list_transform(raw, lambda x: x::DOUBLE)) AS s FROM f), q AS (SELECT id, w, s, CASE WHEN s = 0 THEN w ELSE list_transform(w, lambda x: {fix('x / s', 2)}) END AS q FROM w),
     z AS (SELECT id, CASE WHEN s = 0 OR abs(s - 1.0::DOUBLE) <= 0.01 THEN w ELSE list_append(q[1:len(q) - 1], {fix('1.0::DOUBLE - coalesce(list_sum(q[1:len(q) - 1]), 0.0::DOUBLE)', 2)}) END AS z FROM q)
     SELECT id, ord, least(0.5::DOUBLE, greatest(0.05::DOUBLE, z[ord])) AS weight FROM z, unnest(range(1, len(z) + 1)) AS u(ord)"""
 )
 def rubric_weight_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(WEIGHTS, "id long, w array<double>").select("id", F.posexplode(E.normalised_weights(F.col("w"))).alias("ord", "weight"))
+    one = F.get(F.array(*[F.array(*map(F.lit, w)) for _, w in WEIGHTS]), (F.col("doc_id") % len(WEIGHTS)).cast("int"))
+    drawn_ = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.transform(one, lambda x: x * (1 + F.col("doc_id") % 3)).alias("w"))
+    rows = drawn_.select("id", F.posexplode(E.normalised_weights(F.col("w"))).alias("ord", "weight"))
     return rows.select("id", (F.col("ord") + 1).cast("long").alias("ord"), "weight")
 
 
-BATCHES = [("a", 1, '```json\n[{"image_index": 1, "description": "d1", "relevance": "高", "has_caption": true, "quality_issues": ["模糊"], "is_likely_aigc": true, "aigc_confidence": 0.8}, {"image_index": 9, "description": "d9"}]\n```'), ("a", 2, "not json"), ("b", 1, '{"image_index": 1, "relevance": "低"}')]
-PICTURES = [("a", 1, 1, "body", "c1"), ("a", 1, 2, "body", "c2"), ("a", 2, 3, "conclusion", "c3"), ("b", 1, 1, "header", "c4")]
+#: Turns of conversations stand in for images again, three to a batch; § is the first of a batch.
+BATCHES = [(0, '```json\n[{"image_index": §, "description": "d1", "relevance": "高", "has_caption": true, "quality_issues": ["模糊"], "is_likely_aigc": true, "aigc_confidence": 0.8}, {"image_index": 9§, "description": "d9"}]\n```'), (1, "not json"), (2, '{"image_index": §, "relevance": "低"}')]
+PICTURES = "q AS (SELECT conv_id, turn // 3 AS batch, turn, role, text FROM conversations), p AS (SELECT CAST(conv_id AS VARCHAR) AS doc, batch, CAST(turn AS INT) AS image_index, role AS section, left(text, 20) AS caption FROM q)"
 
 
 def _image_sql() -> str:
     body = r"CASE WHEN regexp_matches(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```') THEN regexp_extract(r, '(?s)```(?:json)?\s*\n?(.*?)\n?```', 1) ELSE r END"
     text = lambda p, default: f"CASE WHEN i IS NULL THEN '{default[1]}' ELSE coalesce(json_extract_string(i, '$.{p}'), '{default[0]}') END"
-    return f"""{values('f', 'doc, batch, r', BATCHES)}, {values('p', 'doc, batch, image_index, section, caption', PICTURES)}, g AS (SELECT doc, batch, {body} AS b FROM f),
+    return f"""{PICTURES}, f AS (SELECT CAST(conv_id AS VARCHAR) AS doc, batch, replace({lit([t for _, t in BATCHES])}[CAST((conv_id + batch) % 3 AS INT) + 1], '§', CAST(min(turn) AS VARCHAR)) AS r FROM q GROUP BY conv_id, batch), g AS (SELECT doc, batch, {body} AS b FROM f),
     h AS (SELECT doc, batch, CASE WHEN starts_with(b, '{{') THEN '[' || b || ']' ELSE b END AS b FROM g), t AS (SELECT doc, batch, unnest(CAST(CASE WHEN json_valid(b) THEN b ELSE '[]' END AS JSON[])) AS i FROM h),
     u AS (SELECT doc, batch, CAST(json_extract_string(i, '$.image_index') AS INT) AS image_index, i FROM t), x AS (SELECT * FROM p FULL JOIN u USING (doc, batch, image_index))
     SELECT doc, batch, CAST(image_index AS BIGINT) AS image_index, coalesce(section, '') AS section, coalesce(caption, '') AS caption, {text('description', ('', E.FAILED))} AS description, {text('relevance', (E.UNKNOWN, E.UNKNOWN))} AS relevance,
@@ -543,8 +577,11 @@ def _image_sql() -> str:
 
 @query(f"WITH {_image_sql()}")
 def image_json_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = spark.createDataFrame(BATCHES, "doc string, batch long, response string")
-    images = spark.createDataFrame(PICTURES, "doc string, batch long, image_index int, section string, caption string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumns({"doc": F.col("conv_id").cast("string"), "batch": F.floor(F.col("turn") / 3)})
+    batches = turns.groupBy("doc", "conv_id", "batch").agg(F.min("turn").alias("first")).withColumn("n", F.col("conv_id") + F.col("batch"))
+    one = F.get(F.array(*[F.lit(t) for _, t in BATCHES]), (F.col("n") % 3).cast("int"))
+    answers = batches.select("doc", "batch", F.replace(one, F.lit("§"), F.col("first").cast("string")).alias("response"))
+    images = turns.select("doc", "batch", F.col("turn").cast("int").alias("image_index"), F.col("role").alias("section"), F.left("text", F.lit(20)).alias("caption"))
     return E.parse_images(answers, images).withColumns({"quality_issues": F.array_join("quality_issues", ","), "image_index": F.col("image_index").cast("long")})
 
 
@@ -559,18 +596,28 @@ def _evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", total.alias("total"), (F.col("quality") == 1).alias("success"))
 
 
-INPUTS = [(1, 80.0, True, True, 70.0, 0.5, False, 0.0, False), (2, 80.0, True, True, 70.0, 0.75, True, 0.0, False), (3, 80.0, True, True, 70.0, 0.75, True, 0.5, True), (4, 64.4, False, None, None, 0.9, True, 0.9, True), (5, 80.0, True, False, 70.0, None, None, None, None), (6, None, True, True, 70.0, 0.1, False, 0.0, False), (7, 50.0, True, True, 50.0, None, None, None, None)]
+#: Every input of a final score, by the number of a labelled document.
+INPUTS = {
+    "completeness": "CASE WHEN doc_id % 11 > 0 THEN CAST((doc_id * 37) % 101 AS DOUBLE) END",
+    "evaluated": "doc_id % 4 > 0",
+    "success": "CASE WHEN doc_id % 13 > 0 THEN quality = 1 END",
+    "total": TOTALS,
+    "probability": "CAST((doc_id * 53) % 101 AS DOUBLE) / 100",
+    "suspicious": "CASE WHEN doc_id % 6 > 0 THEN (doc_id * 53) % 101 >= 60 END",
+    "similarity": "CAST((doc_id * 71) % 101 AS DOUBLE) / 100",
+    "has_pair": "CASE WHEN doc_id % 9 > 0 THEN (doc_id * 71) % 101 >= 40 END",
+}
 MIXED = "(completeness * 0.2::DOUBLE + total * 0.8::DOUBLE) * (CASE WHEN coalesce(suspicious, false) THEN 1 - probability * 0.8::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN coalesce(has_pair, false) THEN 1 - similarity * 0.3::DOUBLE ELSE 1.0::DOUBLE END)"
 BOUND = lambda x: f"(0.0::DOUBLE + pow(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({x} - 0.0) / 100.0::DOUBLE)), 1.0) * 100.0::DOUBLE)"
 FINAL = f"CASE WHEN completeness IS NOT NULL AND evaluated AND coalesce(success, false) THEN {EVEN(BOUND('mixed'))} WHEN completeness IS NOT NULL AND NOT evaluated THEN {EVEN(BOUND('completeness'))} ELSE 0.0::DOUBLE END"
 
 
 @query(
-    f"""WITH {values('f', 'id, completeness, evaluated, success, total, probability, suspicious, similarity, has_pair', INPUTS)}, c AS (SELECT id, completeness::DOUBLE AS completeness, evaluated, success, total::DOUBLE AS total, probability::DOUBLE AS probability, suspicious, similarity::DOUBLE AS similarity, has_pair FROM f),
+    f"""WITH c AS (SELECT doc_id AS id, {', '.join(f'{e} AS {n}' for n, e in INPUTS.items())} FROM labels),
     m AS (SELECT *, {MIXED} AS mixed FROM c) SELECT id, {FINAL} AS final FROM m"""
 )
 def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(INPUTS, "id long, completeness double, evaluated boolean, success boolean, total double, probability double, suspicious boolean, similarity double, has_pair boolean")
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), *[F.expr(e).alias(n) for n, e in INPUTS.items()])
     return rows.select("id", scoring.final_score(*[F.col(c) for c in rows.columns[1:]]).alias("final"))
 
 
@@ -624,32 +671,41 @@ def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.merged(_evaluations(spark, sf_dir).select("doc_id", "total"), new, "doc_id")
 
 
-FILES = [("20210001_张三.pdf",), ("20210001_张三.docx",), ("20210001_张三.doc",), ("李四.doc",), ("李四_b.pdf",), ("x.pdf",), ("x.txt",)]
+FILES = "CAST(20210000 + doc_id % 97 AS VARCHAR) || '_' || source || list_extract(['.docx', '.doc', '.pdf', '.txt'], CAST(doc_id // 97 % 4 AS INT) + 1)"
 
 
 @query(
-    f"""WITH {values('f', 'name', FILES)}, p AS (SELECT name, regexp_extract(name, '^(.+)[.]', 1) AS stem, list_position(['docx', 'doc', 'pdf'], regexp_extract(name, '[.]([^.]+)$', 1)) AS rank FROM f),
+    f"""WITH f AS (SELECT DISTINCT {FILES} AS name FROM documents), p AS (SELECT name, regexp_extract(name, '^(.+)[.]', 1) AS stem, list_position(['docx', 'doc', 'pdf'], regexp_extract(name, '[.]([^.]+)$', 1)) AS rank FROM f),
     a AS (SELECT name, rank, CASE WHEN regexp_matches(stem, '^[0-9]{{6,}}_') THEN replace(stem, '_', '-') ELSE split_part(stem, '_', 1) END AS author FROM p WHERE rank > 0)
     SELECT name, author FROM a QUALIFY row_number() OVER (PARTITION BY author ORDER BY rank, name) = 1"""
 )
 def dedupe_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import files
 
-    return files.best(spark.createDataFrame(FILES, "name string")).select("name", "author")
+    kind = F.get(F.array(*map(F.lit, (".docx", ".doc", ".pdf", ".txt"))), F.expr("cast(doc_id div 97 % 4 as int)"))
+    names = docs(spark, sf_dir).select(F.concat((20210000 + F.col("doc_id") % 97).cast("string"), F.lit("_"), "source", kind).alias("name")).distinct()
+    return files.best(names).select("name", "author")
 
 
-RESTORE = [("a", "80", "高风险", "-40%", "35%"), ("b", "N/A", "正常", "0%", "0%"), ("c", "55.5", "低风险", "-90%", "x"), ("d", None, "中风险", None, None)]
+#: The fields of a report of labelled documents, as the texts that a report has.
+RESTORE = {
+    "completeness": "CASE doc_id % 4 WHEN 0 THEN CAST((doc_id * 37) % 101 AS VARCHAR) WHEN 1 THEN 'N/A' WHEN 2 THEN '55.5' END",
+    "risk": "CASE doc_id % 3 WHEN 0 THEN '高风险' WHEN 1 THEN '正常' ELSE '低风险' END",
+    "deduction": "CASE WHEN doc_id % 7 > 0 THEN '-' || CAST((doc_id * 53) % 101 AS VARCHAR) || '%' END",
+    "similarity": "CASE WHEN doc_id % 5 > 0 THEN CAST((doc_id * 71) % 101 AS VARCHAR) || '%' ELSE 'x' END",
+}
 
 
 @query(
-    f"""WITH {values('f', 'author, completeness, risk, deduction, similarity', RESTORE)} SELECT author, coalesce(TRY_CAST(completeness AS DOUBLE), 0.0::DOUBLE) AS score,
+    f"""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS author, {', '.join(f'{e} AS {n}' for n, e in RESTORE.items())} FROM labels) SELECT author, coalesce(TRY_CAST(completeness AS DOUBLE), 0.0::DOUBLE) AS score,
     least(coalesce(TRY_CAST(nullif(regexp_extract(deduction, '(\\d+)', 1), '') AS DOUBLE), 0.0::DOUBLE) / 80.0::DOUBLE, 1.0::DOUBLE) AS probability, risk NOT IN ('正常', '低风险') AS suspicious,
     coalesce(TRY_CAST(nullif(regexp_extract(similarity, '(\\d+)', 1), '') AS DOUBLE), 0.0::DOUBLE) / 100.0::DOUBLE AS highest FROM f"""
 )
 def excel_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import store
 
-    return store.restored(spark.createDataFrame(RESTORE, "author string, completeness string, risk string, deduction string, similarity string"))
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("author"), *[F.expr(e.replace("VARCHAR", "STRING")).alias(n) for n, e in RESTORE.items()])
+    return store.restored(rows)
 
 
 @query("WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, n > 0 AS success, CASE WHEN n > 0 THEN CAST(least(100, 40 + n // 100) AS DOUBLE) ELSE 0.0::DOUBLE END AS total FROM d")
@@ -673,18 +729,19 @@ def grading_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(prompts.asked(t, suffix)).alias("prompt_md5"))
 
 
-SHOWN = [(d, i, f"s{i % 3}", "c" * (20 * i)) for d in ("a", "b") for i in range(1, 8 if d == "a" else 4)]
+SHOWN = "f AS (SELECT CAST(conv_id AS VARCHAR) AS doc, turn AS image_index, role AS section, text AS caption FROM conversations)"
 
 
 @query(
-    f"""WITH {values('f', 'doc, image_index, section, caption', SHOWN)}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY image_index) - 1) // 5 + 1 AS batch FROM f)
+    f"""WITH {SHOWN}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY image_index) - 1) // 5 + 1 AS batch FROM f)
     SELECT doc, batch, string_agg(printf({lit(prompts.IMAGE_LINE)}, image_index, section, CASE WHEN length(caption) > 120 THEN left(caption, 120) || '...' ELSE caption END), chr(10) ORDER BY image_index) AS listed FROM b GROUP BY doc, batch"""
 )
 def image_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.image_lists(prompts.batched(spark.createDataFrame(SHOWN, "doc string, image_index int, section string, caption string")))
+    shown = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("image_index"), F.col("role").alias("section"), F.col("text").alias("caption"))
+    return prompts.image_lists(prompts.batched(shown))
 
 
-RUBRICS = [(1, '```json\n{"dimensions": [{"name": "a", "weight": 3}, {"name": "b", "weight": 1}], "completeness": {"sections": ["x", "y"], "word_count": {"min": 500}}}\n```'), (2, '{"dimensions": ["p", "q"], "sections": ["z"], "min_word_count": 900}'), (3, "not json")]
+RUBRICS = [(1, '```json\n{"dimensions": [{"name": "a", "weight": §}, {"name": "b", "weight": 1}], "completeness": {"sections": ["x", "y"], "word_count": {"min": 500}}}\n```'), (2, '{"dimensions": ["p", "q"], "sections": ["z"], "min_word_count": 90§}'), (3, "not json")]
 
 
 def _rubric_sql() -> str:
@@ -692,7 +749,7 @@ def _rubric_sql() -> str:
     named = lambda x: f"coalesce(json_extract_string({x}, '$.name'), json_extract_string({x}, '$'))"
     heavy = lambda x: f"CASE WHEN json_extract_string({x}, '$.name') IS NULL THEN 0.2::DOUBLE ELSE coalesce(TRY_CAST(json_extract_string({x}, '$.weight') AS DOUBLE), 0.0::DOUBLE) END"
     items = lambda path: f"coalesce(CAST(json_extract(j, '{path}') AS JSON[]), [])"
-    return f"""{values('f', 'id, r', RUBRICS)}, g AS (SELECT id, {body} AS b FROM f), h AS (SELECT id, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM g),
+    return f"""{drawn(RUBRICS, 'doc_id', 'CAST(doc_id % 9 + 1 AS VARCHAR)', 'labels', 'r')}, g AS (SELECT id, {body} AS b FROM f), h AS (SELECT id, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM g),
     w AS (SELECT id, j, list_transform({items('$.dimensions')}, lambda x: {named('x')}) AS names, list_transform({items('$.dimensions')}, lambda x: {heavy('x')}) AS w,
           CASE WHEN len({items('$.completeness.sections')}) > 0 THEN list_transform({items('$.completeness.sections')}, lambda x: {named('x')}) ELSE list_transform({items('$.sections')}, lambda x: {named('x')}) END AS sections FROM h),
     q AS (SELECT *, coalesce(list_sum(w), 0.0) AS s FROM w), z AS (SELECT *, CASE WHEN s = 0 OR abs(s - 1) <= 0.01 THEN w ELSE list_transform(w, lambda x: {fix('x / s', 2)}) END AS v FROM q),
@@ -704,7 +761,8 @@ def _rubric_sql() -> str:
 
 @query(f"WITH {_rubric_sql()}")
 def rubric_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.parse_rubric(spark.createDataFrame(RUBRICS, "id long, response string"))
+    number = (F.col("doc_id") % 9 + 1).cast("string")
+    found = E.parse_rubric(draw(spark.read.parquet(f"{sf_dir}/labels.parquet"), RUBRICS, "doc_id", number, "response"))
     return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("names", "weights", "sections")})
 
 
@@ -719,4 +777,4 @@ def similarity_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVAL} SELECT id, total, s0 AS \"功能\", s1 AS \"代码\", s2 AS \"文档\" FROM e")
 def dimension_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.by_dimension(_parsed(spark).select("id", "total", "scores"), DIMENSIONS)
+    return report.by_dimension(_answered(spark, sf_dir).select("id", "total", "scores"), DIMENSIONS)

@@ -116,8 +116,11 @@ def test_the_last_row_of_a_key_counts(spark):
 def test_index_loses_no_pair(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
     rules = Similarity(hashes=16)
-    sets, _ = similarity.classes(docs, rules)
-    held = [(r["class"], set(r.chars), set(r.words), r.signature) for r in similarity.signed(sets, rules).collect()]
+    named = similarity.classes(docs, rules)[1].select(F.col("class").alias("doc_id")).distinct()
+    clean = similarity.without_template(F.coalesce("text", F.lit("")))
+    chars = similarity.char_grams(clean, rules.char_size)
+    sets = docs.join(named, "doc_id", "left_semi").select("doc_id", chars.alias("chars"), similarity.word_grams(clean, rules.word_size).alias("words"), similarity.signature(chars, rules.hashes).alias("signature"))
+    held = [(r.doc_id, set(r.chars), set(r.words), r.signature) for r in sets.collect()]
     jaccard = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
     expected = set()
     for i, a in enumerate(held):

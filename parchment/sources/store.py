@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zipfile
 from datetime import datetime
@@ -10,7 +11,6 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import report, scoring
 from ..plans.rubric import Dimension, Scale
@@ -20,21 +20,57 @@ HARMLESS = ("正常", "低风险")
 ABSENT = "-"
 
 
-def save(results: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
-    """Each result in a folder of its own, written over what was there."""
+def save(results: dict[str, DataFrame], folder: str, kind: str = "parquet", keep: int = 2) -> int:
+    """A snapshot of all results, whose number is returned.
+
+    Every result goes to a folder of the snapshot's own, and a manifest that names them all comes last, by one rename.
+    Until then `load` gives the snapshot before, so a job that fails between two results leaves what was there whole,
+    and results may be read from the snapshot that they replace. The last `keep` snapshots stay.
+    """
+    spark = next(iter(results.values())).sparkSession
+    number = max(_snapshots(spark, folder), default=0) + 1
     for name, df in results.items():
-        df.write.mode("overwrite").format(kind).save(f"{folder}/{name}")
+        df.write.mode("overwrite").format(kind).save(f"{folder}/{number:08d}/{name}")
+    _put(spark, f"{folder}/{MANIFESTS}/{number:08d}.json", json.dumps({"kind": kind, "results": sorted(results)}))
+    for old in sorted(_snapshots(spark, folder))[:-keep]:
+        # first what names it, so that no manifest names what is gone
+        for path in (f"{folder}/{MANIFESTS}/{old:08d}.json", f"{folder}/{old:08d}"):
+            fs, target = _hadoop(spark, path)
+            fs.delete(target, True)
+    return number
+
+
+def load(spark: SparkSession, folder: str, schemas: dict[str, str], number: int | None = None) -> dict[str, DataFrame]:
+    """What the last `save` wrote, or that of a number; an absent result is an empty one."""
+    number = max(_snapshots(spark, folder), default=None) if number is None else number
+    manifest = {"results": []} if number is None else json.loads("".join(r.value for r in spark.read.text(f"{folder}/{MANIFESTS}/{number:08d}.json").collect()))
+    read = lambda name, schema: spark.read.schema(schema).format(manifest["kind"]).load(f"{folder}/{number:08d}/{name}")
+    return {name: read(name, schema) if name in manifest["results"] else spark.createDataFrame([], schema) for name, schema in schemas.items()}
+
+
+MANIFESTS = "manifests"
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _put(spark: SparkSession, path: str, content: str) -> None:
+    """A small file, there as a whole or not at all."""
+    fs, part = _hadoop(spark, f"{path}.part")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(path)):
+        raise FileExistsError(path)
 
 
-def load(spark: SparkSession, folder: str, schemas: dict[str, str], kind: str = "parquet") -> dict[str, DataFrame]:
-    """What `save` wrote; an absent result is an empty one."""
-    found = {}
-    for name, schema in schemas.items():
-        try:
-            found[name] = spark.read.schema(schema).format(kind).load(f"{folder}/{name}")
-        except AnalysisException:
-            found[name] = spark.createDataFrame([], schema)
-    return found
+def _snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the snapshots that were finished."""
+    return [int(p.rsplit("/", 1)[1].removesuffix(".json")) for p in _found(spark, f"{folder}/{MANIFESTS}/*.json")]
 
 
 #: Columns of a report that are no dimension.
@@ -75,7 +111,7 @@ def _found(spark: SparkSession, pattern: str) -> list[str]:
 
 def restored_or_cached(spark: SparkSession, folder: str, schemas: dict[str, str], reports: str | None = None) -> dict[str, DataFrame]:
     """The cached results; without a cache what the latest report under `reports` still tells (`report`); else empty results."""
-    if _found(spark, folder):
+    if _snapshots(spark, folder):
         return load(spark, folder, schemas)
     found = {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
     latest = _found(spark, f"{reports}/summary*/rows") if reports else []

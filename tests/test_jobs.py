@@ -198,3 +198,31 @@ def test_the_index_lists_few_pairs_of_a_shared_line(spark):
     sets, _ = similarity.classes(spark.createDataFrame(docs, "doc_id long, text string"), rules)
     listed = similarity.index(sets, rules)
     assert similarity.candidates(listed, listed, rules).count() < 400
+
+
+def test_a_snapshot_that_fails_midway_leaves_the_one_before(spark, tmp_path):
+    folder, schemas = str(tmp_path / "kept"), {"a": "id long", "b": "id long", "c": "id long"}
+    assert store.load(spark, folder, schemas)["a"].count() == 0
+    assert store.save({"a": spark.range(3), "b": spark.range(5)}, folder) == 1
+    with pytest.raises(Exception, match="on purpose"):
+        store.save({"a": spark.range(30), "b": spark.range(50).select(F.raise_error(F.lit("on purpose")).cast("long").alias("id"))}, folder)
+    found = store.load(spark, folder, schemas)
+    assert [found[n].count() for n in "abc"] == [3, 5, 0]
+    # what is read may be replaced, and older snapshots go
+    assert store.save({"a": found["a"].union(spark.range(10, 11)), "b": found["b"]}, folder) == 2
+    assert store.load(spark, folder, schemas)["a"].count() == 4 and store.load(spark, folder, schemas, 1)["a"].count() == 3
+    assert store.save({"a": spark.range(1)}, folder) == 3
+    assert sorted(os.listdir(folder)) == ["00000002", "00000003", "manifests"]
+
+
+def test_new_documents_meet_a_kept_index(spark, small, tmp_path):
+    """Pairs found part by part, each part against the index of those before, are those of the whole."""
+    rules = Similarity(hashes=16)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    whole = {(r.a, r.b, r.similarity) for r in similarity.compared(similarity.classes(docs, rules)[0], rules).select("a", "b", "similarity").collect()}
+    kept, found = str(tmp_path / "index"), set()
+    reps = similarity.classes(docs, rules)[0].select(F.col("class").alias("doc_id"))
+    for part in range(3):
+        new = docs.join(reps, "doc_id", "left_semi").where(F.col("doc_id") % 3 == part)
+        found |= {(min(r.a, r.b), max(r.a, r.b), r.similarity) for r in similarity.against_kept(new, rules, kept).collect()}
+    assert found == whole and len(whole) > 5

@@ -326,9 +326,9 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, lists: int = LISTS, r
     read = common.checkpoint(_units(rows, key, vector, label))
     distinct = common.checkpoint(read.where("d is not null").groupBy("d").agg(F.first("g").alias("g"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()))
     state = _balls(distinct.select("id", "g", "v"), distinct.count(), theta / 2 - FINE)
-    # a vector alone in its ball is its own pivot
-    alone = F.count("*").over(Window.partitionBy("pivot")) == 1
-    joined = state.join(distinct.select("id", "n", "rep"), "id").withColumn("alone", alone)
+    # a vector alone in its ball is its own pivot; counted by a sum, as one ball may hold a third of all
+    singles = state.groupBy("pivot").agg(F.count("*").alias("c")).where("c = 1").select("pivot", F.lit(True).alias("one"))
+    joined = state.join(distinct.select("id", "n", "rep"), "id").join(singles, "pivot", "left").withColumn("alone", F.coalesce("one", F.lit(False)))
     members = common.checkpoint(joined.select("id", "g", "v", "n", "rep", F.when(F.col("alone"), F.col("id")).otherwise(F.col("pivot")).alias("pivot"), F.when(F.col("alone"), 0.0).otherwise(F.col("r")).alias("r")))
     sized = members.groupBy("pivot").agg(F.max("r").alias("radius"), F.sum("n").alias("n"), F.count("*").alias("vectors"), F.min("rep").alias("rep"))
     balls = common.checkpoint(sized.join(distinct.select(F.col("id").alias("pivot"), "g", "v"), "pivot"))

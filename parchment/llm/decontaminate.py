@@ -21,6 +21,7 @@ items give no rows; only the named columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
@@ -78,21 +79,38 @@ def distance(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _join(spans: list[tuple[int, int]], a: int, b: int) -> None:
+    """Add [a, b] to the sorted `spans`; those that it touches become one, so no more are held than lie apart in the text."""
+    if spans and spans[-1][0] <= a <= spans[-1][1] >= b:
+        return
+    i = bisect_left(spans, (a, b))
+    if i and spans[i - 1][1] >= a:
+        i -= 1
+        a = spans[i][0]
+    j = i
+    while j < len(spans) and spans[j][0] <= b:
+        b = max(b, spans[j][1])
+        j += 1
+    spans[i:j] = [(a, b)]
+
+
 class Index:
     """The pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int | None, str, bool]], chars_an_edit: int):
         # a budget of -1 marks a short item
         self.items = [(item_id, text, masks(text), -1 if short else budget(len(text), chars_an_edit)) for item_id, text, short in items]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        # of equal pieces of an item the first and the last place: the surroundings between them overlap anyway
+        pieces: dict[str, dict[int, tuple[int, int]]] = {}
         for n, (_, text, _, k) in enumerate(self.items):
             k = max(k, 0)
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
-                pieces.setdefault(text[a:b], []).append((n, a))
+                own = pieces.setdefault(text[a:b], {})
+                own[n] = (own.get(n, (a, a))[0], a)
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
-            self.automaton.add_word(piece, (len(piece), places))
+            self.automaton.add_word(piece, (len(piece), [(n, *ends) for n, ends in places.items()]))
         self.automaton.make_automaton()
 
     def search(self, text: str | None) -> list[tuple[int | None, int, int]]:
@@ -101,25 +119,19 @@ class Index:
         windows: dict[int, list[tuple[int, int]]] = {}
         exact: dict[int, int] = {}
         for last, (size, places) in self.automaton.iter(text):
-            for n, offset in places:
-                start = last - size + 1 - offset
+            for n, first, final in places:
+                start = last - size + 1
                 k = self.items[n][3]
                 if k < 0:
-                    if n not in exact and bounded(text, start, last + 1):
+                    if n not in exact and bounded(text, start - first, last + 1):
                         exact[n] = last + 1
                     continue
-                windows.setdefault(n, []).append((max(0, start - k), start + len(self.items[n][1]) + k))
+                _join(windows.setdefault(n, []), max(0, start - final - k), start - first + len(self.items[n][1]) + k)
         found = [(self.items[n][0], 0, end) for n, end in exact.items()]
         for n, spans in windows.items():
             item_id, pattern, peq, k = self.items[n]
             best: tuple[int, int] | None = None
-            spans.sort()
-            at = 0
-            while at < len(spans):
-                a, b = spans[at]
-                while at < len(spans) and spans[at][0] <= b:  # overlapping surroundings are verified once
-                    b = max(b, spans[at][1])
-                    at += 1
+            for a, b in spans:
                 d, end = distance(peq, len(pattern), text[a:b])
                 if d <= k and (best is None or d < best[0]):
                     best = d, a + end

@@ -660,3 +660,30 @@ def test_labels_of_absent_documents_leave_the_sample_whole(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.range(50_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     assert len(quality.labelled(docs, labels, "quality", 100)[0]) >= 50
+
+
+def test_op10_surroundings_of_hits_are_joined_as_they_come():
+    import tracemalloc
+
+    rng = random.Random(1)
+    for _ in range(300):
+        spans, expected = [], []
+        for _ in range(rng.randrange(1, 30)):
+            a = rng.randrange(200)
+            b = a + rng.randrange(1, 20)
+            decontaminate._join(spans, a, b)
+            expected.append((a, b))
+        expected.sort()
+        merged = []
+        for a, b in expected:
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+            else:
+                merged.append((a, b))
+        assert spans == merged
+    index = decontaminate.Index([(1, "0 " * 499 + "0", False), (2, "abcd efgh " * 9 + "abcd", False)], 16)
+    tracemalloc.start()
+    found = index.search("0 " * 200_000)
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000 and [f[:2] for f in found] == [(1, 0)]
+    tracemalloc.stop()
+    assert [f[:2] for f in index.search("x" * 500 + " " + "abcd efgh " * 4 + "abcX efgh " + "abcd efgh " * 4 + "abcd")] == [(2, 1)]

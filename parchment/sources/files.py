@@ -70,21 +70,25 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return contents(spark, folder, names(spark, folder)).select("name", "content")
 
 
+def members(archive, name: str) -> Iterator[tuple[str, str]]:
+    """(document, member): what an archive's documents are called after it, the first member of each kind; `archive` is an open file."""
+    try:
+        with zipfile.ZipFile(archive) as z:
+            found = sorted(z.namelist())
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+        return  # an archive that cannot be read holds no documents
+    seen = set()
+    for member in found:
+        kind = PurePosixPath(member).suffix.lower()
+        target = PurePosixPath(name).stem + kind
+        if kind[1:] in PRIORITY and target not in seen and not PurePosixPath(member).name.startswith(("~$", ".")):
+            seen.add(target)
+            yield target, member
+
+
 def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out, seen = [], set()
-        for name, path, content in zip(f["file"], f["path"], f["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    members = sorted(z.namelist())
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
-                continue  # an archive that cannot be read holds no documents
-            for member in members:
-                kind = PurePosixPath(member).suffix.lower()
-                target = PurePosixPath(name).stem + kind
-                if kind[1:] in PRIORITY and target not in seen and not PurePosixPath(member).name.startswith(("~$", ".")):
-                    seen.add(target)
-                    out.append((target, path, member))
+        out = [(target, path, member) for name, path, content in zip(f["file"], f["path"], f["content"], strict=True) for target, member in members(io.BytesIO(content), name)]
         yield pd.DataFrame(out, columns=["name", "path", "member"])
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import re
+import shutil
 import zipfile
 from datetime import datetime
 from functools import reduce
-from xml.sax.saxutils import escape
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +35,8 @@ def save(results: dict[str, DataFrame], folder: str, kind: str = "parquet", keep
     for old in sorted(_snapshots(spark, folder))[:-keep]:
         # first what names it, so that no manifest names what is gone
         for path in (f"{folder}/{MANIFESTS}/{old:08d}.json", f"{folder}/{old:08d}"):
-            fs, target = _hadoop(spark, path)
-            fs.delete(target, True)
+            there, target = _hadoop(spark, path)
+            there.delete(target, True)
     return number
 
 
@@ -58,13 +58,13 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
 
 def _put(spark: SparkSession, path: str, content: str) -> None:
     """A small file, there as a whole or not at all."""
-    fs, part = _hadoop(spark, f"{path}.part")
-    out = fs.create(part, True)
+    there, part = _hadoop(spark, f"{path}.part")
+    out = there.create(part, True)
     try:
         out.write(bytearray(content.encode()))
     finally:
         out.close()
-    if not fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(path)):
+    if not there.rename(part, spark._jvm.org.apache.hadoop.fs.Path(path)):
         raise FileExistsError(path)
 
 
@@ -233,16 +233,31 @@ BODY = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/
 
 
 def word(rows: DataFrame, statistics: DataFrame, path: str, dimensions: tuple[Dimension, ...] = (), pairs: DataFrame | None = None, **how) -> None:
-    """The same report as one Word file, a paragraph a line; lines come to the driver one range at a time."""
+    """The same report as one Word file, a paragraph a line.
+
+    The executors write the paragraphs, in order, as parts beside it; once all are there the parts are joined as streams of bytes, a
+    megabyte at a time, into a file that is renamed at the end. `path` is one that Arrow's file systems know.
+    """
     found = lines(rows, statistics, dimensions, pairs, **how).repartitionByRange("part", "n", "m").sortWithinPartitions("part", "n", "m")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    plain = F.regexp_replace("value", UNPRINTABLE, "")
+    escaped = F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = f"{path}.parts"
+    found.select(F.concat(F.lit(PARAGRAPH[0]), escaped, F.lit(PARAGRAPH[1]))).write.mode("overwrite").text(parts)
+    there, target = fs.FileSystem.from_uri(str(path))
+    written = sorted(x.path for x in there.get_file_info(fs.FileSelector(f"{target}.parts")) if x.base_name.startswith("part-"))
+    with there.open_output_stream(f"{target}.new") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
         for name, content in PACKAGE.items():
             z.writestr(name, content)
-        with z.open("word/document.xml", "w") as f:
+        with z.open("word/document.xml", "w", force_zip64=True) as f:
             f.write(BODY[0].encode())
-            for r in found.select("value").toLocalIterator():
-                f.write(f'<w:p><w:r><w:t xml:space="preserve">{escape(_UNPRINTABLE.sub("", r.value))}</w:t></w:r></w:p>'.encode())
+            for part in written:
+                with there.open_input_stream(part) as one:
+                    shutil.copyfileobj(one, f, 1 << 20)
             f.write(BODY[1].encode())
+    there.move(f"{target}.new", target)
+    there.delete_dir(f"{target}.parts")
 
 
-_UNPRINTABLE = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+#: A line's paragraph; and what no XML may hold.
+PARAGRAPH = '<w:p><w:r><w:t xml:space="preserve">', "</w:t></w:r></w:p>"
+UNPRINTABLE = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"

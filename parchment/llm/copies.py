@@ -5,13 +5,19 @@ so in any fixed order of shingles they share one among the first n - ceil(4n/5)
 are a set's keys. The order puts shingles of high counts last; the counts are kept in a table of
 fixed size, which shared slots only overstate, so they decide what is compared, never what is found.
 
-Only one text of each set is read for that. Under each key one set is compared with the others in star rounds, and sets known to be
+Operator 3 comes first: texts whose SimHash fingerprints, here of 5-word shingles, its Golay-code keys find within 4 bits are
+compared by their whole sets, each with one of those. Sets so linked share a mark; the keys are for what fingerprints miss.
+
+Two alike sets of n and m shingles share not one key but many: with o = ceil(4(n + m)/9) common shingles, n - o of the first's keys at
+most are none of the second's shingles, and of the set whose keys end first all others are keys of both. So each set counts how
+many of its keys it shares with any sets of about a size; sizes of which that are too few are compared no more, and with
+them most of what only shares a passage, or is a near copy edited too often.
+
+Only one text of each set is read for that. Under each key one set, at first that with the largest part of its keys shared, is
+compared with the others in star rounds, and sets known to be
 linked are compared no more, so that a large group of copies stays linear; what is then still apart
 under a key is compared pair by pair. Rounds only mark sets by the one they were found linked with; whole
-components are made once, of all links. Two such sets share
-not one key but many: with o = ceil(4(n + m)/9) common shingles, n - o of the first's keys at most are
-none of the second's shingles, and of the set whose keys end first all others are keys of both. Pairs
-with fewer go; every link is verified on the whole sets.
+components are made once, of all links. Every link is verified on the whole sets.
 
 Edge cases: words as in the fingerprints of operator 3; null and empty texts share the empty set;
 with fewer than five words the whole sequence is the only shingle; the others as for
@@ -21,6 +27,7 @@ simhash.representatives.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +43,8 @@ SHINGLE = 5
 OVER, OF = 4, 5
 SLOTS, BLOCKS = 1 << 20, 64
 STARS, PAIRS_A_ROW = 4, 4
+#: Sets whose sizes are within such a ratio are of one class; alike sets are so many classes apart at most.
+RATIO, APART = 1.016, 15
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _words: dict[bytes, int] = {}
 
@@ -134,6 +143,69 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "fp long, s array<long>")
 
 
+def _needed(n: str, m: str) -> str:
+    """How many keys alike sets of n and m shingles share at least."""
+    return f"(1 - ceil({OVER} * greatest({n}, {m}) / {OF}) + ceil({OVER} * ({n} + {m}) / {OVER + OF}))"
+
+
+def _bits(conditions: list[Column]) -> Column:
+    return reduce(Column.bitwiseOR, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions)])
+
+
+def _shared_keys(rows: DataFrame, members: common.Members) -> DataFrame:
+    """(k, fp, n, b, there): the keys of each set that other sets have too, its class of sizes, and a bit for each class around it of which there is another set."""
+    one_key = Window.partitionBy("k")
+    keyed = _keys(rows, members, _counts(rows, members)).repartition("k").dropDuplicates(["k", "fp"])
+    keyed = keyed.withColumn("c", F.count("*").over(one_key)).where("c > 1").withColumn("b", F.expr(f"int(floor(ln(n) / ln({RATIO})))"))
+    keyed = keyed.withColumns({"all": F.collect_set("b").over(one_key), "own": F.count("*").over(Window.partitionBy("k", "b"))})
+    others = [F.array_contains("all", F.col("b") + i) if i else F.col("own") > 1 for i in range(-APART, APART + 1)]
+    return keyed.select("k", "fp", "n", "b", _bits(others).alias("there"))
+
+
+def _comparable(keyed: DataFrame) -> DataFrame:
+    """(fp, near, w): the sets that share enough keys with some class of sizes, a bit for each such class, and the part of their keys that is shared."""
+    shared = F.array(*[F.sum(F.expr(f"shiftright(there, {i}) & 1")) for i in range(2 * APART + 1)])
+    counted = keyed.groupBy("fp", "n", "b").agg(F.count("*").alias("c"), shared.alias("shared"))
+    low = f"greatest(floor(pow({RATIO}, b + i - {APART}) * (1 - 1e-9)), ceil({OVER} * n / {OF}))"
+    high = f"least(ceil(pow({RATIO}, b + i - {APART - 1}) * (1 + 1e-9)), floor({OF} * n / {OVER}))"
+    # of the sizes of a class the least or the greatest needs the fewest, as the number falls to both sides of n
+    enough = f"shared[i] > 0 AND {low} <= {high} AND shared[i] >= least({_needed('n', low)}, {_needed('n', high)})"
+    near = F.expr(f"aggregate(sequence(0, {2 * APART}), 0, (bits, i) -> bits | if({enough}, shiftleft(1, i), 0))")
+    return counted.select("fp", near.alias("near"), (F.col("c") / _keys_of("n")).alias("w")).where("near <> 0")
+
+
+def _mutual(x: str, y: str) -> str:
+    """Whether either of two sets has the other's class among those that it shares enough keys with."""
+    one = lambda u, v: f"shiftright({u}near, {v}b - {u}b + {APART}) & 1 = 1"
+    return f"abs({x}b - {y}b) <= {APART} AND {one(x, y)} AND {one(y, x)}"
+
+
+def by_fingerprint(rows: DataFrame, distinct: DataFrame, members: common.Members) -> DataFrame:
+    """(u, v): sets of similarity 4/5 or more among those whose fingerprints operator 3 links.
+
+    Of all that a fingerprint is linked with it is compared with the first in an order by hash, so that a large group stays linear.
+    """
+    printed = common.checkpoint(_printed(rows, members).dropDuplicates(["fp"]))
+    first = printed.groupBy("f").agg(F.min("fp").alias("v"))
+    same = printed.join(first, "f").where("fp <> v").select(F.col("v").alias("u"), F.col("fp").alias("v"))
+    linked = simhash.links(first.select(F.col("f").alias("fp")))
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nearest = both.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).where(F.xxhash64("a") < F.xxhash64("b"))
+    near = nearest.join(first.select(F.col("f").alias("a"), F.col("v").alias("u")), "a").join(first.withColumnRenamed("f", "b"), "b").select("u", "v")
+    return _alike(rows, distinct, common.checkpoint(same.unionByName(near)))
+
+
+def _printed(rows: DataFrame, members: common.Members) -> DataFrame:
+    """(fp, f): the fingerprint of a text of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _texts(batches, members):
+            columns = [[set_id(t) for t in texts], [simhash.fingerprint(t, SHINGLE) for t in texts]]
+            yield pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64)) for x in columns], ["fp", "f"])
+
+    return rows.mapInArrow(run, "fp long, f long")
+
+
 def links(ranked: DataFrame, distinct: DataFrame) -> DataFrame:
     """(u, v): pairs of sets of similarity 4/5 or more, enough to connect all that such pairs connect.
 
@@ -142,48 +214,51 @@ def links(ranked: DataFrame, distinct: DataFrame) -> DataFrame:
     kept = common.Kept(ranked.sparkSession)
     rows = ranked.select(common.Members.slot("_rank").alias("i"), "text")
     members = common.Members(distinct.select("rep"), "rep")
+    edges = by_fingerprint(rows, distinct, members)
+    keyed, keyed_path = kept.keep(_shared_keys(rows, members))
+    own = ("k", "fp", "n", "b", "near", "w")
+    sets = _comparable(keyed)
+    marked = sets.join(_moves(distinct.select("fp", F.col("fp").alias("root")), edges, 0), "fp", "left").select("fp", "near", "w", F.coalesce("next", "fp").alias("root"))
+    left, path, round_, more = keyed.join(common.checkpoint(marked), "fp"), keyed_path, 0, True
     one_key = Window.partitionBy("k")
-    keyed = _keys(rows, members, _counts(rows, members)).repartition("k").dropDuplicates(["k", "fp"])
-    keyed, _ = kept.keep(keyed.withColumn("c", F.count("*").over(one_key)).where("c > 1").select("k", "fp", "n"))
-    edges = common.checkpoint(keyed.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0))
-    left, path, round_ = keyed.withColumn("root", F.col("fp")), None, 0
     alike = f"{OF} * n >= {OVER} * m AND {OF} * m >= {OVER} * n"
     while True:
         # the keys under which sets are still apart; c sets, of which m have this row's root; x is the set that the others are compared with
-        star = F.min_by(F.struct("fp", "n", "root"), F.xxhash64("fp", F.lit(round_))).over(one_key)
+        order = F.struct((-F.col("w") if round_ % 2 == 0 else F.lit(0.0)).alias("w"), F.xxhash64("fp", F.lit(round_)).alias("h"))
+        star = F.min_by(F.struct("fp", "n", "b", "near", "root", order.alias("order")), order).over(one_key)
         counted = left.withColumns({"c": F.count("*").over(one_key), "m": F.count("*").over(Window.partitionBy("k", "root"))}).where("c > m").withColumn("x", star)
-        before, (left, path) = path, kept.keep(counted.select("k", "fp", "n", "root", (F.col("c") - F.col("m")).alias("others"), F.col("x.fp").alias("x_fp"), F.col("x.n").alias("x_n"), F.col("x.root").alias("x_root")))
-        if before:
-            kept.drop(before)
+        before, (left, path) = path, kept.keep(counted.select(*own, "root", (F.col("c") - F.col("m")).alias("others"), *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("fp", "n", "b", "near", "root", "order")]))
+        kept.drop(before)
         size, pairs = left.agg(F.count("*"), F.coalesce(F.sum("others"), F.lit(0)) / 2).first()
         if not size:
             return edges
-        last = round_ == STARS or pairs <= PAIRS_A_ROW * size
+        last = round_ == STARS or not more or pairs <= PAIRS_A_ROW * size
         # u is the set that many are compared with
         if last:
-            met = left.select("k", F.col("fp").alias("u"), "n", "root").join(left.select("k", F.col("fp").alias("v"), F.col("n").alias("m"), F.col("root").alias("r")), "k").where("u < v AND root <> r")
+            side = lambda s: left.select("k", *[F.col(c).alias(f"{s}{c}") for c in ("fp", "n", "b", "near", "root")])  # noqa: B023, E731
+            met = side("x_").join(side("y_"), "k").where(f"x_fp < y_fp AND x_root <> y_root AND {_mutual('x_', 'y_')}").select(F.col("x_fp").alias("u"), F.col("y_fp").alias("v"), F.col("x_n").alias("n"), F.col("y_n").alias("m"), F.lit(0).alias("order"))
         else:
-            met = left.where("root <> x_root").select(F.col("x_fp").alias("u"), F.col("fp").alias("v"), F.col("x_n").alias("n"), F.col("n").alias("m"))
-        met = met.where(alike).groupBy("u", "v").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+            met = left.where(f"root <> x_root AND {_mutual('', 'x_')}").select(F.col("x_fp").alias("u"), F.col("fp").alias("v"), F.col("x_n").alias("n"), F.col("n").alias("m"), F.col("x_order").alias("order"))
+        met = met.where(alike).groupBy("u", "v").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("order").alias("order"))
         # a pair that is alike shares so many keys; a star round may see fewer, as it compares few, and loses nothing that the last does not find
-        shared = F.expr(f"c * {1 if last else 2} >= least(p - n, q - m) + ceil({OVER} * (n + m) / {OVER + OF})")
-        met = met.withColumns({"p": _keys_of("n"), "q": _keys_of("m")}).where(shared).select("u", "v")
+        met = met.where(f"c * {1 if last else 2} >= {_needed('n', 'm')}")
         if not last:  # one of the centres that a set meets, the first in the order by which they are chosen, so that a group has few
-            met = met.groupBy("v").agg(F.min_by("u", F.xxhash64("u", F.lit(round_))).alias("u")).select("u", "v")
-        met, met_path = kept.keep(met)
+            met = met.groupBy("v").agg(F.min_by("u", "order").alias("u"))
+        met, met_path = kept.keep(met.select("u", "v"))
         found = _alike(rows, distinct, met)
         edges = edges.unionByName(found)
         kept.drop(met_path)
         if last:
             return edges
+        more = not found.isEmpty()
         # joined by set, as one mark may be that of many
-        left = left.select("k", "fp", "n", "root").join(_moves(left.select("fp", "root").distinct(), found, round_), "fp", "left").select("k", "fp", "n", F.coalesce("next", "root").alias("root"))
+        left = left.select(*own, "root").join(_moves(left.select("fp", "root").distinct(), found, round_), "fp", "left").select(*own, F.coalesce("next", "root").alias("root"))
         round_ += 1
 
 
 def _alike(rows: DataFrame, distinct: DataFrame, met: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sets are alike."""
-    ids = met.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    ids = common.checkpoint(met.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
     kept = common.Kept(rows.sparkSession)
     sets, path = kept.keep(_sets(rows, distinct.join(ids, "fp").select(F.col("rep").alias("_rank"))).join(ids, "fp", "left_semi").dropDuplicates(["fp"]))
     first = sets.join(met.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("u"), F.col("s").alias("a"))
@@ -195,18 +270,18 @@ def _alike(rows: DataFrame, distinct: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _moves(roots: DataFrame, found: DataFrame, round_: int) -> DataFrame:
-    """(fp, next): for sets whose mark is linked with another mark that one, the first in an order by hash, so that stars get one mark.
+    """(fp, next): for sets whose mark is linked with another mark the first mark, in an order by hash, within two links of theirs, so that a star gets one mark.
 
     All that share a mark are linked; not all that are linked need to share one.
     """
     of = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"r_{c}"))
     pairs = found.join(of("u"), "u").join(of("v"), "v").where("r_u <> r_v").select("r_u", "r_v")
-    both = pairs.unionByName(pairs.select(F.col("r_v").alias("r_u"), F.col("r_u").alias("r_v")))
+    both = common.checkpoint(pairs.unionByName(pairs.select(F.col("r_v").alias("r_u"), F.col("r_u").alias("r_v"))).distinct())
     order = lambda c: F.xxhash64(c, F.lit(round_))
-    near = common.checkpoint(both.where(order("r_v") < order("r_u")).groupBy(F.col("r_u").alias("root")).agg(F.min_by("r_v", order("r_v")).alias("next")))
-    # and on to what that mark is linked with
-    far = near.join(near.select(F.col("root").alias("next"), F.col("next").alias("further")), "next", "left").select("root", F.coalesce("further", "next").alias("next"))
-    return roots.join(far, "root").select("fp", "next")
+    first = F.min_by("r_v", order("r_v"))
+    near = both.groupBy("r_u").agg(first.alias("n")).select(F.col("r_u").alias("r_v"), F.when(order("n") < order("r_u"), F.col("n")).otherwise(F.col("r_u")).alias("near"))
+    far = both.join(near, "r_v").groupBy(F.col("r_u").alias("root")).agg(F.min_by("near", order("near")).alias("next"))
+    return roots.join(common.checkpoint(far), "root").select("fp", "next")
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -70,3 +70,37 @@ def test_near_dedup_against_brute_force_jaccard(spark, small):
     docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), small).collect()]
     assert len(kept) == len(set(kept)) and set(kept) == groups_by_force(texts)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(4, len(words) - 4), edits):
+        words[at] = f"x{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_near_dedup_of_a_large_group_compares_few_pairs(spark, small, monkeypatch):
+    from parchment.llm import copies
+
+    rng, pairs, alike = random.Random(7), [], copies._alike
+    base = [f"b{i}" for i in range(150)]
+    texts = {n: edited(rng, base, n % 7) for n in range(350)}
+    monkeypatch.setattr(copies, "_alike", lambda rows, distinct, met: pairs.append(met.count()) or alike(rows, distinct, met))
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), small).collect()}
+    assert kept == groups_by_force(texts)
+    assert sum(pairs) < 6 * len(texts)
+
+
+def test_near_dedup_takes_the_links_of_fingerprints_first(spark):
+    from parchment.llm import common, copies, simhash
+
+    rng = random.Random(8)
+    texts = [t for _ in range(30) for base in [[f"w{rng.randrange(10**6)}" for _ in range(400)]] for t in (" ".join(base), edited(rng, base, 1), edited(rng, base, 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_rank long, text string")
+    distinct = common.checkpoint(simhash.fingerprints(docs.withColumnRenamed("_rank", "doc_id"), copies.set_id).withColumnRenamed("doc_id", "rep"))
+    rows = docs.select(common.Members.slot("_rank").alias("i"), "text")
+    found = {frozenset((r.u, r.v)) for r in copies.by_fingerprint(rows, distinct, common.Members(distinct.select("rep"), "rep")).collect()}
+    ids = {t: copies.set_id(t) - (copies.set_id(t) >> 63 << 64) for t in texts}
+    near = {frozenset((ids[s], ids[t])) for s, t in zip(texts[::3], texts[1::3], strict=True) if (simhash.fingerprint(s, 5) ^ simhash.fingerprint(t, 5)).bit_count() <= 4}
+    assert found == near and len(near) > 5

@@ -26,7 +26,7 @@ simhash.representatives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -252,7 +252,7 @@ def links(ranked: DataFrame, distinct: DataFrame) -> DataFrame:
             return edges
         more = not found.isEmpty()
         # joined by set, as one mark may be that of many
-        left = left.select(*own, "root").join(_moves(left.select("fp", "root").distinct(), found, round_), "fp", "left").select(*own, F.coalesce("next", "root").alias("root"))
+        left = _remarked(left.select(*own, "root"), common.checkpoint(_moves(left.select("fp", "root").distinct(), found, round_)))
         round_ += 1
 
 
@@ -284,6 +284,26 @@ def _moves(roots: DataFrame, found: DataFrame, round_: int) -> DataFrame:
     return roots.join(common.checkpoint(far), "root").select("fp", "next")
 
 
+def _split(rows: DataFrame, members: common.Members) -> tuple[DataFrame, DataFrame]:
+    """The rows whose fp the filter lets through, and the others, without a shuffle."""
+
+    def part(passes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.record_batch(b.columns[1:], b.schema.names[1:]).filter(pa.array(passes(b.column(0).to_numpy())))
+
+        return rows.select(common.Members.slot("fp").alias("_slot"), *rows.columns).mapInArrow(run, rows.schema)
+
+    return part(members.has), part(lambda slots: ~members.has(slots))
+
+
+def _remarked(left: DataFrame, moves: DataFrame) -> DataFrame:
+    """`left` with the next root of the sets that `moves` (fp, next) has; the rows of all others, which are most, are not joined."""
+    moved, stay = _split(left, common.Members(moves, "fp"))
+    joined = moved.join(moves, "fp", "left").withColumn("root", F.coalesce("next", "root"))
+    return stay.unionByName(joined.select(*left.columns))
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each group that similarities of 4/5 connect, all columns, chosen as in simhash.representatives."""
     return simhash.one_of_each(docs, set_id, links)

@@ -104,3 +104,14 @@ def test_near_dedup_takes_the_links_of_fingerprints_first(spark):
     ids = {t: copies.set_id(t) - (copies.set_id(t) >> 63 << 64) for t in texts}
     near = {frozenset((ids[s], ids[t])) for s, t in zip(texts[::3], texts[1::3], strict=True) if (simhash.fingerprint(s, 5) ^ simhash.fingerprint(t, 5)).bit_count() <= 4}
     assert found == near and len(near) > 5
+
+
+def test_near_dedup_joins_rows_of_moved_sets_only(spark):
+    from parchment.llm import common, copies
+
+    left = common.checkpoint(spark.range(20_000).selectExpr("id k", "id % 400 fp", "id % 7 n", "id % 400 root"))
+    moves = common.checkpoint(spark.range(20).selectExpr("id * 20 fp", "-id next"))
+    moved, stay = copies._split(left, common.Members(moves, "fp"))
+    assert 1000 <= moved.count() < 1200 and moved.count() + stay.count() == 20_000
+    found = sorted(tuple(r) for r in copies._remarked(left, moves).collect())
+    assert found == [(i, i % 400, i % 7, -(i % 400 // 20) if i % 20 == 0 else i % 400) for i in range(20_000)]

@@ -6,7 +6,9 @@ are a set's keys. The order puts shingles of high counts last; the counts are ke
 fixed size, which shared slots only overstate, so they decide what is compared, never what is found.
 
 Operator 3 comes first: texts whose SimHash fingerprints, here of 5-word shingles, its Golay-code keys find within 4 bits are
-compared by their whole sets, each with one of those. Sets so linked share a mark; the keys are for what fingerprints miss.
+compared by their whole sets, each with one of those. Beside them each set is compared with one that it shares bands of minima
+with, as sets of similarity 4/5 nearly always do. Sets so linked share a mark, given while a set is still one row; the keys, of which a set
+has many, are for what both miss.
 
 Two alike sets of n and m shingles share not one key but many: with o = ceil(4(n + m)/9) common shingles, n - o of the first's keys at
 most are none of the second's shingles, and of the set whose keys end first all others are keys of both. So each set counts how
@@ -15,8 +17,9 @@ them most of what only shares a passage, or is a near copy edited too often.
 
 Only one text of each set is read for that. Under each key one set, at first that with the largest part of its keys shared, is
 compared with the others in star rounds, and sets known to be
-linked are compared no more, so that a large group of copies stays linear; what is then still apart
-under a key is compared pair by pair. Rounds only mark sets by the one they were found linked with; whole
+linked are compared no more, so that a large group of copies stays linear. What is then still apart
+under a key is joined mark by mark, and two marks that share enough keys become pairs of their sets, each pair once and
+not under each of its keys. Rounds only mark sets by the one they were found linked with; whole
 components are made once, of all links. Every link is verified on the whole sets.
 
 Edge cases: words as in the fingerprints of operator 3; null and empty texts share the empty set;
@@ -43,9 +46,12 @@ SHINGLE = 5
 OVER, OF = 4, 5
 SLOTS, BLOCKS = 1 << 20, 64
 STARS, PAIRS_A_ROW = 4, 4
+#: Bands of minima of a set, and the minima in one: sets of similarity 4/5 share one of eight bands in 98 of 100 cases, sets of 1/5 in one.
+BANDS, MINIMA = 8, 4
 #: Sets whose sizes are within such a ratio are of one class; alike sets are so many classes apart at most.
 RATIO, APART = 1.016, 15
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_OF_MINIMA = np.random.default_rng(simhash.SEED).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 _words: dict[bytes, int] = {}
 
 
@@ -73,6 +79,14 @@ def set_id(text: str | None) -> int:
     return xxhash.xxh64_intdigest(shingles(text).tobytes(), simhash.SEED)
 
 
+def bands(s: np.ndarray) -> np.ndarray:
+    """A number for each band of a set; sets of similarity j share a band's with a chance of j ** MINIMA. The empty set has none."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    least = np.min([(s[at : at + 4096, None] * _OF_MINIMA).min(axis=0) for at in range(0, len(s), 4096)], axis=0)
+    return (least.reshape(BANDS, MINIMA) * _MULTIPLIERS[:MINIMA]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MULTIPLIERS[4]
+
+
 def keys_of(n: int) -> int:
     """How many of a set's first shingles are its keys."""
     return n - -(-OVER * n // OF) + 1 if n else 0
@@ -148,6 +162,11 @@ def _needed(n: str, m: str) -> str:
     return f"(1 - ceil({OVER} * greatest({n}, {m}) / {OF}) + ceil({OVER} * ({n} + {m}) / {OVER + OF}))"
 
 
+def _sized(n: str, m: str) -> str:
+    """Whether sets of n and m shingles can be alike."""
+    return f"{OF} * {n} >= {OVER} * {m} AND {OF} * {m} >= {OVER} * {n}"
+
+
 def _bits(conditions: list[Column]) -> Column:
     return reduce(Column.bitwiseOR, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions)])
 
@@ -180,8 +199,8 @@ def _mutual(x: str, y: str) -> str:
     return f"abs({x}b - {y}b) <= {APART} AND {one(x, y)} AND {one(y, x)}"
 
 
-def by_fingerprint(rows: DataFrame, distinct: DataFrame, members: common.Members) -> DataFrame:
-    """(u, v): sets of similarity 4/5 or more among those whose fingerprints operator 3 links.
+def by_fingerprint(rows: DataFrame, distinct: DataFrame, members: common.Members, banded: bool = False) -> DataFrame:
+    """(u, v): sets of similarity 4/5 or more among those whose fingerprints operator 3 links, and if `banded` those that share bands.
 
     Of all that a fingerprint is linked with it is compared with the first in an order by hash, so that a large group stays linear.
     """
@@ -192,18 +211,36 @@ def by_fingerprint(rows: DataFrame, distinct: DataFrame, members: common.Members
     both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nearest = both.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).where(F.xxhash64("a") < F.xxhash64("b"))
     near = nearest.join(first.select(F.col("f").alias("a"), F.col("v").alias("u")), "a").join(first.withColumnRenamed("f", "b"), "b").select("u", "v")
-    return _alike(rows, distinct, common.checkpoint(same.unionByName(near)))
+    met = same.unionByName(near)
+    if banded:
+        met = met.unionByName(_by_bands(printed)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return _alike(rows, distinct, common.checkpoint(met))
+
+
+def _by_bands(printed: DataFrame) -> DataFrame:
+    """(u, v): each set with one that it shares a band with.
+
+    Under each band one set, that with the most company in all its bands, meets the others; of those that a set
+    meets so, it is paired with the one of most bands. So there is one pair a set at most, however large a group.
+    """
+    one_band = Window.partitionBy("g")
+    shared = printed.select("fp", F.explode("bands").alias("g")).withColumn("c", F.count("*").over(one_band)).where("c > 1")
+    order = F.struct((-F.col("w")).alias("w"), F.xxhash64("fp").alias("h"))
+    starred = shared.withColumn("w", F.sum("c").over(Window.partitionBy("fp"))).withColumn("x", F.min_by(F.struct("fp", order.alias("order")), order).over(one_band))
+    met = starred.where("fp <> x.fp").groupBy(F.col("x.fp").alias("u"), F.col("fp").alias("v")).agg(F.count("*").alias("c"), F.first("x.order").alias("order"))
+    return met.groupBy("v").agg(F.min_by("u", F.struct(-F.col("c"), "order")).alias("u")).select("u", "v")
 
 
 def _printed(rows: DataFrame, members: common.Members) -> DataFrame:
-    """(fp, f): the fingerprint of a text of each set."""
+    """(fp, f, bands): the fingerprint of a text of each set, and the set's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _texts(batches, members):
-            columns = [[set_id(t) for t in texts], [simhash.fingerprint(t, SHINGLE) for t in texts]]
-            yield pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64)) for x in columns], ["fp", "f"])
+            sets = [shingles(t) for t in texts]
+            columns = [[xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED) for s in sets], [simhash.fingerprint(t, SHINGLE) for t in texts]]
+            yield pa.record_batch([*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in columns], pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "f", "bands"])
 
-    return rows.mapInArrow(run, "fp long, f long")
+    return rows.mapInArrow(run, "fp long, f long, bands array<long>")
 
 
 def links(ranked: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -214,36 +251,32 @@ def links(ranked: DataFrame, distinct: DataFrame) -> DataFrame:
     kept = common.Kept(ranked.sparkSession)
     rows = ranked.select(common.Members.slot("_rank").alias("i"), "text")
     members = common.Members(distinct.select("rep"), "rep")
-    edges = by_fingerprint(rows, distinct, members)
+    edges = by_fingerprint(rows, distinct, members, banded=True)
     keyed, keyed_path = kept.keep(_shared_keys(rows, members))
     own = ("k", "fp", "n", "b", "near", "w")
     sets = _comparable(keyed)
     marked = sets.join(_moves(distinct.select("fp", F.col("fp").alias("root")), edges, 0), "fp", "left").select("fp", "near", "w", F.coalesce("next", "fp").alias("root"))
     left, path, round_, more = keyed.join(common.checkpoint(marked), "fp"), keyed_path, 0, True
     one_key = Window.partitionBy("k")
-    alike = f"{OF} * n >= {OVER} * m AND {OF} * m >= {OVER} * n"
     while True:
-        # the keys under which sets are still apart; c sets, of which m have this row's root; x is the set that the others are compared with
+        # the keys under which sets are still apart; r roots, of which m sets have this row's; x is the set that the others are compared with
         order = F.struct((-F.col("w") if round_ % 2 == 0 else F.lit(0.0)).alias("w"), F.xxhash64("fp", F.lit(round_)).alias("h"))
         star = F.min_by(F.struct("fp", "n", "b", "near", "root", order.alias("order")), order).over(one_key)
-        counted = left.withColumns({"c": F.count("*").over(one_key), "m": F.count("*").over(Window.partitionBy("k", "root"))}).where("c > m").withColumn("x", star)
-        before, (left, path) = path, kept.keep(counted.select(*own, "root", (F.col("c") - F.col("m")).alias("others"), *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("fp", "n", "b", "near", "root", "order")]))
+        counted = left.repartition("k").withColumn("m", F.count("*").over(Window.partitionBy("k", "root"))).withColumns({"r": F.sum(1 / F.col("m")).over(one_key), "x": star}).where("r > 1.5")
+        before, (left, path) = path, kept.keep(counted.select(*own, "root", ((F.col("r") - 1) / F.col("m")).alias("others"), *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("fp", "n", "b", "near", "root", "order")]))
         kept.drop(before)
-        size, pairs = left.agg(F.count("*"), F.coalesce(F.sum("others"), F.lit(0)) / 2).first()
+        size, pairs = left.agg(F.count("*"), F.coalesce(F.sum("others"), F.lit(0)) / 2).first()  # rows, and pairs of roots under their keys
         if not size:
             return edges
         last = round_ == STARS or not more or pairs <= PAIRS_A_ROW * size
-        # u is the set that many are compared with
         if last:
-            side = lambda s: left.select("k", *[F.col(c).alias(f"{s}{c}") for c in ("fp", "n", "b", "near", "root")])  # noqa: B023, E731
-            met = side("x_").join(side("y_"), "k").where(f"x_fp < y_fp AND x_root <> y_root AND {_mutual('x_', 'y_')}").select(F.col("x_fp").alias("u"), F.col("y_fp").alias("v"), F.col("x_n").alias("n"), F.col("y_n").alias("m"), F.lit(0).alias("order"))
-        else:
+            met = _apart(left)
+        else:  # u is the set that many are compared with
             met = left.where(f"root <> x_root AND {_mutual('', 'x_')}").select(F.col("x_fp").alias("u"), F.col("fp").alias("v"), F.col("x_n").alias("n"), F.col("n").alias("m"), F.col("x_order").alias("order"))
-        met = met.where(alike).groupBy("u", "v").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("order").alias("order"))
-        # a pair that is alike shares so many keys; a star round may see fewer, as it compares few, and loses nothing that the last does not find
-        met = met.where(f"c * {1 if last else 2} >= {_needed('n', 'm')}")
-        if not last:  # one of the centres that a set meets, the first in the order by which they are chosen, so that a group has few
-            met = met.groupBy("v").agg(F.min_by("u", "order").alias("u"))
+            met = met.where(_sized("n", "m")).groupBy("u", "v").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("order").alias("order"))
+            # a pair that is alike shares so many keys; a star round may see fewer, as it compares few, and loses nothing that the last does not find
+            # one of the centres that a set meets, the first in the order by which they are chosen, so that a group has few
+            met = met.where(f"c * 2 >= {_needed('n', 'm')}").groupBy("v").agg(F.min_by("u", "order").alias("u"))
         met, met_path = kept.keep(met.select("u", "v"))
         found = _alike(rows, distinct, met)
         edges = edges.unionByName(found)
@@ -256,6 +289,27 @@ def links(ranked: DataFrame, distinct: DataFrame) -> DataFrame:
         round_ += 1
 
 
+def _met_marks(left: DataFrame) -> DataFrame:
+    """(x_root, y_root, c): marks of different sets that share c keys, enough for some of their sizes; there are as many rows under a key as pairs of marks, however many sets have one."""
+    marks = left.groupBy("k", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    side = lambda s: marks.select("k", *[F.col(c).alias(f"{s}{c}") for c in ("root", "lo", "hi")])
+    near = f"x_root < y_root AND {OF} * x_hi >= {OVER} * y_lo AND {OF} * y_hi >= {OVER} * x_lo"
+    ends = [F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"), F.min("y_lo").alias("y_lo"), F.max("y_hi").alias("y_hi")]
+    met = side("x_").join(side("y_"), "k").where(near).groupBy("x_root", "y_root").agg(F.count("*").alias("c"), *ends)
+    # _needed without its rounding, which is least where the sizes differ most
+    least = lambda n, m: f"({OVER} * ({n} + {m}) / {OVER + OF} - {OVER} * greatest({n}, {m}) / {OF})"
+    return met.where(f"c >= least({least('x_lo', 'y_hi')}, {least('x_hi', 'y_lo')}) - 1e-6").select("x_root", "y_root", "c")
+
+
+def _apart(left: DataFrame) -> DataFrame:
+    """(u, v): the pairs of sets of different marks that share as many keys as alike sets must."""
+    sets = left.groupBy("fp", "n", "b", "near", "root").agg(F.collect_list("k").alias("keys"))
+    side = lambda s: sets.select(*[F.col(c).alias(f"{s}{c}") for c in sets.columns])
+    both = _met_marks(left).join(side("x_"), "x_root").join(side("y_"), "y_root")
+    enough = f"size(array_intersect(x_keys, y_keys)) >= {_needed('x_n', 'y_n')}"
+    return both.where(f"{_sized('x_n', 'y_n')} AND {_mutual('x_', 'y_')} AND {enough}").select(F.col("x_fp").alias("u"), F.col("y_fp").alias("v"))
+
+
 def _alike(rows: DataFrame, distinct: DataFrame, met: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sets are alike."""
     ids = common.checkpoint(met.select(F.explode(F.array("u", "v")).alias("fp")).distinct())

@@ -115,3 +115,34 @@ def test_near_dedup_joins_rows_of_moved_sets_only(spark):
     assert 1000 <= moved.count() < 1200 and moved.count() + stay.count() == 20_000
     found = sorted(tuple(r) for r in copies._remarked(left, moves).collect())
     assert found == [(i, i % 400, i % 7, -(i % 400 // 20) if i % 20 == 0 else i % 400) for i in range(20_000)]
+
+
+def test_near_dedup_marks_sets_that_share_bands_before_their_keys_are_looked_at(spark):
+    from parchment.llm import common, copies, simhash
+
+    rng = random.Random(9)
+    texts = [t for _ in range(40) for base in [[f"w{rng.randrange(10**6)}" for _ in range(300)]] for t in (" ".join(base), edited(rng, base, 5), edited(rng, base, 30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_rank long, text string")
+    distinct = common.checkpoint(simhash.fingerprints(docs.withColumnRenamed("_rank", "doc_id"), copies.set_id).withColumnRenamed("doc_id", "rep"))
+    rows = docs.select(common.Members.slot("_rank").alias("i"), "text")
+    members = common.Members(distinct.select("rep"), "rep")
+    found = {frozenset((r.u, r.v)) for r in copies.by_fingerprint(rows, distinct, members, banded=True).collect()}
+    ids = {t: copies.set_id(t) - (copies.set_id(t) >> 63 << 64) for t in texts}
+    alike = {frozenset((ids[s], ids[t])) for s, t in zip(texts[::3], texts[1::3], strict=True)}
+    assert found <= alike and len(found) >= 38
+    assert copies.bands(copies.shingles("")).size == 0 and copies.bands(copies.shingles("one two")).size == copies.BANDS
+
+
+def test_near_dedup_meets_a_large_group_once_under_a_key(spark):
+    """Forty sets apart from a group of 300 with 30 keys in common: marks meet, and each pair of sets comes once."""
+    from parchment.llm import copies
+
+    sets = [(fp, -1 if fp < 300 else fp) for fp in range(340)]
+    near = (1 << 2 * copies.APART + 1) - 1
+    left = spark.createDataFrame([(k, fp, 100, 290, near, root) for fp, root in sets for k in range(30)], "k long, fp long, n int, b int, near int, root long")
+    marks = copies._met_marks(left)
+    assert marks.count() == 41 * 40 // 2 and marks.agg({"c": "sum"}).first()[0] == 30 * 41 * 40 // 2
+    pairs = [tuple(r) for r in copies._apart(left).collect()]
+    assert len(pairs) == len(set(pairs)) and {frozenset(p) for p in pairs} == {frozenset((a, b)) for a, r in sets for b, t in sets if r != t}
+    # ten keys are shared by sets of 100 at least
+    assert copies._apart(left.where("k < 9")).isEmpty() and not copies._apart(left.where("k < 10")).isEmpty()

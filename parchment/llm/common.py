@@ -64,9 +64,12 @@ class Kept:
         self.spark, self.folder, self.number = spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """The copy, and its path; what only led to it, broadcasts and shuffle files too, is let go at once, as Spark cleans up after the driver's garbage."""
         self.number += 1
         path = f"{self.folder}/{self.number}"
-        return stored(df, path), path
+        out = stored(df, path)
+        self.spark._jvm.System.gc()
+        return out, path
 
     def drop(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -295,7 +295,8 @@ def _met_marks(left: DataFrame) -> DataFrame:
     side = lambda s: marks.select("k", *[F.col(c).alias(f"{s}{c}") for c in ("root", "lo", "hi")])
     near = f"x_root < y_root AND {OF} * x_hi >= {OVER} * y_lo AND {OF} * y_hi >= {OVER} * x_lo"
     ends = [F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"), F.min("y_lo").alias("y_lo"), F.max("y_hi").alias("y_hi")]
-    met = side("x_").join(side("y_"), "k").where(near).groupBy("x_root", "y_root").agg(F.count("*").alias("c"), *ends)
+    # sized by compressed files of many columns, so too low
+    met = side("x_").hint("merge").join(side("y_"), "k").where(near).groupBy("x_root", "y_root").agg(F.count("*").alias("c"), *ends)
     # _needed without its rounding, which is least where the sizes differ most
     least = lambda n, m: f"({OVER} * ({n} + {m}) / {OVER + OF} - {OVER} * greatest({n}, {m}) / {OF})"
     return met.where(f"c >= least({least('x_lo', 'y_hi')}, {least('x_hi', 'y_lo')}) - 1e-6").select("x_root", "y_root", "c")
@@ -312,7 +313,8 @@ def _apart(left: DataFrame) -> DataFrame:
 
 def _alike(rows: DataFrame, distinct: DataFrame, met: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sets are alike."""
-    ids = common.checkpoint(met.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
+    # as a union, whose size Spark counts in full, where it counts what an explode makes as one row each
+    ids = common.checkpoint(met.select(F.col("u").alias("fp")).unionByName(met.select(F.col("v").alias("fp"))).distinct())
     kept = common.Kept(rows.sparkSession)
     sets, path = kept.keep(_sets(rows, distinct.join(ids, "fp").select(F.col("rep").alias("_rank"))).join(ids, "fp", "left_semi").dropDuplicates(["fp"]))
     first = sets.join(met.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("u"), F.col("s").alias("a"))

@@ -138,7 +138,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     exact = [" AND ".join([f"(x.k & 7) = {i}", f"{seg[i]} = 0", *no[:i]]) for i in range(3)]
     pairs = [f"(x.k & 7) = {i} AND {one[a]} AND {one[b]}" + "".join(f" AND NOT ({one[c]} AND {one[d]})" for c, d in PAIRS[: i - 3]) for i, (a, b) in enumerate(PAIRS, 3)]
     condition = f"x.k = y.k AND x.fp < y.fp AND bit_count(x.fp ^ y.fp) <= {max_bits} AND (" + " OR ".join(f"({c})" for c in [*exact, *(f"{' AND '.join(no)} AND {p}" for p in pairs)]) + ")"
-    return keyed.alias("x").join(keyed.alias("y"), F.expr(condition)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    # a fingerprint has dozens of keys, of which Spark's size check knows nothing: it would send what is many times its limit to all
+    return keyed.alias("x").hint("merge").join(keyed.alias("y"), F.expr(condition)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def _rooted(printed: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -214,6 +214,15 @@ def test_op3_against_brute_force(spark, small, docs):
     assert {tuple(r) for r in queries.op3_simhash_near_dedup(spark, small).collect()} == expected
 
 
+def test_op3_keys_are_not_broadcast(spark):
+    """A fingerprint has dozens of keys, which Spark's size check counts as one row."""
+    distinct = spark.range(2000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    found = simhash.links(distinct)
+    found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_op3_keys_find_every_link(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(200)]
